@@ -184,9 +184,9 @@ def settle_after_state(jobs, requests):
     return transitions.settle(jobs, requests, _now()).select("id", "status", "attempts", "available_at", "lease_token", "locked_at", "completed_at", "updated_at", "affected")
 
 
-def _one_kind(kind: str, columns: list[str], extra: dict[str, Column]):
+def _one_kind(kind: str, columns: list[str], extra: Callable[[], dict[str, Column]]):
     def run(jobs, requests):
-        asked = requests.where(F.col("kind") == kind).withColumns(extra)
+        asked = requests.where(F.col("kind") == kind).withColumns(extra())
         return transitions.settle(jobs, asked, _now()).where("affected = 1").select("id", *columns)
 
     return run
@@ -195,11 +195,11 @@ def _one_kind(kind: str, columns: list[str], extra: dict[str, Column]):
 def _kinds() -> None:
     base = _OWNED + " SELECT id, {} FROM f WHERE owned AND kind = '{}'"
     for name, kind, columns, extra, sql in (
-        ("mark_completed", "complete", ["status", "result", "completed_at", "locked_by"], {"result": F.lit('{"ok":1}')}, f"'completed' AS status, '{{\"ok\":1}}' AS result, {T} AS completed_at, CAST(NULL AS VARCHAR) AS locked_by"),
-        ("mark_failed", "fail", ["status", "error_message", "error_trace", "attempts"], {"error": F.lit("boom"), "trace": F.repeat(F.lit("x"), 4001)}, "'failed' AS status, 'boom' AS error_message, repeat('x', 4000) || chr(10) || '... [truncated]' AS error_trace, attempts"),
-        ("update_progress", "progress", ["progress", "progress_message", "locked_at"], {"progress": F.lit(55), "message": F.lit("half")}, f"CAST(55 AS INT) AS progress, 'half' AS progress_message, {T} AS locked_at"),
-        ("heartbeat", "heartbeat", ["locked_at", "updated_at", "status"], {}, f"{T} AS locked_at, {T} AS updated_at, status"),
-        ("schedule_retry", "retry", ["status", "attempts", "available_at", "error_message"], {"attempts": F.lit(2), "delay": F.lit(60), "error": F.lit("again")}, f"'pending' AS status, CAST(2 AS INT) AS attempts, {T} + to_seconds(60) AS available_at, 'again' AS error_message"),
+        ("mark_completed", "complete", ["status", "result", "completed_at", "locked_by"], lambda: {"result": F.lit('{"ok":1}')}, f"'completed' AS status, '{{\"ok\":1}}' AS result, {T} AS completed_at, CAST(NULL AS VARCHAR) AS locked_by"),
+        ("mark_failed", "fail", ["status", "error_message", "error_trace", "attempts"], lambda: {"error": F.lit("boom"), "trace": F.repeat(F.lit("x"), 4001)}, "'failed' AS status, 'boom' AS error_message, repeat('x', 4000) || chr(10) || '... [truncated]' AS error_trace, attempts"),
+        ("update_progress", "progress", ["progress", "progress_message", "locked_at"], lambda: {"progress": F.lit(55), "message": F.lit("half")}, f"CAST(55 AS INT) AS progress, 'half' AS progress_message, {T} AS locked_at"),
+        ("heartbeat", "heartbeat", ["locked_at", "updated_at", "status"], dict, f"{T} AS locked_at, {T} AS updated_at, status"),
+        ("schedule_retry", "retry", ["status", "attempts", "available_at", "error_message"], lambda: {"attempts": F.lit(2), "delay": F.lit(60), "error": F.lit("again")}, f"'pending' AS status, CAST(2 AS INT) AS attempts, {T} + to_seconds(60) AS available_at, 'again' AS error_message"),
     ):
         f = lambda j, t, kind=kind, columns=columns, extra=extra: _one_kind(kind, columns, extra)(j, t)
         f.__name__ = name
