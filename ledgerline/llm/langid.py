@@ -294,6 +294,8 @@ def predict_column(model: Model, column: pa.Array, group: int = 1 << 23) -> tupl
     """Language and score of each text of an Arrow column."""
     data, offsets = text_bytes(column)
     labels, scores = [], []
+    if not model.labels:
+        return [UNKNOWN] * (len(offsets) - 1), [0.0] * (len(offsets) - 1)
     for a, b in slices(offsets, group):
         emissions, letters, first = [], [], [np.zeros(1, np.int64)]
         for c, d in slices(offsets[a : b + 1], 1 << 19):
