@@ -290,7 +290,7 @@ def fit(docs: DataFrame, per_label: int = 150, most_labels: int = 32, fold: int
     return train(texts, langs)
 
 
-def predict_column(model: Model, column: pa.Array, group: int = 1 << 23) -> tuple[list[str], list[float]]:
+def predict_column(model: Model, column: pa.Array, group: int = 1 << 22) -> tuple[list[str], list[float]]:
     """Language and score of each text of an Arrow column."""
     data, offsets = text_bytes(column)
     labels, scores = [], []
