@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_ranks
+from .shared import stored
 
 
 def encoded_lengths(docs: DataFrame, text: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
@@ -34,12 +35,13 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     Null lengths count as 0; no rows give no rows.
 
     Counting is a partial aggregate, so a length that a third of all documents
-    share is one row of each task.  The sums run in two levels: within blocks
+    share is one row of each task.  The counts are written out, so the texts are
+    encoded once though the counts are read twice.  The sums run in two levels: within blocks
     of ``block`` lengths, and over the blocks' totals, which are as many as the
     longest document's length over ``block``.
     """
     counts = lengths.groupBy(F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
-    counts = counts.withColumn("block", F.floor(F.col("n_tokens") / block))
+    counts = stored(counts).withColumn("block", F.floor(F.col("n_tokens") / block))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
