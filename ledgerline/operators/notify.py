@@ -89,6 +89,17 @@ def newest_pending(notifications: DataFrame, most: int) -> DataFrame:
     return rows.where(F.col("r") <= most).select("queue", "job_id").distinct()
 
 
+def has_delayed(notifications: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of ``ids(queue, job_id)`` those that the delayed sets hold."""
+    delayed = notifications.where(F.col("list") == "delayed").select("queue", "job_id")
+    return ids.join(delayed, ["queue", "job_id"], "left_semi")
+
+
+def clear(notifications: DataFrame, queue: str | None = None) -> DataFrame:
+    """Without the notifications of a queue, or of all where it is None."""
+    return notifications.where(F.lit(False) if queue is None else F.col("queue") != queue)
+
+
 def stats(notifications: DataFrame) -> DataFrame:
     return notifications.groupBy("queue").agg(*(F.count(F.when(F.col("list") == x, 1)).alias(x) for x in ("pending", "processing", "delayed")))
 

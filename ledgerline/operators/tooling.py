@@ -108,16 +108,27 @@ def event_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("event").agg(F.count("*").alias("n"), F.min("duration_ms").alias("least"), F.max("duration_ms").alias("most"), F.percentile("duration_ms", 0.5).alias("median"))
 
 
-def ledger_fold(log: DataFrame) -> DataFrame:
+#: States of a job in the log's fold.
+FOLD_STATES = ("none", "pending", "running", "completed", "failed")
+
+
+def ledger_fold(log: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     """The last status of each job from ``log(seq, ts, job_id, op)``.
 
-    A state machine of four states is a function from state to state, so a
-    job's operations compose in any grouping; here they are folded in order of
-    (ts, seq) within the job.
+    Operations act in order of (ts, seq).  Those of a slice of time are folded
+    into a function, the end of each state it may begin in, and a job's
+    functions are then composed in order: so a job with very many operations is
+    spread over its slices, and what comes together for it is a row per slice.
     """
-    ops = log.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "op"))).alias("ops"))
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slice_seconds * 1_000_000))
+    ops = log.groupBy("job_id", at.alias("slice")).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "op"))).alias("ops"))
     next_state = lambda s, o: (
         F.when((o.op == "create") & s.isin("none", "completed", "failed"), "pending").when((o.op == "claim") & (s == "pending"), "running")
         .when((o.op == "complete") & (s == "running"), "completed").when((o.op == "fail") & (s == "running"), "failed").otherwise(s)
     )
-    return ops.select("job_id", F.aggregate("ops", F.lit("none"), next_state).alias("status"), F.size("ops").cast("long").alias("n_ops"))
+    begin = F.array(*map(F.lit, FOLD_STATES))
+    ends = F.aggregate("ops", begin, lambda states, o: F.transform(states, lambda s: next_state(s, o)))
+    folded = ops.select("job_id", "slice", F.map_from_arrays(begin, ends).alias("ends"), F.size("ops").cast("long").alias("n"))
+    parts = folded.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("slice", F.map_entries("ends").alias("ends")))).alias("parts"), F.sum("n").alias("n_ops"))
+    status = F.aggregate("parts", F.lit("none"), lambda s, part: F.element_at(F.map_from_entries(part.ends), s))
+    return parts.select("job_id", status.alias("status"), "n_ops")

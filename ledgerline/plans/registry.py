@@ -479,6 +479,68 @@ def ratchet_diff(documents):
     return tooling.ratchet(longest(documents.where("doc_id % 2 = 1")), longest(documents.where("doc_id % 2 = 0 AND source <> 'src3'")), {"longest": 5000}, allowed)
 
 
+_RAW_ID = "CASE id % 4 WHEN 0 THEN '0' || CAST(id AS VARCHAR(20)) WHEN 1 THEN CAST(id AS VARCHAR(20)) || 'x' WHEN 2 THEN CAST(id AS VARCHAR(20)) ELSE repeat('9', 20) END"
+
+
+@_query("jobs", f"SELECT queue, {_RAW_ID} AS raw_id, CASE WHEN id % 4 = 2 THEN id END AS job_id FROM jobs")
+def malformed_ids(jobs):
+    valid, malformed = notify.split_malformed(jobs.select("queue", F.expr(_RAW_ID).alias("raw_id")))
+    return valid.unionByName(malformed, allowMissingColumns=True)
+
+
+@_query("jobs notifications", "SELECT queue, id FROM jobs j WHERE status = 'pending' AND EXISTS (SELECT 1 FROM notifications n WHERE n.queue = j.queue AND n.job_id = j.id AND list = 'delayed')")
+def has_delayed(jobs, notifications):
+    asked = jobs.where("status = 'pending'").select("queue", F.col("id").alias("job_id"))
+    return notify.has_delayed(notifications, asked).withColumnRenamed("job_id", "id")
+
+
+@_query("notifications", f"SELECT queue, job_id, list FROM notifications WHERE queue <> '{QUEUE}'")
+def clear_queue(notifications):
+    return notify.clear(notifications, QUEUE).select("queue", "job_id", "list")
+
+
+@_query("jobs", "SELECT id, CASE WHEN id % 3 > 0 THEN TIMESTAMP '1970-01-01 00:00:00' + to_seconds(id * 1000) END AS due FROM jobs")
+def epoch_available_at(jobs):
+    return jobs.select("id", ingest.from_epoch(F.when(F.col("id") % 3 > 0, F.col("id") * 1000).otherwise(-F.col("id"))).alias("due"))
+
+
+@_query("jobs", "SELECT id, CASE id % 5 WHEN 0 THEN 'type must not be blank' WHEN 1 THEN 'queue must not be blank' WHEN 2 THEN 'max_attempts must be at least 1' WHEN 3 THEN 'request_id must not be blank' END AS error FROM jobs")
+def definition_errors(jobs):
+    blank = lambda k, c: F.when(F.col("id") % 5 == k, " ").otherwise(F.coalesce(F.col(c), F.lit("x")))
+    made = {"type": blank(0, "type"), "queue": blank(1, "queue"), "request_id": blank(3, "request_id"), "max_attempts": F.when(F.col("id") % 5 == 2, 0).otherwise(3)}
+    return jobs.select("id", *(v.alias(c) for c, v in made.items())).select("id", ingest.definition_error().alias("error"))
+
+
+@_query("jobs", f"SELECT id, CASE id % 3 WHEN 0 THEN available_at WHEN 1 THEN CAST(CAST(available_at AS DATE) AS TIMESTAMP) ELSE {T} END AS due FROM jobs")
+def parsed_times(jobs):
+    raw = F.when(F.col("id") % 3 == 0, F.date_format("available_at", "yyyy-MM-dd HH:mm:ss")).when(F.col("id") % 3 == 1, F.date_format("available_at", "yyyy-MM-dd")).otherwise("")
+    return jobs.select("id", rules.parsed_time(raw, _now()).alias("due"))
+
+
+@_query("jobs", "SELECT id, regexp_replace(queue, '[^a-zA-Z0-9_-]', '', 'g') AS lock, 'host:' || CAST(id AS VARCHAR) AS worker, progress IS NULL OR progress + 1 BETWEEN 0 AND 100 AS progress_ok, id % 3 = 0 AS infrastructure FROM jobs")
+def policy_columns(jobs):
+    raised = F.when(F.col("id") % 3 == 0, "redis.exceptions.ConnectionError").otherwise("builtins.ValueError")
+    return jobs.select("id", rules.lock_name(F.col("queue")).alias("lock"), rules.worker_id(F.lit("host"), F.col("id")).alias("worker"), rules.progress_valid(F.col("progress") + 1).alias("progress_ok"), rules.infrastructure_error(raised).alias("infrastructure"))
+
+
+@_query(
+    "worker_events",
+    """, m AS (SELECT event AS scenario, 'n' AS metric, count(*) AS value FROM worker_events GROUP BY 1),
+b AS (SELECT * FROM (VALUES ('claimed', 'n', 10, false), ('completed', 'n', 1000000000000, false), ('failed', 'n', 1, true), ('absent', 'n', 5, false)) t(scenario, metric, most, exact))
+SELECT scenario, metric, CAST(most AS BIGINT) AS most, exact, value FROM b LEFT JOIN m USING (scenario, metric) WHERE value IS NULL OR (exact AND value <> most) OR (NOT exact AND value > most)""",
+)
+def budget_violations(events):
+    measured = events.groupBy(F.col("event").alias("scenario")).agg(F.lit("n").alias("metric"), F.count("*").alias("value"))
+    budgets = [("claimed", "n", 10, False), ("completed", "n", 10**12, False), ("failed", "n", 1, True), ("absent", "n", 5, False)]
+    return tooling.over_budget(measured, events.sparkSession.createDataFrame(budgets, "scenario string, metric string, most long, exact boolean"))
+
+
+@_query("documents", "SELECT source, count(*) FILTER (n_chars >= 500) * 100.0 / count(*) >= 50 AS met FROM documents GROUP BY 1")
+def coverage_gate(documents):
+    counts = documents.groupBy("source").agg(F.count(F.when(F.col("n_chars") >= 500, 1)).alias("covered"), F.count("*").alias("statements"))
+    return counts.select("source", tooling.coverage_met(F.col("covered"), F.col("statements"), 50).alias("met"))
+
+
 # -- streams -----------------------------------------------------------------
 
 
@@ -507,18 +569,57 @@ def stream_ledger_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("job_id").agg(F.max(F.struct("n_ops", "status")).alias("last")).select("job_id", "last.status", "last.n_ops")
 
 
-def stream_lease_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _due_stream(spark: SparkSession, sf_dir: str, op: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     stateful.use_rocksdb(spark)
-    return _streamed(spark, stateful.expired_leases(_stream(spark, sf_dir, "op_log").where("op = 'claim'").select("job_id", "ts"), 600))
+    return _streamed(spark, make(_stream(spark, sf_dir, "op_log").where(F.col("op") == op)))
+
 
+def stream_lease_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _due_stream(spark, sf_dir, "claim", lambda rows: stateful.expired_leases(rows, 600))
+
+
+def stream_promote_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = rules.after(F.col("ts"), F.col("seq") % 400 * 3600)
+    return _due_stream(spark, sf_dir, "create", lambda rows: stateful.promoted(rows.withColumn("score", score)))
+
+
+def stream_retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _due_stream(spark, sf_dir, "fail", lambda rows: stateful.retried(rows.withColumn("attempts", F.col("seq") % 12)))
+
+
+def stream_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stateful.use_rocksdb(spark)
+    requests = _stream(spark, sf_dir, "create_requests").select("seq", "request_id", (F.col("seq") % 18 == 0).alias("ended"))
+    return _streamed(spark, stateful.idempotent(requests))
+
+
+def _due_sql(op: str, due: str) -> str:
+    """What is due by the watermark that the whole bounded source leaves."""
+    return f"""{oracle_views("op_log")}, r AS (SELECT job_id, epoch_us(ts) // 1000 AS came, epoch_us({due}) // 1000 AS due FROM op_log WHERE op = '{op}'),
+d AS (SELECT job_id, max({{'came': came, 'due': due}}) AS latest FROM r GROUP BY 1)
+SELECT job_id, latest.due AS expired_at_ms FROM d WHERE latest.due <= (SELECT max(came) - 1000 FROM r)"""
+
+
+_STREAM_ORACLES = {
+    "stream_event_metrics": f"""{oracle_views("worker_events")} SELECT date_trunc('day', ts) AS start, event, count(*) AS n, CAST(sum(CAST(duration_ms AS DECIMAL(18, 6))) AS DOUBLE) AS total_ms
+FROM worker_events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM worker_events)""",
+    "stream_ledger_fold": _ORACLES["ledger_fold"],
+    "stream_lease_expiry": _due_sql("claim", "ts + to_seconds(600)"),
+    "stream_promote_delayed": _due_sql("create", "ts + to_seconds(seq % 400 * 3600)"),
+    "stream_retry_backoff": _due_sql("fail", "ts + to_seconds(CAST(least(pow(2, seq % 12), 300) AS INT))"),
+    "stream_idempotent": f"""{oracle_views("create_requests")}, r AS (SELECT seq, request_id, seq % 18 = 0 AS ended FROM create_requests),
+g AS (SELECT *, count(*) FILTER (ended) OVER (PARTITION BY request_id ORDER BY seq) AS term FROM r),
+m AS (SELECT *, min(seq) OVER (PARTITION BY request_id, term) AS maker FROM g WHERE NOT ended)
+SELECT seq, request_id, maker, seq = maker AS created FROM m""",
+}
 
 _kinds()
 
 
 def queries() -> dict[str, Query]:
-    streams = {f.__name__: f for f in (stream_event_metrics, stream_ledger_fold, stream_lease_expiry)}
-    return {**_QUERIES, **streams}
+    streams = (stream_event_metrics, stream_ledger_fold, stream_lease_expiry, stream_promote_delayed, stream_retry_backoff, stream_idempotent)
+    return {**_QUERIES, **{f.__name__: f for f in streams}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES) | {"stream_ledger_fold": _ORACLES["ledger_fold"]}
+    return {**_ORACLES, **_STREAM_ORACLES}

@@ -11,10 +11,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.rules import after, delay
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,9 +34,11 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
 
 
 def event_metrics(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Counts and sums of each event in windows of event time; an extension."""
+    """Counts and sums of each event in windows of event time; an extension.
+
+    Sums are taken in decimals, so they do not depend on the order of rows."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", width), "event").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event", "n", "total_ms")
+    return timed.groupBy(F.window("ts", width), "event").agg(F.count("*").alias("n"), F.sum(F.col("duration_ms").cast("decimal(18,6)")).cast("double").alias("total_ms")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event", "n", "total_ms")
 
 
 class _Fold(StatefulProcessor):
@@ -61,60 +65,57 @@ def fold_log(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").transformWithStateInPandas(_Fold(), "job_id long, status string, n_ops long", "Update", "None")
 
 
-class _Leases(StatefulProcessor):
-    """A lease ends when nothing has renewed it for ttl seconds of event time."""
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
+class _Timers(StatefulProcessor):
+    """A timer of each job, set by its latest row: (at, due) in milliseconds."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", "due long")
+        self.last = handle.getValueState("last", "at long, due long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = self.due.get()
-        due = max([old[0] if old else 0, *(int(t.timestamp() * 1000) + self.ttl * 1000 for part in rows for t in part["ts"])])
+        old = self.last.get()
+        last = max([*([tuple(old)] if old else []), *(pair for part in rows for pair in zip(part["at"].tolist(), part["due"].tolist(), strict=True))])
         if old:
-            self.handle.deleteTimer(old[0])
-        self.handle.registerTimer(due)
-        self.due.update((due,))
+            self.handle.deleteTimer(old[1])
+        self.handle.registerTimer(last[1])
+        self.last.update(last)
         yield pd.DataFrame({"job_id": [], "expired_at_ms": []}).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         due = expiredTimerInfo.getExpiryTimeInMs()
-        self.due.clear()
+        self.last.clear()
         yield pd.DataFrame({"job_id": [key[0]], "expired_at_ms": [due]})
 
     def close(self) -> None:
         pass
 
 
-def expired_leases(claims: DataFrame, ttl: int, late: str = "1 second") -> DataFrame:
-    """``claims(job_id, ts)``, heartbeats among them, to leases that have ended."""
-    timed = claims.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy("job_id").transformWithStateInPandas(_Leases(ttl), "job_id long, expired_at_ms long", "Append", "EventTime")
-
+def due_times(rows: DataFrame, due: Column, late: str = "1 second") -> DataFrame:
+    """``rows(job_id, ts)`` to the jobs whose time ``due`` has come, and that time.
 
-class _Due(_Leases):
-    """A job is due at its score: delayed promotion, and retries with backoff."""
+    Of a job's rows the latest by ts counts (of equal ones the latest due), so
+    the order of arrival does not matter.  Times are UTC.
+    """
+    millis = lambda time: F.unix_millis(time.cast("timestamp"))
+    timed = rows.select("job_id", F.col("ts").cast("timestamp").alias("ts"), millis(F.col("ts")).alias("at"), millis(due).alias("due")).withWatermark("ts", late)
+    return timed.groupBy("job_id").transformWithStateInPandas(_Timers(), "job_id long, expired_at_ms long", "Append", "EventTime")
 
-    def __init__(self):
-        super().__init__(0)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = self.due.get()
-        due = [int(t.timestamp() * 1000) for part in rows for t in part["score"]][-1]
-        if old:
-            self.handle.deleteTimer(old[0])
-        self.handle.registerTimer(due)
-        self.due.update((due,))
-        yield pd.DataFrame({"job_id": [], "expired_at_ms": []}).astype("int64")
+def expired_leases(claims: DataFrame, ttl: int, late: str = "1 second") -> DataFrame:
+    """``claims(job_id, ts)``, heartbeats among them, to leases that nothing has
+    renewed for ttl seconds."""
+    return due_times(claims, after(F.col("ts"), ttl), late)
 
 
 def promoted(delayed: DataFrame, late: str = "1 second") -> DataFrame:
-    """``delayed(job_id, ts, score)`` to job_id and the time at which it was due."""
-    timed = delayed.withColumns({"ts": F.col("ts").cast("timestamp"), "score": F.col("score").cast("timestamp")}).withWatermark("ts", late)
-    return timed.groupBy("job_id").transformWithStateInPandas(_Due(), "job_id long, expired_at_ms long", "Append", "EventTime")
+    """``delayed(job_id, ts, score)`` to the jobs whose score has come."""
+    return due_times(delayed, F.col("score"), late)
+
+
+def retried(failures: DataFrame, base: int = 2, cap: int = 300, late: str = "1 second") -> DataFrame:
+    """``failures(job_id, ts, attempts)``, attempts counted with this one, to the
+    jobs whose backoff is over."""
+    return due_times(failures, after(F.col("ts"), delay(base, F.col("attempts"), cap)), late)
 
 
 class _Creation(StatefulProcessor):
