@@ -1,6 +1,7 @@
 """Scenarios of the ledger operators on small tables."""
 
 import datetime as dt
+import os
 import threading
 
 import pytest
@@ -10,6 +11,7 @@ from ledgerline.functions import rules
 from ledgerline.operators import claims, ingest, notify, reads, reconcile, recovery, runner, tooling, transitions
 from ledgerline.schema import CommitConflict, HandlerMissing, ModeUnavailable, SerializationError
 from ledgerline.sources import ledger
+from ledgerline.streaming import stateful
 
 START = dt.datetime(2023, 11, 14, 22, 13, 20)
 
@@ -242,3 +244,45 @@ def test_reads(spark):
     assert [r.id for r in reads.scan_pending(jobs, "q", 2, 5).collect()] == [4, 6] and one(reads.count_jobs(jobs, "failed")).n == 4
     with pytest.raises(ValueError):
         reads.scan_pending(jobs, "q", None, 0)
+
+
+def batches(spark, tmp_path, name, schema, parts):
+    """A stream with a micro-batch for each of the parts."""
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        for f in (tmp_path / name).glob("*.parquet"):
+            if f.stat().st_mtime > 1e9:  # not dated yet
+                os.utime(f, (k + 1000, k + 1000))
+    stateful.use_rocksdb(spark)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+
+
+def test_creation_keeps_its_state_over_micro_batches(spark, tmp_path):
+    parts = [[(1, "a", False), (2, "a", False), (3, "b", False)], [(4, "a", False), (5, "b", True), (6, "b", False)], [(7, "a", True)], [(8, "a", False)]]
+    stream = batches(spark, tmp_path, "requests", "seq long, request_id string, ended boolean", parts)
+    got = stateful.run_available(stateful.idempotent(stream), str(tmp_path)).orderBy("seq").collect()
+    assert [(r.seq, r.maker, r.created) for r in got] == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 1, False), (6, 6, True), (8, 8, True)]
+
+
+def test_a_later_row_moves_a_timer(spark, tmp_path):
+    # job 1 is renewed before its lease ends; job 2 ends; job 3 is still held
+    parts = [[(1, at(0)), (2, at(0))], [(1, at(50))], [(3, at(120))], [(3, at(149))]]
+    stream = batches(spark, tmp_path, "claims", "job_id long, ts timestamp_ntz", parts)
+    got = stateful.run_available(stateful.expired_leases(stream, 60), str(tmp_path)).orderBy("job_id").collect()
+    start = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    assert [(r.job_id, r.expired_at_ms - start) for r in got] == [(1, 110_000), (2, 60_000)]
+
+
+def test_the_fold_does_not_depend_on_its_slices(spark):
+    ops = ["create", "claim", "create", "fail", "complete", "create", "claim", "complete", "heartbeat"]
+    log = spark.createDataFrame([(k, at(k * 7), j, op) for j in (1, 2) for k, op in enumerate(ops[: 9 - 4 * (j - 1)])], "seq long, ts timestamp_ntz, job_id long, op string")
+    for seconds in (1, 20, 3600):
+        got = {r.job_id: (r.status, r.n_ops) for r in tooling.ledger_fold(log, seconds).collect()}
+        assert got == {1: ("completed", 9), 2: ("failed", 5)}
+
+
+def test_delayed_members_and_clearing(spark):
+    held = spark.createDataFrame([("q", 1, "delayed"), ("q", 2, "pending"), ("r", 1, "pending")], "queue string, job_id long, list string")
+    asked = held.select("queue", "job_id")
+    assert [tuple(r) for r in notify.has_delayed(held, asked).collect()] == [("q", 1)]
+    assert [r.queue for r in notify.clear(held, "q").collect()] == ["r"] and notify.clear(held).count() == 0
