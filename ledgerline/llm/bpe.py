@@ -25,8 +25,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps of pieces and their ids, some 200 bytes each.
-CACHED = 300_000
+#: Entries that a worker keeps of pieces and their ids, and the most characters
+#: of a piece that is kept: at most some 200 bytes each, so 60 MB.
+CACHED, CACHED_LENGTH = 300_000, 24
 
 
 class _Ids(dict):
@@ -40,9 +41,11 @@ class _Ids(dict):
         if self._before and (not piece or piece[0].isspace() or piece[-1].isspace()):
             return None
         ids = self._encode(self._before + piece)
-        if len(self) >= CACHED:
-            self.clear()
-        self[piece] = made = struct.pack(f"<{len(ids)}I", *ids)
+        made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = made
         return made
 
 

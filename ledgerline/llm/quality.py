@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .columns import _SOLID, runs, slices, span_hashes, text_bytes, windows, words
 from .shared import fresh, stored
@@ -98,8 +99,7 @@ def with_counts(docs: DataFrame, names: dict[str, str], text: str = "text") -> D
             made = measure(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(made[n]) for n in COUNTS)], [*batch.schema.names, *(names[n] for n in COUNTS)])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(count, f"{kinds}, " + ", ".join(f"`{names[n]}` long" for n in COUNTS))
+    return docs.mapInArrow(count, StructType([*docs.schema, *(StructField(names[n], LongType()) for n in COUNTS)]))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
