@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, langid, license_scan, packing, quality, quotes, secret_scan, tiff, token_counts
+from . import bpe, forest, langid, license_scan, packing, quality, quotes, secret_scan, sql, tiff, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_digests": license_scan.lookup_sql()}
+    return {"op6_license_digests": license_scan.lookup_sql(), "op9_jaccard_forest": sql.JACCARD_JOIN, "op10_adaptive_quality": sql.adaptive_quality()}

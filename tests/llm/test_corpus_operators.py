@@ -191,6 +191,21 @@ def test_pipeline_stages(spark, labelled, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_copies", "secrets", "packing"]
 
 
+@pytest.mark.parametrize("name", ["op9_jaccard_forest", "op10_adaptive_quality"])
+@pytest.mark.parametrize("rows", ["near", "labelled", "table"])
+def test_queries_equal_their_sql(spark, labelled, tmp_path, name, rows):
+    folder = "/root/testdata/sf0.001"
+    if rows != "table":
+        folder = str(tmp_path)
+        made = [(k, t, "en", None, 0) for k, t in near_corpus()] if rows == "near" else labelled + [(None, None, None, None, None), (900, labelled[0][1] + " # " * 90, "en", "s0", 0)]
+        spark.createDataFrame(made, SCHEMA).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet{'' if rows == 'table' else '/*.parquet'}')")
+    wanted = base.sql(oracle_sql()[name])
+    got = queries()[name](spark, folder)
+    assert sorted(map(str, map(tuple, got.select(*wanted.columns).collect()))) == sorted(map(str, wanted.fetchall())) and set(got.columns) == set(wanted.columns)
+
+
 def test_every_operator_is_registered():
     names = list(queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
