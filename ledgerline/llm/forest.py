@@ -6,11 +6,13 @@ a prefix of the label is a node of the tree's trie.  From full labels the
 prefixes are shortened until the recall of a pair at the threshold reaches the
 target; texts under one node of a tree are candidates.
 
-Nothing grows with the square of a group.  Copies are one class before the
-forest.  Under a node, pairs are compared by signature alone, within blocks of a
-fixed number of texts, and only a spanning forest of the close ones goes out.
-Its components hold all candidates; their texts meet once, again in blocks, for
-exact verification, which gives counts of links and a spanning forest of them.
+Copies are one class before the forest.  Under a node, pairs are compared by
+signature alone, within blocks of a fixed number of texts, and only edges that
+connect the close ones go out; in a node of several blocks, what is close to its
+first text is compared with that alone.  The components hold all candidates;
+their texts meet once, again in blocks, for exact verification, which gives
+counts of links and a spanning forest of them.  No pair is a row, but counting
+the links of a component of n texts sends each text to n / 256 pairs of blocks.
 """
 
 from __future__ import annotations
@@ -116,8 +118,8 @@ def _close(a: np.ndarray, b: np.ndarray, brief: np.ndarray, least: float) -> np.
     return out
 
 
-def _brief(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+def _brief(table: pa.Table | pa.RecordBatch, name: str = "brief") -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
 def _edges(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -149,16 +151,55 @@ def signed(texts: DataFrame, size: int, prefix: int) -> DataFrame:
     return texts.mapInArrow(sign, "id binary, brief binary, keys array<long>")
 
 
+def starred(rows: DataFrame, key: str, near) -> tuple[DataFrame, DataFrame]:
+    """Which pairs of ``rows(key, id, brief, size)`` are still to be compared
+    where only the components of close pairs matter.
+
+    ``rows`` are read several times.  A group of one block goes out as it is.  In
+    a larger one each row is held against the group's first row by
+    ``near(table)``: those close to it are its star, and no two of them need to
+    meet.  The rest meets all rows of the group, in pairs of blocks.  So a group
+    in which all are close to the first costs one comparison a row.  Returns the stars' edges ``(a, b)`` and rows
+    ``(key, bi, bj, own, id, brief)``.
+    """
+    zero = F.lit(0)
+    small = rows.where(F.col("size") <= BLOCK).select(key, zero.alias("bi"), zero.alias("bj"), zero.alias("own"), "id", "brief")
+    large = rows.where(F.col("size") > BLOCK).select(key, "id", "brief")
+    first = large.groupBy(key).agg(F.min(F.struct("id", "brief")).alias("first"))
+    first = first.select(key, F.col("first.id").alias("centre"), F.col("first.brief").alias("centre_brief"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "id", "brief", "centre")), pa.array(near(batch))], [key, "id", "brief", "centre", "core"])
+
+    kind = large.schema[key].dataType.simpleString()
+    marks = stored(large.join(first, key).mapInArrow(mark, f"`{key}` {kind}, id binary, brief binary, centre binary, core boolean"))
+    sizes = marks.groupBy(key).agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest")).where("n_rest > 0")
+    rest, core = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n_rest", "n_core"))
+    mixed = F.xxhash64("id", F.lit(11))
+    own = F.when(F.col("core"), rest + F.pmod(mixed, core)).otherwise(F.pmod(mixed, rest)).cast("int")
+    others = F.sequence(zero, F.when(F.col("core"), rest).otherwise(rest + core) - 1)
+    left = marks.join(sizes, key).select(key, "id", "brief", own.alias("own"), F.explode(others).alias("other"))
+    left = left.select(key, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "brief")
+    return marks.where("core AND id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")), small.unionByName(left)
+
+
 def candidate_edges(signs: DataFrame, threshold: float) -> DataFrame:
-    """A spanning forest ``(a, b)`` of the texts that share a node and whose
-    signatures agree as far as a pair at the threshold does but for chance: five
-    standard deviations below."""
+    """Edges ``(a, b)`` whose components are those of the texts that share a node
+    and whose signatures agree as far as a pair at the threshold does but for
+    chance: five standard deviations below."""
     length = TREES * LABEL
     least = threshold - 5 * (threshold * (1 - threshold) / length) ** 0.5
     nodes = signs.select("id", F.explode("keys").alias("node"))
     counts = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = nodes.join(counts, "node").join(signs.select("id", "brief"), "id")
-    rows = block_pairs(nodes, "size", "node", "brief").repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "id")
+    nodes = stored(nodes.join(counts, "node").join(signs.select("id", "brief"), "id"))
+
+    def near(batch: pa.RecordBatch) -> np.ndarray:
+        return np.count_nonzero(_brief(batch) == _brief(batch, "centre_brief"), axis=1) >= least * length
+
+    stars, rows = starred(nodes, "node", near)
+    rows = rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "id")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["node", "bi", "bj"]):
@@ -167,7 +208,7 @@ def candidate_edges(signs: DataFrame, threshold: float) -> DataFrame:
             if found:
                 yield _edges(table, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    return rows.mapInArrow(link, "a binary, b binary")
+    return stars.unionByName(rows.mapInArrow(link, "a binary, b binary"))
 
 
 def verified(rows: DataFrame, size: int, threshold: float) -> DataFrame:
