@@ -151,54 +151,91 @@ def signed(texts: DataFrame, size: int, prefix: int) -> DataFrame:
     return texts.mapInArrow(sign, "id binary, brief binary, keys array<long>")
 
 
-def starred(rows: DataFrame, key: str, near) -> tuple[DataFrame, DataFrame]:
-    """Which pairs of ``rows(key, id, brief, size)`` are still to be compared
+def starred(rows: DataFrame, key: str, near, *others: str) -> tuple[DataFrame, DataFrame]:
+    """Which pairs of ``rows(key, id, size, *others)`` are still to be compared
     where only the components of close pairs matter.
 
     ``rows`` are read several times.  A group of one block goes out as it is.  In
     a larger one each row is held against the group's first row by
-    ``near(table)``: those close to it are its star, and no two of them need to
-    meet.  The rest meets all rows of the group, in pairs of blocks.  So a group
-    in which all are close to the first costs one comparison a row.  Returns the stars' edges ``(a, b)`` and rows
-    ``(key, bi, bj, own, id, brief)``.
+    ``near(batch)``, where that one's columns begin with ``centre_``: those close
+    to it are its star, and no two of them need to meet.  The rest meets all rows
+    of the group, in pairs of blocks.  So a group in which all are close to the
+    first costs one comparison a row.  Returns the stars' edges ``(a, b)`` and
+    rows ``(key, bi, bj, own, id, *others)``.
     """
     zero = F.lit(0)
-    small = rows.where(F.col("size") <= BLOCK).select(key, zero.alias("bi"), zero.alias("bj"), zero.alias("own"), "id", "brief")
-    large = rows.where(F.col("size") > BLOCK).select(key, "id", "brief")
-    first = large.groupBy(key).agg(F.min(F.struct("id", "brief")).alias("first"))
-    first = first.select(key, F.col("first.id").alias("centre"), F.col("first.brief").alias("centre_brief"))
+    small = rows.where(F.col("size") <= BLOCK).select(key, zero.alias("bi"), zero.alias("bj"), zero.alias("own"), "id", *others)
+    large = rows.where(F.col("size") > BLOCK).select(key, "id", *others)
+    first = large.groupBy(key).agg(F.min("id").alias("id")).join(large, [key, "id"])
+    first = first.select(key, *(F.col(c).alias(f"centre_{c}") for c in ("id", *others)))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "id", "brief", "centre")), pa.array(near(batch))], [key, "id", "brief", "centre", "core"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "id", "centre_id")), pa.array(near(batch))], [key, "id", "centre", "core"])
 
     kind = large.schema[key].dataType.simpleString()
-    marks = stored(large.join(first, key).mapInArrow(mark, f"`{key}` {kind}, id binary, brief binary, centre binary, core boolean"))
+    marks = stored(large.join(first, key).mapInArrow(mark, f"`{key}` {kind}, id binary, centre binary, core boolean"))
     sizes = marks.groupBy(key).agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest")).where("n_rest > 0")
     rest, core = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n_rest", "n_core"))
     mixed = F.xxhash64("id", F.lit(11))
     own = F.when(F.col("core"), rest + F.pmod(mixed, core)).otherwise(F.pmod(mixed, rest)).cast("int")
-    others = F.sequence(zero, F.when(F.col("core"), rest).otherwise(rest + core) - 1)
-    left = marks.join(sizes, key).select(key, "id", "brief", own.alias("own"), F.explode(others).alias("other"))
-    left = left.select(key, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", "brief")
+    met = F.sequence(zero, F.when(F.col("core"), rest).otherwise(rest + core) - 1)
+    left = marks.join(sizes, key).join(large, [key, "id"]).select(key, "id", *others, own.alias("own"), F.explode(met).alias("other"))
+    left = left.select(key, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", *others)
     return marks.where("core AND id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")), small.unionByName(left)
 
 
+def linked(p: frozenset, q: frozenset, share: Fraction) -> bool:
+    """Whether two sets of shingles have at least this Jaccard similarity."""
+    if min(len(p), len(q)) * share.denominator < share.numerator * max(len(p), len(q)):
+        return False
+    both = len(p & q)
+    return both * share.denominator >= share.numerator * (len(p) + len(q) - both)
+
+
+def linked_to_first(size: int, threshold: float):
+    """``near`` of :func:`starred` for whole texts, exact after signatures."""
+    least, share = _least(threshold), Fraction(str(threshold))
+
+    def near(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.count_nonzero(_brief(batch) == _brief(batch, "centre_brief"), axis=1) >= least * TREES * LABEL
+        columns = [batch.column(c) for c in ("text", "centre_text", "centre_id")]
+        known, first = None, frozenset()
+        for k in np.flatnonzero(out).tolist():
+            text, centre_text, centre = (c[k].as_py() for c in columns)
+            if centre != known:
+                known, first = centre, shingle_set(centre_text, size)
+            out[k] = linked(shingle_set(text, size), first, share)
+        return out
+
+    return near
+
+
+def shingle_set(text: str, size: int) -> frozenset:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return frozenset(shingles(data, np.array([0, len(data)]), size)[0].tolist())
+
+
+def _least(threshold: float) -> float:
+    """The share of equal hashes below which a pair at the threshold falls only
+    beyond five standard deviations."""
+    return threshold - 5 * (threshold * (1 - threshold) / (TREES * LABEL)) ** 0.5
+
+
 def candidate_edges(signs: DataFrame, threshold: float) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of the texts that share a node
     and whose signatures agree as far as a pair at the threshold does but for
     chance: five standard deviations below."""
-    length = TREES * LABEL
-    least = threshold - 5 * (threshold * (1 - threshold) / length) ** 0.5
+    least = _least(threshold)
     nodes = signs.select("id", F.explode("keys").alias("node"))
     counts = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     nodes = stored(nodes.join(counts, "node").join(signs.select("id", "brief"), "id"))
 
     def near(batch: pa.RecordBatch) -> np.ndarray:
-        return np.count_nonzero(_brief(batch) == _brief(batch, "centre_brief"), axis=1) >= least * length
+        return np.count_nonzero(_brief(batch) == _brief(batch, "centre_brief"), axis=1) >= least * TREES * LABEL
 
-    stars, rows = starred(nodes, "node", near)
+    stars, rows = starred(nodes, "node", near, "brief")
     rows = rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "id")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +252,7 @@ def verified(rows: DataFrame, size: int, threshold: float) -> DataFrame:
     """Exact links among ``rows(root, bi, bj, own, id, brief, text)``: rows
     ``(a, b, n)``, of which those with b are a spanning forest of the links and
     those without say how many links of a were found here."""
-    length = TREES * LABEL
-    least = threshold - 5 * (threshold * (1 - threshold) / length) ** 0.5
+    least = _least(threshold)
     share = Fraction(str(threshold))
     rows = rows.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "id")
 
@@ -226,7 +262,7 @@ def verified(rows: DataFrame, size: int, threshold: float) -> DataFrame:
             data, offsets = text_bytes(table.column("text"))
             sets: dict[int, frozenset] = {}
 
-            def shingle_set(k: int) -> frozenset:
+            def shingles_of(k: int) -> frozenset:
                 if k not in sets:
                     if len(sets) >= 4 * BLOCK:
                         sets.clear()
@@ -238,11 +274,7 @@ def verified(rows: DataFrame, size: int, threshold: float) -> DataFrame:
             for a, b in _met(table, bounds):
                 close = _close(a, b, brief, least)
                 for x, y in zip(a[close].tolist(), b[close].tolist(), strict=True):
-                    p, q = shingle_set(x), shingle_set(y)
-                    if min(len(p), len(q)) * share.denominator < share.numerator * max(len(p), len(q)):
-                        continue
-                    both = len(p & q)
-                    if both * share.denominator >= share.numerator * (len(p) + len(q) - both):
+                    if linked(shingles_of(x), shingles_of(y), share):
                         links.append((x, y))
             if links:
                 a, b = np.array(links).T
@@ -261,9 +293,13 @@ def text_id(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def classes(docs: DataFrame, key: str, text: str, size: int, threshold: float, recall: float) -> DataFrame:
+def classes(docs: DataFrame, key: str, text: str, size: int, threshold: float, recall: float, counted: bool = True) -> DataFrame:
     """A row for each distinct text: id, copy_of, times (documents with this key
-    and text), root (of its component of links), n_links."""
+    and text), root (of its component of links) and, if ``counted``, n_links.
+
+    Without the counts, what is linked to the first text of a component is
+    compared with that alone.
+    """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_id(text).alias("id"))
     keys = rows.groupBy("id", "key").agg(F.count("*").alias("times"))
     # of a struct the least; a null key comes last
@@ -277,11 +313,20 @@ def classes(docs: DataFrame, key: str, text: str, size: int, threshold: float, r
     members = components.join(sizes, "root").withColumnRenamed("node", "id").join(signs.select("id", "brief"), "id")
     # copies of a text become one row in each task before they are dealt out
     texts = rows.groupBy("id").agg(F.first("text").alias("text"))
-    checked = stored(verified(block_pairs(members.join(texts, "id"), "size", "root", "brief", "text"), size, threshold))
-    linked = connected_components(checked.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
-    counts = checked.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    named = named.join(linked, "id", "left").join(counts, "id", "left")
-    return stored(named.select("id", "copy_of", "times", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    members = members.join(texts, "id")
+    if counted:
+        checked = stored(verified(block_pairs(members, "size", "root", "brief", "text"), size, threshold))
+        links = checked.where("b IS NOT NULL").select("a", "b")
+    else:
+        stars, rest = starred(stored(members), "root", linked_to_first(size, threshold), "brief", "text")
+        links = stars.unionByName(verified(rest, size, threshold).where("b IS NOT NULL").select("a", "b"))
+    named = named.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left")
+    columns = ["id", "copy_of", "times", F.coalesce("root", "id").alias("root")]
+    if counted:
+        counts = checked.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+        named = named.join(counts, "id", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return stored(named.select(*columns))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
@@ -313,7 +358,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     Of rows that share this key and text, one stays; where all keys of a class
     are null, a row of the text with the least id.
     """
-    named = classes(docs, key, text, size, threshold, recall)
+    named = classes(docs, key, text, size, threshold, recall, counted=False)
     order = F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "id", "times")
     chosen = named.groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.id").alias("chosen_id"), F.col("c.copy_of").alias("chosen_key"), F.col("c.times").alias("chosen_times"))
     chosen = stored(chosen)

@@ -119,7 +119,9 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert forest.jaccard_join(docs.limit(0)).count() == 0
 
 
-def test_one_document_of_each_class_stays(spark):
+@pytest.mark.parametrize("block", [256, 3])
+def test_one_document_of_each_class_stays(spark, monkeypatch, block):
+    monkeypatch.setattr(forest, "BLOCK", block)
     rows = near_corpus(groups=4) + [(None, "only null keys here now"), (None, "only null keys here now")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", forest.F.lit(1))
     kept = forest.keep_one(docs)
