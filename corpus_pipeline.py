@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages, each on what the one before it kept.
 
 language     documents without a known language go
-quality      documents that fail the base rules or their source's thresholds go
+quality      documents that fail the base rules or their source's and language's thresholds go
 near copies  of each class of near copies one document stays
 secrets      what looks like a secret is masked in the text
 packing      the texts' tokens are packed into sequences of at most 1024

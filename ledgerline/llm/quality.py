@@ -31,6 +31,8 @@ RATES = {"symbol_rate": 0.05, "dup_line_rate": 0.5, "repeat_rate": 0.3, "word_le
 #: A document is far out beyond so many interquartile ranges.
 SPREAD = 6.0
 ERROR = 0.01
+#: Documents below which a group's quartiles are not its own to set.
+LEAST_GROUP = 20
 #: Groups up to which the thresholds are broadcast: at most some 100 bytes each.
 BROADCAST_GROUPS = 50_000
 
@@ -131,7 +133,7 @@ def merge(*sketches: DataFrame) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str], shares: list[float], error: float = ERROR) -> DataFrame:
-    """keys, metric, q0, q1, ...: the value whose rank is ceil(share * n).
+    """keys, metric, q0, q1, ...: the value whose rank is ceil(share * n); total: n.
 
     A group has as many rows as buckets, which do not grow with its documents.
     """
@@ -141,7 +143,7 @@ def quantiles(sketches: DataFrame, keys: list[str], shares: list[float], error:
     ranked = sketches.select(*keys, "metric", "bucket", F.sum("n").over(upto).alias("upto"), F.sum("n").over(by).alias("total"))
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(ratio), F.col("bucket")) / (ratio + 1))
     picks = [F.min(F.when(F.col("upto") >= F.ceil(share * F.col("total")), value)).alias(f"q{k}") for k, share in enumerate(shares)]
-    return ranked.groupBy(*keys, "metric").agg(*picks)
+    return ranked.groupBy(*keys, "metric").agg(*picks, F.max("total").alias("total"))
 
 
 def thresholds(docs: DataFrame, spread: float = SPREAD, grains: dict[str, float] | None = None) -> DataFrame:
@@ -151,13 +153,48 @@ def thresholds(docs: DataFrame, spread: float = SPREAD, grains: dict[str, float]
     The bound is the upper quartile, plus ``spread`` times the distance between
     the quartiles, or the rate's grain if that is more.
     """
-    names = {n: f"{n}" for n in COUNTS}
-    grains = grains or RATES
+    return _bounds(_sketches(docs), ["lang", "source"], spread, grains).drop("size")
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """Of each language and source, from the documents that pass the base rules."""
+    names = {n: n for n in COUNTS}
     rows = with_counts(docs.select("lang", "source", "text"), names).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    found = quantiles(sketch(rows, ["lang", "source"], rates(names)), ["lang", "source"], [0.25, 0.75])
-    grain = F.create_map(*(x for name, v in grains.items() for x in (F.lit(name), F.lit(v))))[F.col("metric")]
+    return sketch(rows, ["lang", "source"], rates(names))
+
+
+def _bounds(sketches: DataFrame, keys: list[str], spread: float, grains: dict[str, float] | None) -> DataFrame:
+    """keys, the bound ``<rate>_most`` of each rate, and the size of the group."""
+    found = quantiles(sketches, keys, [0.25, 0.75])
+    grain = F.create_map(*(x for name, v in (grains or RATES).items() for x in (F.lit(name), F.lit(v))))[F.col("metric")]
     bound = F.col("q1") + F.greatest(spread * (F.col("q1") - F.col("q0")), grain)
-    return found.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == r, bound)).alias(f"{r}_most") for r in RATES))
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == r, bound)).alias(f"{r}_most") for r in RATES), F.max("total").alias("size"))
+
+
+def nested_thresholds(docs: DataFrame, least: int = LEAST_GROUP, spread: float = SPREAD, grains: dict[str, float] | None = None) -> DataFrame:
+    """:func:`thresholds` under those of the language and of all documents.
+
+    A source's bound is at most that of its language, so that junk of over a
+    quarter of a source does not set the bound by which it is judged.  A source
+    of under ``least`` documents has the bound of its language, a language of
+    under ``least`` that of all documents; but a language's word length is its
+    own.  Sketches of sources are merged into those above them.
+    """
+    found = stored(_sketches(docs))
+    sources = _bounds(found, ["lang", "source"], spread, grains)
+    langs = _bounds(merge(found.drop("source")), ["lang"], spread, grains)
+    whole = _bounds(merge(found.drop("lang", "source")), [], spread, grains)
+    up = lambda rows, name: F.broadcast(rows.select(F.struct(*rows.columns).alias(name)))
+    rows = sources.join(up(langs, "_lang"), F.col("lang").eqNullSafe(F.col("_lang.lang")), "left").crossJoin(up(whole, "_whole"))
+
+    def bound(rate: str) -> Column:
+        most = f"{rate}_most"
+        above = F.col(f"_lang.{most}")
+        if rate != "word_length":
+            above = F.when(F.col("_lang.size") < least, F.col(f"_whole.{most}")).otherwise(above)
+        return F.when(F.col("size") < least, above).otherwise(F.least(most, above)).alias(most)
+
+    return rows.select("lang", "source", *(bound(r) for r in RATES))
 
 
 def judge(docs: DataFrame, limits: DataFrame | None = None, verdict: str = "kept") -> tuple[DataFrame, dict[str, str]]:
@@ -191,12 +228,14 @@ def judge(docs: DataFrame, limits: DataFrame | None = None, verdict: str = "kept
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed and kept of every document."""
+    """doc_id, the counts, base_failed and kept of every document, by
+    :func:`thresholds`, as the query's SQL has them."""
     rows, names = judge(docs.select("doc_id", "text", "lang", "source"))
     return rows.select("doc_id", *(F.col(names[n]).alias(n) for n in (*COUNTS[:5], "base_failed", "kept")))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    rows, names = judge(docs)
+    """The documents that are kept by :func:`nested_thresholds`, with their own
+    columns."""
+    rows, names = judge(docs, stored(nested_thresholds(docs)))
     return rows.where(F.col(names["kept"])).select(*docs.columns)

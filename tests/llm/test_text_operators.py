@@ -340,3 +340,17 @@ def test_sketches_merge_and_bound_error(spark):
     for got, share in zip((q.q0, q.q1, q.q2, q.q3), (0.005, 0.25, 0.5, 0.99), strict=True):
         exact = sorted(values)[int(np.ceil(share * len(values))) - 1]
         assert abs(got - exact) <= 0.0101 * exact
+
+
+def test_junk_does_not_set_its_own_bound(spark):
+    clean = "word%d other thing here now we go on with more text until twenty words are there at last okay fine %d"
+    junk = "w%d # a # b # c # d # e # f # g # h # i # j k l m n o p q r s %d"
+    rows = [(k, clean % (k, k), "en", f"s{k % 3}", 0) for k in range(90)]
+    rows += [(100 + k, (junk if k < 12 else clean) % (k, k), "en", "dirty", 0) for k in range(30)]  # over a quarter
+    rows += [(200 + k, junk % (k, k), "en", "small", 0) for k in range(2)] + [(300, clean % (7, 8), "en", "small", 0)]
+    rows += [(400, junk % (5, 5), "xx", "s0", 0), (401, clean % (5, 6), "xx", "s0", 0), (402, junk % (9, 9), None, None, 0)]
+    long = " ".join("ab" * 12 + str(k) for k in range(25))
+    rows += [(500 + k, f"{long} {k}", "zz", "s0", 0) for k in range(3)]  # its words are as long
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {*range(90), *range(112, 130), 300, 401, 500, 501, 502}
