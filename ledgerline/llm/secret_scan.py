@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +25,14 @@ _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 #: what the base patterns find and keep.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: Where a value may be a credential: after such a word and a sign, or "is".
+#: Where a value may be a credential: after such a word and a sign, or "is"; up
+#: to its closing quote on the same line, or up to white space and such.
 _CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|(?:access|private|auth)[_-]?key|auth|login|pin)["']?(?:\x20*(?:[:=]|=>)\x20*|\x20is:?\x20)["']?([^\s"'<>,;]+)""", re.ASCII | re.IGNORECASE
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|(?:access|private|auth)[_-]?key|auth|login|pin)["']?(?:\x20*(?:[:=]|=>)\x20*|\x20is:?\x20)(?:"([^"\n]+)"(?!\w)|'([^'\n]+)'(?!\w)|["']?([^\s"'<>,;]+))""", re.ASCII | re.IGNORECASE
 )
 
-#: Frequent words of passwords and of texts, most frequent first.
+#: Frequent words of passwords and of texts, most frequent first; those of a
+#: corpus come from :func:`frequent_words`.
 WORDS = (
     "password the and love admin welcome monkey dragon master login hello letmein princess sunshine football baseball shadow superman "
     "secret summer winter spring autumn test user root guest access default change changeme please system server data base house home "
@@ -39,8 +42,22 @@ WORDS = (
     "garden forest street city london paris berlin michael jennifer thomas jordan daniel andrew charlie robert matthew jessica "
     "ashley nicole maria anna peter george one two three four five six seven eight nine ten for with from this that have not you are was"
 ).split()
-_RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys(WORDS))}
-_LONGEST = max(map(len, _RANK))
+#: A corpus's words: so many at most, each in so many texts at least, no longer than this.
+MOST_WORDS, LEAST_TEXTS, LONGEST_WORD = 100_000, 5, 32
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
+
+
+class Ranks(dict):
+    """The rank of each word: its best in :data:`WORDS` and in ``more``."""
+
+    def __init__(self, more: Iterable[str] = ()):
+        super().__init__({w: k + 1 for k, w in enumerate(dict.fromkeys(WORDS))})
+        for k, word in enumerate(more):
+            self[word] = min(self.get(word, k + 1), k + 1)
+        self.longest = max(map(len, self))
+
+
+_RANK = Ranks()
 _PLAIN = str.maketrans("@4031!57$", "aaoeiists")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _SHIFT = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
@@ -65,11 +82,11 @@ def _sets(value: str) -> float:
     return math.log10(max(size, 10))
 
 
-def _word_spans(value: str, lower: str) -> Iterator[tuple[int, int, float]]:
+def _word_spans(value: str, lower: str, ranks: Ranks) -> Iterator[tuple[int, int, float]]:
     plain = lower.translate(_PLAIN)
     for i in range(len(value)):
-        for j in range(i + 3, min(len(value), i + _LONGEST) + 1):
-            rank = _RANK.get(plain[i:j])
+        for j in range(i + 3, min(len(value), i + ranks.longest) + 1):
+            rank = ranks.get(plain[i:j])
             if rank:
                 changed = sum(a != b for a, b in zip(plain[i:j], lower[i:j], strict=True))
                 upper = sum(c.isupper() for c in value[i:j])
@@ -113,7 +130,7 @@ def _walk_spans(lower: str) -> Iterator[tuple[int, int, float]]:
             turns, last = turns + (last is not None), step
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: Ranks = _RANK) -> float:
     """log10 of the guesses that find ``value``: the cheapest segmentation into
     words, dates, repeats, keyboard walks and brute-force spans.
 
@@ -127,7 +144,7 @@ def guess_cost(value: str) -> float:
         return 0.0
     one, lower = _sets(value), value.lower() if len(value.lower()) == n else value
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for spans in (_word_spans(value, lower), _date_spans(value), _repeat_spans(value, one), _walk_spans(lower)):
+    for spans in (_word_spans(value, lower, ranks), _date_spans(value), _repeat_spans(value, one), _walk_spans(lower)):
         for i, j, cost in spans:
             ending[j].append((i, cost))
     best, brute = 0.0, math.inf
@@ -139,7 +156,7 @@ def guess_cost(value: str) -> float:
     return best
 
 
-def scan(text: str, least_cost: float = 13.0, least_length: int = 8) -> list[tuple[int, str, int]]:
+def scan(text: str, least_cost: float = 13.0, least_length: int = 8, ranks: Ranks = _RANK) -> list[tuple[int, str, int]]:
     """Spans ``(start, kind, end)`` of a text, in code points, sorted by start
     and then by the order of :data:`KINDS`.
 
@@ -152,24 +169,48 @@ def scan(text: str, least_cost: float = 13.0, least_length: int = 8) -> list[tup
     spans += [(m.start(), "access", m.end()) for m in _ACCESS.finditer(text)]
     spans += [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
     for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip(".:)]}!?")
-        if len(value) >= least_length and guess_cost(value) >= least_cost:
-            spans.append((m.start(1), "guess", m.start(1) + len(value)))
+        k = m.lastindex
+        value = m[k] if k < 3 else m[k].rstrip(".:)]}!?")
+        if len(value) >= least_length and guess_cost(value, ranks) >= least_cost:
+            spans.append((m.start(k), "guess", m.start(k) + len(value)))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
+def frequent_words(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, least: int = LEAST_TEXTS) -> list[str]:
+    """The words, in lower case, that most texts of ``docs`` hold, most frequent
+    first: at most ``most``, each in ``least`` rows or more.
+
+    A word is a run of letters, counted once a row, and not where it is a value
+    in credential context.  All rows are counted; partial counts go by batch.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter()
+            for x in batch.column(0).to_pylist():
+                if x:
+                    found.update(set(_LETTERS.findall(_CONTEXT.sub(" ", x).lower())))
+            found = {w: n for w, n in found.items() if len(w) <= LONGEST_WORD}
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", least_cost: float = 13.0, least_length: int = 8) -> DataFrame:
     """``(key, spans)`` of every row; null text has no spans, null and repeated
-    keys are kept, other columns are not looked at."""
+    keys are kept, other columns are not looked at.  Guesses know the words that
+    are frequent in all of ``docs``."""
+    ranks = Ranks(frequent_words(docs, text))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(x.as_py() or "", least_cost, least_length)] for x in batch.column("text")]
+            found = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(x.as_py() or "", least_cost, least_length, ranks)] for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, _ARROW)], ["key", "spans"])
 
     return rows.mapInArrow(find, f"key {rows.schema['key'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("key", key)
@@ -204,13 +245,15 @@ def redact(text: str, mask: str = "[SECRET]", **options) -> str:
 
 def redact_documents(docs: DataFrame, text: str = "text", length: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``length`` (if there is such
-    a column) set to the new number of characters where the text changed."""
+    a column) set to the new number of characters where the text changed.
+    Guesses know the words that are frequent in all of ``docs``."""
+    ranks = Ranks(frequent_words(docs, text))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             old = batch.column(at).to_pylist()
-            new = [x and redact(x, **options) for x in old]
+            new = [x and redact(x, ranks=ranks, **options) for x in old]
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
             if length in batch.schema.names:

@@ -250,6 +250,24 @@ def test_scan_and_redact_documents(spark):
     assert secret_scan.scan_documents(docs.limit(0)).count() == 0
 
 
+def test_frequent_words_are_no_secrets(spark):
+    plain = ["We came to an understanding of it", "Ein Verständnisproblem bleibt", "Ask the administrator; the token is understanding, login: administrator", "Das token: Verständnisproblem"]
+    leaked = ["my pin is kzvqwjxhrmtb"] * 9  # frequent only as a value
+    docs = documents(spark, plain * 5 + leaked)
+    assert {"understanding", "administrator", "verständnisproblem"} < set(words := secret_scan.frequent_words(docs)) and "kzvqwjxhrmtb" not in words
+    masked = [r.text for r in secret_scan.redact_documents(docs).orderBy("doc_id").collect()]
+    assert masked == plain * 5 + ["my pin is [SECRET]"] * 9
+    scanned = secret_scan.digest_spans(secret_scan.scan_documents(docs)).collect()
+    assert [r.spans for r in sorted(scanned, key=lambda r: r.doc_id)] == [""] * 20 + ["guess:10:22"] * 9
+
+
+def test_quoted_values_end_at_their_quote():
+    assert secret_scan.redact('{"password": "x7,Gq2 L;mP>z9"}') == '{"password": "[SECRET]"}'
+    assert secret_scan.redact("pwd = 'x7\"Gq2 LmPz9.'") == "pwd = '[SECRET]'"
+    assert secret_scan.redact('pwd = "x7Gq2LmPz9Wd7\nnext "line"') == 'pwd = "[SECRET]\nnext "line"'
+    assert secret_scan.redact("the secret is 'tis better, don't ask") == "the secret is 'tis better, don't ask"
+
+
 # -- quotes ------------------------------------------------------------------
 
 
