@@ -24,6 +24,8 @@ from .columns import U64, runs, slices, span_hashes, splitmix, text_bytes
 #: Lengths of n-grams, and bits of the table of weights of each length.
 GRAMS, BITS = (2, 3, 4), 15
 UNKNOWN = "und"
+#: Labels up to which the budgets of texts and words hold; they shrink beyond.
+FULL_BUDGET = 32
 
 
 @lru_cache(maxsize=1)
@@ -166,7 +168,9 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, length: int = 48
 
     Sequences of ``length`` words hold one to three passages of texts drawn by
     a fixed seed; at most ``most_words`` words in all, spread over the
-    labels alike.  The lexicon is the ``entries`` most frequent words.
+    labels alike.  Beyond :data:`FULL_BUDGET` labels the words become fewer, so
+    that words times labels stay, but for four sequences a label, and passages
+    go round the labels.  The lexicon is the ``entries`` most frequent words.
     """
     labels = sorted(set(langs))
     if not labels:
@@ -178,12 +182,14 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, length: int = 48
     by_label = [[d for d in range(len(texts)) if number[langs[d]] == y and words.first[d + 1] > words.first[d]] for y in range(k)]
     usable = [y for y in range(k) if by_label[y]]
     random = np.random.default_rng(seed)
-    ids, gold = [], []
-    for _ in range(min(most_words, max(2 * len(words.hashes), 20 * length)) // length if usable else 0):
+    ids, gold, turn = [], [], 0
+    most_words = most_words if k <= FULL_BUDGET else max(most_words * FULL_BUDGET // k, 4 * length * k)
+    for _ in range(min(most_words, max(2 * len(words.hashes), 20 * length, 0 if k <= FULL_BUDGET else 4 * length * k)) // length if usable else 0):
         passages = int(random.integers(1, 4)) if random.random() < 0.7 else 1
         cuts = np.sort(random.choice(np.arange(1, length), passages - 1, replace=False))
         for n in np.diff([0, *cuts, length]):
-            y = usable[random.integers(len(usable))]
+            y = usable[random.integers(len(usable)) if k <= FULL_BUDGET else turn % len(usable)]
+            turn += 1
             d = by_label[y][random.integers(len(by_label[y]))]
             a, b = words.first[d], words.first[d + 1]
             ids.append(a + (random.integers(b - a) + np.arange(n)) % (b - a))
@@ -259,27 +265,28 @@ def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)), F.lit(0))
 
 
-def fit(docs: DataFrame, per_label: int = 150, most_labels: int = 32, fold: int | None = 1) -> Model:
+def fit(docs: DataFrame, per_label: int = 150, fold: int | None = 1) -> Model:
     """A field from ``docs(doc_id, text, lang)``.
 
-    Learned from a bounded sample: for each of the ``most_labels`` most
-    frequent languages at most about ``per_label`` whole texts, those with the
-    least hash of doc_id and text.  Documents of the ``fold`` (crc32 of doc_id
-    mod 3), of null language or null text are not looked at.
+    Learned from a bounded sample of every language: at most about
+    ``per_label`` whole texts of each, those with the least hash of doc_id and
+    text; of more than :data:`FULL_BUDGET` languages so many fewer each, but 8.
+    Documents of the ``fold`` (crc32 of doc_id mod 3), of null language or null
+    text are not looked at.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     if fold is not None:
         rows = rows.where(remainder(F.col("doc_id")) != fold)
     # the share of the range of hashes that holds about per_label documents
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return train([], [])
+    if len(counts) > FULL_BUDGET:
+        per_label = min(per_label, max(8, per_label * FULL_BUDGET // len(counts)))
     mark = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for lang, n in counts:
-        share = min(1.0, 1.3 * per_label / n + 6 / n)
-        wanted = wanted | ((F.col("lang") == lang) & (mark < int(share * (1 << 30))))
-    sample = rows.where(wanted).select("lang", "text", mark.alias("mark"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
+    below = [(lang, int(min(1.0, 1.3 * per_label / n + 6 / n) * (1 << 30))) for lang, n in counts]
+    below = docs.sparkSession.createDataFrame(below, f"lang {rows.schema['lang'].dataType.simpleString()}, below long")
+    sample = rows.join(F.broadcast(below), "lang").where(mark < F.col("below")).select("lang", "text", mark.alias("mark"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
     sample = sample.limit(3 * per_label * len(counts)).collect()
     texts, langs, taken = [], [], dict.fromkeys((x[0] for x in counts), 0)
     for row in sorted(sample, key=lambda r: (r.mark, r.doc_id, r.text)):

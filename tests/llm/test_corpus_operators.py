@@ -57,6 +57,16 @@ def test_language_on_held_out_documents(spark, labelled):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(4)
+    pools = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(8)] for _ in range(36)]
+    say = lambda y: " ".join("".join(rng.choice(pools[y]) for _ in range(rng.randint(1, 3))) for _ in range(30))
+    rows = [(100 * y + k, say(y), f"l{y:02}", "s", 0) for y in range(36) for k in range(18 if y < 32 else 9)]
+    got = {r.doc_id: r.lang_pred for r in langid.predicted_folds(spark.createDataFrame(rows, SCHEMA)).collect()}
+    right = {lang: np.mean([got[k] == lang for k, _, x, *_ in rows if x == lang]) for _, _, lang, *_ in rows}
+    assert len(right) == 36 and min(right.values()) > 0.8
+
+
 def test_code_switched_words(labelled):
     model = langid.train([t for _, t, *_ in labelled], [lang for _, _, lang, *_ in labelled])
     rng = random.Random(8)
