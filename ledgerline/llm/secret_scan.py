@@ -45,6 +45,8 @@ WORDS = (
 #: A corpus's words: so many at most, each in so many texts at least, no longer than this.
 MOST_WORDS, LEAST_TEXTS, LONGEST_WORD = 100_000, 5, 32
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
+#: Words beyond which a task hands on its counts.
+HELD_WORDS = 50_000
 
 
 class Ranks(dict):
@@ -181,17 +183,18 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = MOST_WORDS,
     first: at most ``most``, each in ``least`` rows or more.
 
     A word is a run of letters, counted once a row, and not where it is a value
-    in credential context.  All rows are counted; partial counts go by batch.
+    in credential context.  All rows are counted; a task holds
+    the counts of some 50,000 words at a time.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = Counter()
-            for x in batch.column(0).to_pylist():
-                if x:
-                    found.update(set(_LETTERS.findall(_CONTEXT.sub(" ", x).lower())))
-            found = {w: n for w, n in found.items() if len(w) <= LONGEST_WORD}
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+            for k, x in enumerate(batch.column(0), 1):
+                found.update({w for w in _LETTERS.findall(_CONTEXT.sub(" ", x.as_py() or "").lower()) if len(w) <= LONGEST_WORD})
+                if len(found) > HELD_WORDS or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+                    found = Counter()
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
