@@ -15,6 +15,7 @@ from .shared import stored
 _PREFIX = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"[^\n]*\b(?:wrote|writes|schrieb|écrit|escribió)\b[^\n]*:[ \t]*$", re.IGNORECASE)
 _LOOSE = re.compile(r"[\W_]+")
+_PARAGRAPHS = re.compile(r"\n(?:[ \t]*\n)+")
 
 
 def passages(text: str) -> list[tuple[int, str]]:
@@ -54,15 +55,29 @@ def passage_hash(passage: str) -> bytes | None:
     return hashlib.blake2b(loose.encode(), digest_size=16).digest() if loose else None
 
 
+def _hashes(parts: list[str]) -> set[bytes]:
+    return {passage_hash(x) for x in parts} - {None}
+
+
 def units(text: str) -> set[bytes]:
     """Digests of what may be quoted of a message's own words: all of them, each
     paragraph, each line."""
-    found = {passage_hash(x) for x in (text, *re.split(r"\n[ \t]*\n", text), *text.split("\n"))}
-    return found - {None}
+    return _hashes([text, *_PARAGRAPHS.split(text), *text.split("\n")])
+
+
+def quoted_parts(passage: str) -> list[tuple[int, bytes]]:
+    """``(part, digest)``: the passage, its paragraphs, its lines, each digest
+    once, as the largest part that has it."""
+    whole = _hashes([passage])
+    paragraphs = _hashes(_PARAGRAPHS.split(passage)) - whole
+    lines = _hashes(passage.split("\n")) - whole - paragraphs
+    return [(part, x) for part, found in ((WHOLE, whole), (PARAGRAPH, paragraphs), (LINE, lines)) for x in sorted(found)]
 
 
-_PARSED = "own string, units array<binary>, quotes array<struct<passage:int,level:int,whole:boolean,hash:binary>>"
-_QUOTES = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("whole", pa.bool_()), ("hash", pa.binary())]))
+#: How much of a passage a digest stands for; more goes before less.
+WHOLE, PARAGRAPH, LINE = 2, 1, 0
+_PARSED = "own string, units array<binary>, quotes array<struct<passage:int,level:int,part:int,hash:binary>>"
+_QUOTES = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("part", pa.int32()), ("hash", pa.binary())]))
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -77,10 +92,8 @@ def parse(messages: DataFrame) -> DataFrame:
                 if ">" in text:
                     parts = passages(text)
                     for k, (level, words) in enumerate(parts):
-                        if level and (whole := passage_hash(words)):
-                            quotes.append({"passage": k, "level": level, "whole": True, "hash": whole})
-                            lines = {passage_hash(x) for x in words.split("\n")} - {None, whole}
-                            quotes += [{"passage": k, "level": level, "whole": False, "hash": x} for x in sorted(lines)]
+                        if level:
+                            quotes += [{"passage": k, "level": level, "part": part, "hash": x} for part, x in quoted_parts(words)]
                     text = "\n".join(p for level, p in parts if not level)
                 own.append(text)
                 hashes.append(sorted(units(text)))
@@ -105,7 +118,8 @@ def link_quotes(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     The source of a passage is the earliest message of the conversation with
     it among its own words, whole or as a paragraph or line; a passage that no
-    message has whole is looked up by its lines.  A quote of a message that
+    message has whole is looked up by its paragraphs, and one of which no
+    message has a paragraph by its lines.  A quote of a message that
     comes later is no link.  Null text is empty; a message with null conv_id or
     turn is kept and has no links; repeated rows are kept and share their
     links; an empty table gives an empty one.
@@ -122,7 +136,7 @@ def link_quotes(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
     sources = sources.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     sources = sources.groupBy("conv_id", "hash").agg(F.min("source").alias("source"))
     found = quotes.join(sources, ["conv_id", "hash"]).where("source < turn")
-    passage = found.groupBy("conv_id", "turn", "level", "passage").agg(F.coalesce(F.max(F.when(F.col("whole"), F.col("source"))), F.max("source")).alias("source"))
+    passage = found.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("part", "source"))["source"].alias("source"))
     links = passage.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", -F.col("source"))).alias("best"))
     links = stored(links.select("conv_id", "turn", "n_linked", (-F.col("best.col2")).alias("reply_to")))
 

@@ -309,6 +309,16 @@ def test_links_and_reply_order(spark):
     assert all(r.depth == r.turn and r.thread == 0 for r in deep)
 
 
+def test_rewrapped_paragraphs_are_linked(spark):
+    first, second, third = "The first part says a few words\nover two lines.", "The second part says some more\nover two lines too.", "The third one ends it all\nfor good."
+    told = f"{first}\n\n{second}\n\n{third}"
+    # two paragraphs that are not adjacent, wrapped anew; a line that a later message has too
+    trimmed = "> The first part says a\n> few words over two\n> lines.\n>\n> The third one ends\n> it all for good.\nYes."
+    rows = [(1, 0, "user", told), (1, 1, "assistant", "it all for good.\n\nlines."), (1, 2, "user", trimmed)]
+    got = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[2].reply_to, got[2].n_quotes, got[2].n_linked, got[2].thread, got[2].own_text) == (0, 1, 1, 0, "Yes.")
+
+
 # -- quality -----------------------------------------------------------------
 
 
