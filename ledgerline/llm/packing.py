@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec, default_ranks
+from .bpe import added_tokens, codec, default_ranks, default_tokenizer
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
 
@@ -63,6 +63,7 @@ def pack_documents(
     key: str = "doc_id",
     text: str = "text",
     ranks: tuple[str, str] | None = None,
+    tokenizer: str | None = None,
     most: int = 1024,
     end: int = 0,
     linear: float = 1.0,
@@ -72,8 +73,9 @@ def pack_documents(
     """Pieces of every document, in sequences of at most ``most`` tokens.
 
     A document is the ids of its text (null: none) and the id ``end``.  The ids
-    are those of the tokenizer file that holds the same vocabulary and merges;
-    strings of special tokens are ordinary text.  Each task packs its documents
+    are those of the file ``tokenizer`` without special tokens put around the
+    text: of its vocabulary and merges, which ``ranks`` holds too, and of its
+    added tokens where a text has their strings.  Each task packs its documents
     in blocks of about ``block_tokens`` tokens, which bound its memory and stay
     the same however large the input; a block's sequences are all full, but for
     at most ten whose lengths are distinct powers of two.  So no document moves
@@ -84,14 +86,14 @@ def pack_documents(
     offset, sequence_tokens, sequence_cost.  Null keys, repeated rows and empty
     tables need no special case; other columns are not looked at.
     """
-    ranks = ranks or default_ranks()
+    ranks, added = ranks or default_ranks(), added_tokens(tokenizer or default_tokenizer())
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     last = np.array([end], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, made = codec(*ranks), TaskContext.get().partitionId(), 0
-        for keys, ids in _blocks(batches, own, last, block_tokens):
+        for keys, ids in _blocks(batches, lambda x: own.encode_with(x, added) + last, block_tokens):
             lengths = [len(x) // 4 for x in ids]
             pieces = assign(lengths, most, linear, quadratic)
             doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
@@ -110,12 +112,12 @@ def pack_documents(
     return rows.mapInArrow(pack, f"key {kind}, {PIECES}").withColumnRenamed("key", key)
 
 
-def _blocks(batches, own, last: bytes, block_tokens: int) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
+def _blocks(batches, encode, block_tokens: int) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
     keys, ids, size = [], [], 0
     for batch in batches:
         first = 0
         for k, text in enumerate(batch.column("text")):
-            ids.append(own.encode(text.as_py() or "") + last)
+            ids.append(encode(text.as_py() or ""))
             size += len(ids[-1]) // 4
             if size >= block_tokens:
                 yield [*keys, batch.column("key").slice(first, k + 1 - first)], ids

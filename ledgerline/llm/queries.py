@@ -14,7 +14,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.length_histogram(token_counts.encoded_lengths(_documents(spark, sf_dir)))
+    return token_counts.length_histogram(token_counts.encoded_lengths(_documents(spark, sf_dir)), limits=token_counts.powers_of_two(spark, 7, 20))
 
 
 def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,17 +7,19 @@ import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from ledgerline.llm import bpe, packing, quality, quotes, secret_scan, tiff, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
     None, "", " ", "\n\n  \n", "a", "hello world", "  two  spaces ", "it's we'll  they'RE\n\n x", "tab\tand\x1cfile\x85sep wide", "日本語 テキスト。" * 40,
-    "a" * 9000, " " * 3000 + "x", "1234567890" * 900, "word " * 5000, "😀👩‍👩‍👧 é é ß İ" * 30, "<|endoftext|> here <|endoftext|>", "mixed\r\nlines\r\n\r\nend \n", "x" * 300 + " " * 300 + "\n" * 300 + "y" * 300,
+    "'re" * 700 + " " * 40 + "a" * 300 + "'re" * 30, "a" * 9000, " " * 3000 + "x", "1234567890" * 900, "word " * 5000, "😀👩‍👩‍👧 é é ß İ" * 30, "<|endoftext|> here <|endoftext|>", "mixed\r\nlines\r\n\r\nend \n", "x" * 300 + " " * 300 + "\n" * 300 + "y" * 300,
 ]
 
 
@@ -54,6 +56,25 @@ def test_encoding_equals_the_library(reference):
         assert own.decode(wanted) == text.encode()
 
 
+def test_runs_longer_than_chunk_and_overlap():
+    """Any cut gives the pattern's own matches, whatever stands at the cut."""
+    own = bpe.codec(*bpe.default_ranks())
+    split, rng = own.pattern.findall, random.Random(11)
+    pool = ["a", "'re", "'", "r", "e", "'ll", " ", "  ", "\n", "1", "é", "!", "'s", "v", "日"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pool) * rng.choice([1, 1, 1, 2, 9, 30]) for _ in range(rng.randint(0, 60)))
+        chunk, overlap = rng.randint(1, 40), rng.randint(0, 14)
+        assert bpe.stitch(text, split, chunk, overlap) == split(text), (text, chunk, overlap)
+    for _ in range(200):
+        text = "".join(rng.choice(["x", "'re", " ", "\n", "'ll", "1", "a'", "!"]) * rng.choice([1, 50, 300, 4000, 4300]) for _ in range(6))
+        assert bpe.stitch(text, split, 4096, 256) == split(text)
+    text = "x" * 10785 + " " * 12578 + "a" + "'re" * 224
+    assert len(own.pieces(bpe.stitch(text, split, 4096, 256))) == len(own.encode(text)) == 4 * 14151
+    for bad in ((0, 5), (5, -1)):
+        with pytest.raises(ValueError):
+            bpe.stitch(text, split, *bad)
+
+
 def test_encoded_documents_in_parts(spark, reference):
     texts = [*ODD, "a" * 700, *ODD[13:15], *random_texts(20)]
     docs = documents(spark, texts, extra=True)
@@ -82,14 +103,26 @@ def test_length_histogram(spark, reference):
         assert r.tokens_over == sum(x for x in lengths if x > n)
         assert r.total_tokens == sum(lengths)
     limits = spark.createDataFrame([(0,), (3,), (50,), (10**6,), (None,), (-1,)], "context long")
-    assert {r.context: (r.docs_over, r.truncated_total) for r in token_counts.at_limits(histogram, limits).collect()} == {c: (sum(x > c for x in lengths), sum(min(x, c) for x in lengths)) for c in (0, 3, 50, 10**6)}
+    assert {r.context: (r.docs_over, r.truncated_total) for r in token_counts.at_limits(token_counts.encoded_lengths(documents(spark, texts)), limits).collect()} == {c: (sum(x > c for x in lengths), sum(min(x, c) for x in lengths)) for c in (0, 3, 50, 10**6)}
     assert token_counts.length_at(histogram, 0.5).first()[0] == sorted(lengths)[len(lengths) // 2 - 1 + len(lengths) % 2]
-    empty = token_counts.length_histogram(token_counts.encoded_lengths(documents(spark, texts).limit(0)))
+    asked = {r.n_tokens: r for r in token_counts.length_histogram(token_counts.encoded_lengths(documents(spark, texts)), limits=limits).collect()}
+    assert set(asked) == set(lengths) | {0, 3, 50, 10**6} and all(asked[n] == r for n, r in rows.items() if n not in (0, 3, 50))
+    base = duckdb.connect()  # the sums as SQL has them
+    base.execute("CREATE TABLE l AS SELECT unnest(?::BIGINT[]) AS n", [lengths])
+    wanted = base.sql(
+        "SELECT n, count(*) AS k, sum(count(*)) OVER (ORDER BY n), sum(count(*)) OVER () - sum(count(*)) OVER (ORDER BY n), sum(sum(n)) OVER (ORDER BY n), sum(sum(n)) OVER () - sum(sum(n)) OVER (ORDER BY n) FROM l GROUP BY n"
+    ).fetchall()
+    assert sorted(wanted) == sorted((r.n_tokens, r.n_docs, r.docs_up_to, r.docs_over, r.tokens_up_to, r.tokens_over) for r in rows.values())
+    nothing = token_counts.encoded_lengths(documents(spark, texts).limit(0))
+    assert {(r.context, r.docs_over, r.truncated_total) for r in token_counts.at_limits(nothing, limits).collect()} == {(c, 0, 0) for c in (0, 3, 50, 10**6)}
+    empty = token_counts.length_histogram(nothing)
     assert empty.count() == 0 and token_counts.length_at(empty, 0.5).first()[0] is None
 
 
-def test_packing_holds_every_id_once(spark, reference):
-    texts = [*ODD, *ODD[:8], *random_texts(30)]
+def test_packing_holds_every_id_once(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*ODD, *ODD[:8], *random_texts(30), "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>'re  <|endoftext"]
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     for most, block in ((1024, 1 << 21), (64, 500)):
         got = packing.pack_documents(documents(spark, texts, extra=True), most=most, block_tokens=block).collect()
         by_doc, by_sequence = {}, {}
@@ -98,7 +131,7 @@ def test_packing_holds_every_id_once(spark, reference):
             by_sequence.setdefault(r.sequence_id, []).append(r)
         assert set(by_doc) == set(range(len(texts)))
         for d, pieces in by_doc.items():
-            ids = np.array([*reference.encode_ordinary(texts[d] or ""), 0], "<u4")
+            ids = np.array([*library.encode(texts[d] or "", add_special_tokens=False).ids, 0], "<u4")
             at = 0
             for r in sorted(pieces, key=lambda r: r.start):
                 assert r.start == at and r.doc_tokens == len(ids)
@@ -115,14 +148,43 @@ def test_packing_holds_every_id_once(spark, reference):
     assert packing.pack_documents(documents(spark, texts).limit(0)).count() == 0
 
 
-def test_assignment_balances_cost():
-    lengths = [700, 600, 500, 400, 300, 200, 248, 100]
-    pieces = packing.assign(lengths, 1024, 1.0, 1 / 1024)
-    costs = {}
-    for _, _, n, s, _ in pieces:
-        costs[s] = costs.get(s, 0) + n + n * n / 1024
-    full = [c for s, c in costs.items() if s < sum(lengths) // 1024]
-    assert max(full) < 1.35 * min(full)
+def plain_assignment(lengths, most, linear, quadratic):
+    """The rule as it is told: after whole sequences, the longest rest first, to
+    the cheapest sequence with room, found by looking at all of them."""
+    total = sum(lengths)
+    room = [most] * (total // most)
+    room += [1 << k for k in range(20, -1, -1) if (total % most) >> k & 1]
+    held, pieces, whole = [[] for _ in room], [], 0
+    rests = []
+    for doc, n in enumerate(lengths):
+        start = 0
+        while n - start >= most:
+            held[whole].append(most)
+            pieces.append((doc, start, most, whole, 0))
+            whole, start = whole + 1, start + most
+        rests.append((doc, start, n - start))
+    for doc, start, left in sorted(rests, key=lambda r: (-r[2], r[0])):
+        while left:
+            free = [s for s in range(whole, len(room)) if sum(held[s]) < room[s]]
+            s = min(free, key=lambda s: (sum(linear * n + quadratic * n * n for n in held[s]), s))
+            n = min(left, room[s] - sum(held[s]))
+            pieces.append((doc, start, n, s, sum(held[s])))
+            held[s].append(n)
+            start, left = start + n, left - n
+    return pieces
+
+
+def test_assignment_equals_brute_force_and_balances_cost():
+    rng = random.Random(3)
+    for _ in range(120):
+        lengths = [rng.choice([1, 2, 63, 64, 65, 130, rng.randint(1, 300)]) for _ in range(rng.randint(1, 40))]
+        assert sorted(packing.assign(lengths, 64, 1.0, 1 / 64)) == sorted(plain_assignment(lengths, 64, 1.0, 1 / 64))
+    for lengths in ([700, 600, 500, 400, 300, 200, 248, 100], [rng.randint(1, 900) for _ in range(400)], [17] * 3000):
+        costs = {}
+        for _, _, n, s, _ in packing.assign(lengths, 1024, 1.0, 1 / 1024):
+            costs[s] = costs.get(s, 0) + n + n * n / 1024
+        full = [c for s, c in costs.items() if s < sum(lengths) // 1024]
+        assert max(full) < 1.45 * min(full)
 
 
 # -- TIFF --------------------------------------------------------------------
