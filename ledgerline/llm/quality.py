@@ -25,11 +25,12 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
-#: Rates of a document, each with the least distance above the upper quartile
-#: that counts as far: a rate's own grain, below which no source is that strict.
-RATES = {"symbol_rate": 0.05, "dup_line_rate": 0.5, "repeat_rate": 0.3, "word_length": 2.0}
+#: Rates of a document.
+RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
 #: A document is far out beyond so many interquartile ranges.
 SPREAD = 6.0
+#: Words of a window: a repeat is two of them, so words come in clumps of twice that.
+WINDOW = 8
 ERROR = 0.01
 #: Documents below which a group's quartiles are not its own to set.
 LEAST_GROUP = 20
@@ -37,7 +38,7 @@ LEAST_GROUP = 20
 BROADCAST_GROUPS = 50_000
 
 
-def measure(column: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
+def measure(column: pa.Array, window: int = WINDOW) -> dict[str, np.ndarray]:
     """The :data:`COUNTS` of each text of an Arrow column."""
     data, offsets = text_bytes(column)
     out = {name: np.zeros(len(offsets) - 1, np.int64) for name in COUNTS}
@@ -112,7 +113,20 @@ def rates(names: dict[str, str]) -> dict[str, Column]:
     """Rates of a document; a document without words or lines has rate 0."""
     c = {n: F.col(names[n]) for n in COUNTS}
     share = lambda a, b: F.coalesce(a / F.when(b > 0, b), F.lit(0.0))
-    return {"symbol_rate": share(c["n_symbols"], c["n_words"]), "dup_line_rate": share(c["n_dup_lines"], c["n_lines"]), "repeat_rate": share(c["n_repeat_words"], c["n_words"]), "word_length": share(c["word_chars"], c["n_words"])}
+    found = share(c["n_symbols"], c["n_words"]), share(c["n_dup_lines"], c["n_lines"]), share(c["n_repeat_words"], c["n_words"]), share(c["word_chars"], c["n_words"])
+    return dict(zip(RATES, found, strict=True))
+
+
+def sure_rates(names: dict[str, str]) -> dict[str, Column]:
+    """The least that each rate may truly be: a share over n units is known to
+    within ``1 / sqrt(n)``, two standard errors at most, and a mean of n lengths
+    to within that part of itself.  Repeated words come in clumps of two windows,
+    so n is so many fewer.  So one repeated line of three says little, and the
+    document's own size, not a fixed cutoff, says how little."""
+    words, lines = (F.when(F.col(names[n]) > 0, F.col(names[n]).cast("double")) for n in ("n_words", "n_lines"))
+    found = rates(names)
+    less = {"symbol_rate": 1 / F.sqrt(words), "dup_line_rate": 1 / F.sqrt(lines), "repeat_rate": 1 / F.sqrt(words / (2.0 * WINDOW)), "word_length": found["word_length"] / F.sqrt(words)}
+    return {r: F.coalesce(v - less[r], F.lit(0.0)) for r, v in found.items()}
 
 
 def sketch(rows: DataFrame, keys: list[str], values: dict[str, Column], error: float = ERROR) -> DataFrame:
@@ -146,46 +160,36 @@ def quantiles(sketches: DataFrame, keys: list[str], shares: list[float], error:
     return ranked.groupBy(*keys, "metric").agg(*picks, F.max("total").alias("total"))
 
 
-def thresholds(docs: DataFrame, spread: float = SPREAD, grains: dict[str, float] | None = None) -> DataFrame:
-    """lang, source and, for each rate, its upper bound ``<rate>_most``, from
-    sketches of the documents that pass the base rules.
-
-    The bound is the upper quartile, plus ``spread`` times the distance between
-    the quartiles, or the rate's grain if that is more.
-    """
-    return _bounds(_sketches(docs), ["lang", "source"], spread, grains).drop("size")
-
-
-def _sketches(docs: DataFrame) -> DataFrame:
-    """Of each language and source, from the documents that pass the base rules."""
-    names = {n: n for n in COUNTS}
-    rows = with_counts(docs.select("lang", "source", "text"), names).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+def group_sketches(counted: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Of each language and source, from the counted documents that pass the base rules."""
+    rows = counted.where(~base_failed(F.col(names["n_words"]), F.col(names["n_repeat_words"])))
     return sketch(rows, ["lang", "source"], rates(names))
 
 
-def _bounds(sketches: DataFrame, keys: list[str], spread: float, grains: dict[str, float] | None) -> DataFrame:
-    """keys, the bound ``<rate>_most`` of each rate, and the size of the group."""
+def bounds(sketches: DataFrame, keys: list[str], spread: float = SPREAD) -> DataFrame:
+    """keys, the bound ``<rate>_most`` of each rate, and the size of the group:
+    the upper quartile, plus ``spread`` times the distance between the quartiles."""
     found = quantiles(sketches, keys, [0.25, 0.75])
-    grain = F.create_map(*(x for name, v in (grains or RATES).items() for x in (F.lit(name), F.lit(v))))[F.col("metric")]
-    bound = F.col("q1") + F.greatest(spread * (F.col("q1") - F.col("q0")), grain)
+    bound = F.col("q1") + spread * (F.col("q1") - F.col("q0"))
     return found.groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == r, bound)).alias(f"{r}_most") for r in RATES), F.max("total").alias("size"))
 
 
-def nested_thresholds(docs: DataFrame, least: int = LEAST_GROUP, spread: float = SPREAD, grains: dict[str, float] | None = None) -> DataFrame:
-    """:func:`thresholds` under those of the language and of all documents.
+def thresholds(sketches: DataFrame, least: int = LEAST_GROUP, spread: float = SPREAD) -> DataFrame:
+    """lang, source and, for each rate, its upper bound ``<rate>_most``, from the
+    sketches of :func:`group_sketches`, which are merged into those above them.
 
     A source's bound is at most that of its language, so that junk of over a
     quarter of a source does not set the bound by which it is judged.  A source
     of under ``least`` documents has the bound of its language, a language of
     under ``least`` that of all documents; but a language's word length is its
-    own.  Sketches of sources are merged into those above them.
+    own.  Sketches are read several times.  No sketches: no rows.
     """
-    found = stored(_sketches(docs))
-    sources = _bounds(found, ["lang", "source"], spread, grains)
-    langs = _bounds(merge(found.drop("source")), ["lang"], spread, grains)
-    whole = _bounds(merge(found.drop("lang", "source")), [], spread, grains)
-    up = lambda rows, name: F.broadcast(rows.select(F.struct(*rows.columns).alias(name)))
-    rows = sources.join(up(langs, "_lang"), F.col("lang").eqNullSafe(F.col("_lang.lang")), "left").crossJoin(up(whole, "_whole"))
+    sources = bounds(sketches, ["lang", "source"], spread)
+    langs = bounds(merge(sketches.drop("source")), ["lang"], spread)
+    whole = bounds(merge(sketches.drop("lang", "source")), [], spread)
+    whole = whole.where("size IS NOT NULL").select(F.struct(*whole.columns).alias("_whole"))  # one row
+    langs = langs.select(F.col("lang").alias("_of"), F.struct(*langs.columns).alias("_lang"))
+    rows = sources.join(langs, F.col("lang").eqNullSafe(F.col("_of"))).join(F.broadcast(whole))
 
     def bound(rate: str) -> Column:
         most = f"{rate}_most"
@@ -197,45 +201,52 @@ def nested_thresholds(docs: DataFrame, least: int = LEAST_GROUP, spread: float =
     return rows.select("lang", "source", *(bound(r) for r in RATES))
 
 
-def judge(docs: DataFrame, limits: DataFrame | None = None, verdict: str = "kept") -> tuple[DataFrame, dict[str, str]]:
-    """``docs(doc_id, text, lang, source, ...)`` with counts and a verdict, and
-    the names of these columns: the given ones, with underscores before them
-    where ``docs`` has such a column.
+def judge(counted: DataFrame, names: dict[str, str], limits: DataFrame) -> DataFrame:
+    """``counted(lang, source, ...)``, with its counts under ``names``, and the
+    verdict under ``names["base_failed"]`` and ``names["kept"]``.
 
-    A document is kept if it passes the base rules and no rate is over the
-    bound of its language and source (null counts as a language and as a
+    A document is kept if it passes the base rules and no rate is surely over
+    the bound of its language and source (null counts as a language and as a
     source).  A group with no document that passes the base rules has no bound.
-    Null text has no words and fails; repeated rows are judged alike.
 
-    Bounds are written out and joined: broadcast if there are at most
-    :data:`BROADCAST_GROUPS` groups, which is looked up, else by the keys,
-    where Spark splits a language and source that many documents share.
+    Bounds are broadcast if there are at most :data:`BROADCAST_GROUPS` groups,
+    which is looked up, else joined by the keys, where Spark splits a language
+    and source that many documents share.
     """
-    limits = stored(thresholds(docs)) if limits is None else limits
-    names = {n: fresh(docs, n) for n in (*COUNTS, "base_failed", verdict)}
-    rows = with_counts(docs, names)
     few = limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    bounds = limits.select(F.struct("lang", "source").alias("_group"), F.struct(*(f"{r}_most" for r in RATES)).alias("_bounds"))
-    group, bound = fresh(rows, "limit_group"), fresh(rows, "limit_bounds")
-    bounds = bounds.select(F.col("_group").alias(group), F.col("_bounds").alias(bound))
-    match = F.struct(rows["lang"], rows["source"]).eqNullSafe(bounds[group])
-    joined = rows.join(F.broadcast(bounds) if few else bounds, match, "left")
+    group, bound = fresh(counted, "limit_group"), fresh(counted, "limit_bounds")
+    rows = limits.select(F.struct("lang", "source").alias(group), F.struct(*(f"{r}_most" for r in RATES)).alias(bound))
+    match = F.struct(counted["lang"], counted["source"]).eqNullSafe(rows[group])
+    joined = counted.join(F.broadcast(rows) if few else rows, match, "left")
     fine = F.lit(True)
-    for rate, value in rates(names).items():
+    for rate, value in sure_rates(names).items():
         fine = fine & F.coalesce(value <= F.col(f"{bound}.{rate}_most"), F.lit(True))
     failed = base_failed(F.col(names["n_words"]), F.col(names["n_repeat_words"]))
-    return joined.withColumns({names["base_failed"]: failed, names[verdict]: ~failed & fine}).drop(group, bound), names
+    return joined.withColumns({names["base_failed"]: failed, names["kept"]: ~failed & fine}).drop(group, bound)
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed and kept of every document, by
-    :func:`thresholds`, as the query's SQL has them."""
-    rows, names = judge(docs.select("doc_id", "text", "lang", "source"))
-    return rows.select("doc_id", *(F.col(names[n]).alias(n) for n in (*COUNTS[:5], "base_failed", "kept")))
+    """doc_id, the counts, base_failed and kept of every row of
+    ``docs(doc_id, text, lang, source)``.
+
+    Texts are counted once, and the counts, which are small, written out.  Null
+    text has no words and fails; null and repeated keys are kept, and repeated
+    rows are judged alike; other columns are not looked at; an empty table gives
+    an empty one.
+    """
+    names = {n: n for n in (*COUNTS, "base_failed", "kept")}
+    counted = stored(with_counts(docs.select("doc_id", "text", "lang", "source"), names).drop("text"))
+    rows = judge(counted, names, stored(thresholds(stored(group_sketches(counted, names)))))
+    return rows.select("doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept by :func:`nested_thresholds`, with their own
-    columns."""
-    rows, names = judge(docs, stored(nested_thresholds(docs)))
+    """The rows of ``docs`` that :func:`judged` keeps, with their own columns.
+
+    Texts are counted once and written out with their counts.  Nulls, repeated
+    rows and empty tables are as in :func:`judged`; columns of any name stay.
+    """
+    names = {n: fresh(docs, n) for n in (*COUNTS, "base_failed", "kept")}
+    counted = stored(with_counts(docs, names))
+    rows = judge(counted, names, stored(thresholds(stored(group_sketches(counted, names)))))
     return rows.where(F.col(names["kept"])).select(*docs.columns)

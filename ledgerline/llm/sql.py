@@ -34,13 +34,19 @@ c AS (SELECT d.r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesc
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM d LEFT JOIN counts USING (r) LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)),
 e AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-m AS (SELECT r, lang, source, base_failed, unnest({rates}) AS metric, unnest({grains}::DOUBLE[]) AS grain,
-    unnest([coalesce(n_symbols / nullif(n_words, 0), 0), coalesce(n_dup_lines / nullif(n_lines, 0), 0), coalesce(n_repeat_words / nullif(n_words, 0), 0), coalesce(word_chars / nullif(n_words, 0), 0)]::DOUBLE[]) AS v FROM e),
-b AS (SELECT lang, source, metric, grain, CASE WHEN v > 0 THEN ceil(ln(v) / ln({ratio})) END AS bucket, count(*) AS n FROM m WHERE NOT base_failed GROUP BY ALL),
+m AS (SELECT r, lang, source, base_failed, unnest({rates}) AS metric,
+    unnest([coalesce(n_symbols / nullif(n_words, 0), 0), coalesce(n_dup_lines / nullif(n_lines, 0), 0), coalesce(n_repeat_words / nullif(n_words, 0), 0), coalesce(word_chars / nullif(n_words, 0), 0)]::DOUBLE[]) AS v,
+    unnest([1 / sqrt(nullif(n_words, 0)), 1 / sqrt(nullif(n_lines, 0)), 1 / sqrt(nullif(n_words, 0) / {clump}), word_chars / n_words / sqrt(nullif(n_words, 0))]::DOUBLE[]) AS less FROM e),
+k AS (SELECT metric, v, level, CASE WHEN level < 2 THEN lang END AS lang, CASE WHEN level < 1 THEN source END AS source FROM m, range(3) AS s(level) WHERE NOT base_failed),
+b AS (SELECT level, lang, source, metric, CASE WHEN v > 0 THEN ceil(ln(v) / ln({ratio})) END AS bucket, count(*) AS n FROM k GROUP BY ALL),
 u AS (SELECT *, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({ratio}, bucket) / ({ratio} + 1) END AS value,
-    sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM b),
-q AS (SELECT lang, source, metric, grain, min(value) FILTER (upto >= ceil(0.25 * total)) AS q0, min(value) FILTER (upto >= ceil(0.75 * total)) AS q1 FROM u GROUP BY ALL),
-far AS (SELECT m.r FROM m JOIN q ON m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source AND m.metric = q.metric WHERE v > q1 + greatest({spread} * (q1 - q0), q.grain))
+    sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM b),
+p AS (SELECT level, lang, source, metric, min(value) FILTER (upto >= ceil(0.25 * total)) AS q0, min(value) FILTER (upto >= ceil(0.75 * total)) AS q1, max(total) AS size FROM u GROUP BY ALL),
+q AS (SELECT *, q1 + {spread} * (q1 - q0) AS most FROM p),
+t AS (SELECT s.lang, s.source, s.metric, s.size, s.most, CASE WHEN x.size < {least} AND s.metric <> 'word_length' THEN y.most ELSE x.most END AS above
+  FROM q s JOIN q x ON s.level = 0 AND x.level = 1 AND x.lang IS NOT DISTINCT FROM s.lang AND x.metric = s.metric JOIN q y ON y.level = 2 AND y.metric = s.metric),
+far AS (SELECT m.r FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source AND m.metric = t.metric
+  WHERE coalesce(v - less, 0) > CASE WHEN size < {least} THEN above ELSE least(most, above) END)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM far) AS kept FROM e"""
 
@@ -49,4 +55,4 @@ def adaptive_quality() -> str:
     """The query of :func:`quality.judged` over ``documents``, in sketches of the same buckets."""
     rates = "[" + ", ".join(f"'{r}'" for r in quality.RATES) + "]"
     ratio = f"({1 + quality.ERROR}::DOUBLE / {1 - quality.ERROR}::DOUBLE)"
-    return _QUALITY.format(rates=rates, grains=list(quality.RATES.values()), ratio=ratio, spread=quality.SPREAD)
+    return _QUALITY.format(rates=rates, ratio=ratio, spread=quality.SPREAD, least=quality.LEAST_GROUP, clump=2.0 * quality.WINDOW)

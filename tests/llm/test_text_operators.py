@@ -420,6 +420,27 @@ def test_thresholds_follow_the_group(spark):
     assert kept.columns[-1] == "kept" and kept.count() == 121 and kept.first().kept == "own"
 
 
+def test_every_rate_can_reject_and_no_floor_decides(spark):
+    """Each bound moves with the corpus; what a short text shows is not held against it."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    plain = ["\n".join(line(12) for _ in range(40)) for _ in range(80)]
+    dup = "\n".join([*(line(12) for _ in range(20)), *["a b c"] * 21])
+    repeat = "\n".join(line(10) for _ in range(36)) + " " + " ".join([x := line(30), word(), x, word(), x])
+    marks = " ".join(word() + " #" * (k % 4 == 0) for k in range(400))
+    long = " ".join(word() + word() + word() for _ in range(400))
+    short = [line(30) + "\nsame here\nsame here", line(60) + " # #", " ".join([y := line(9), line(60), y])]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate([*plain, dup, repeat, marks, long, *short])]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[80 + k].kept for k in range(4)] == [False] * 4 and not any(got[80 + k].base_failed for k in range(4))
+    assert all(got[k].kept for k in [*range(80), 84, 85, 86])
+    # where a third of a source repeats and marks like that, its bounds let it pass
+    rows = [(k, t, "en", f"s{kind}", 0) for kind, odd in enumerate((dup, repeat, marks, long)) for k, t in enumerate(plain[:20] + [odd] * 20)]
+    rows = [(k, t, source, source, 0) for k, (_, t, _, source, _) in enumerate(rows)]
+    assert all(r.kept for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 def test_sketches_merge_and_bound_error(spark):
     values = [0.0] * 10 + [float(k) for k in range(1, 991)]
     rows = spark.createDataFrame([("g", v) for v in values], "g string, v double")
@@ -443,4 +464,5 @@ def test_junk_does_not_set_its_own_bound(spark):
     rows += [(500 + k, f"{long} {k}", "zz", "s0", 0) for k in range(3)]  # its words are as long
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {r.doc_id for r in quality.judged(docs).collect() if r.kept}
     assert kept == {*range(90), *range(112, 130), 300, 401, 500, 501, 502}
