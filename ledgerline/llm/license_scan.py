@@ -56,37 +56,71 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <http://unlicense.org/>""",
 }
 
-#: Spellings that count as one; the right-hand one is canonical.  They apply to
-#: lower-case words between single spaces.
+#: Titles under which the texts stand; a text also stands without one.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License", "New BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License", "zlib License (Zlib)"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+#: Spellings that count as one; the right-hand one is canonical.  They apply in
+#: this order to lower-case words.
 SPELLINGS = (
-    ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"),
+    ("licence", "license"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"),
     ("favour", "favor"), ("organisation", "organization"), ("authorised", "authorized"), ("recognise", "recognize"),
     ("https", "http"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
 )
 
-COPYRIGHT_LINE = "(^|\\n)[ \\t#*/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*"
+#: A line that says whose a work is: the word or sign with a sign, a year or a
+#: place to fill in behind it, or that all rights are reserved.  A line of the
+#: text itself may begin with "copyright", too, wherever it was wrapped.
+COPYRIGHT_LINE = "(^|\\n)[ \\t#*/;%!-]*(copyright[ \\t]*[:,]?[ \\t]*(\\(c\\)|©|[0-9]{4}|[<\\[{])|\\(c\\)[ \\t]*(copyright|[0-9]{4}|[<\\[{])|©|all rights reserved)[^\\n]*"
 #: Where a clause begins, its number or bullet.
-BULLET = "(^|\\n)[ \\t#*/;-]*([0-9]{1,2}[.)]|\\([0-9a-z]\\)|[*o-])[ \\t]"
+BULLET = "(^|\\n)[ \\t#*/;%!-]*([0-9]{1,2}[.)]|\\([0-9a-z]\\)|[*o-])[ \\t]"
 NOT_WORDS = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f‘’“”–—…]+"
 
 
+def forms(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """``(license_id, text)``: each text without a title and under each of its titles."""
+    out = []
+    for name, text in (known or KNOWN).items():
+        titles = TITLES.get(name, ()) if known is None else ()
+        body = next((text[len(t) :].lstrip() for t in titles if text.startswith(t)), text)
+        out += [(name, text), (name, body), *((name, f"{t}\n\n{body}") for t in titles)]
+    return list(dict.fromkeys(out))
+
+
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, bullets and punctuation, in one
-    spelling, with single spaces.  Null counts as empty."""
+    spelling, with single spaces.  Null counts as empty.
+
+    Spellings are replaced between doubled spaces, so that neighbours share none.
+    """
     made = F.lower(F.coalesce(text, F.lit("")))
     made = F.regexp_replace(made, COPYRIGHT_LINE, "\n")
     made = F.regexp_replace(made, BULLET, "\n")
-    made = F.regexp_replace(made, NOT_WORDS, " ")
+    made = F.regexp_replace(made, NOT_WORDS, "  ")
     made = F.concat(F.lit(" "), F.trim(made), F.lit(" "))
     for other, chosen in SPELLINGS:
-        made = F.replace(made, F.lit(f" {other} "), F.lit(f" {chosen} "))
-    return F.trim(made)
+        made = F.replace(made, F.lit(_between(other)), F.lit(_between(chosen)))
+    return F.trim(F.replace(made, F.lit("  "), F.lit(" ")))
+
+
+def _between(words: str) -> str:
+    return " " + words.replace(" ", "  ") + " "
 
 
 def known_digests(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """license_id, canonical_sha256, one row for each distinct digest of the
-    given texts (:data:`KNOWN`); of ids that share one, the least stays."""
-    rows = docs.sparkSession.createDataFrame(list((known or KNOWN).items()), "license_id string, text string")
+    given texts (without: of all :func:`forms` of :data:`KNOWN`); of ids that
+    share one, the least stays."""
+    rows = docs.sparkSession.createDataFrame(forms(known), "license_id string, text string")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -97,7 +131,8 @@ def lookup(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id",
     ``known(canonical_sha256, license_id)``: digests to look up, each once.
     Without it the built-in list is used, whose few rows are broadcast.  A
     given table joins by Spark's choice.  Null text and one of punctuation only
-    have the empty canonical form; null and repeated keys are kept.
+    have the empty canonical form; null and repeated keys are kept; other
+    columns are not looked at; an empty table gives an empty one.
     """
     rows = docs.select(F.col(key).alias("key"), canonical(F.col(text)).alias("form"))
     rows = rows.select("key", F.sha2("form", 256).alias("canonical_sha256"), F.length("form").cast("long").alias("canonical_chars"))
@@ -112,17 +147,17 @@ def _literal(text: str) -> str:
 def canonical_sql(text: str) -> str:
     """:func:`canonical` in DuckDB's SQL."""
     made = f"lower(coalesce({text}, ''))"
-    for pattern, by in ((COPYRIGHT_LINE, "\n"), (BULLET, "\n"), (NOT_WORDS, " ")):
+    for pattern, by in ((COPYRIGHT_LINE, "\n"), (BULLET, "\n"), (NOT_WORDS, "  ")):
         made = f"regexp_replace({made}, {_literal(pattern)}, {_literal(by)}, 'g')"
     made = f"' ' || trim({made}) || ' '"
     for other, chosen in SPELLINGS:
-        made = f"replace({made}, ' {other} ', ' {chosen} ')"
-    return f"trim({made})"
+        made = f"replace({made}, '{_between(other)}', '{_between(chosen)}')"
+    return f"trim(replace({made}, '  ', ' '))"
 
 
 def lookup_sql() -> str:
     """The query of :func:`lookup` over ``documents`` in DuckDB's SQL."""
-    known = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in KNOWN.items())
+    known = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in forms())
     return f"""WITH k AS (SELECT sha256({canonical_sql("t")}) AS canonical_sha256, min(i) AS license_id FROM (VALUES {known}) v(i, t) GROUP BY 1),
 d AS (SELECT doc_id, {canonical_sql("text")} AS form FROM documents)
 SELECT doc_id, sha256(form) AS canonical_sha256, CAST(length(form) AS BIGINT) AS canonical_chars, license_id
