@@ -2,7 +2,8 @@
 
 The reader walks the image directories of classic and big TIFF in either byte
 order, takes strips or tiles, decodes none, PackBits, LZW and deflate, undoes
-horizontal differencing of 8- and 16-bit samples, and gives a row per page.
+horizontal differencing and the floating-point predictor, and gives a row per
+page.  Samples have 1, 2, 4, 8, 16 or 32 bits.
 """
 
 from __future__ import annotations
@@ -174,6 +175,8 @@ def _decode(method: int, data: bytes, size: int) -> bytes:
 
 # -- reading ---------------------------------------------------------------
 
+#: Bytes of a page or tile: a value of a column holds no more.
+MOST_BYTES = (1 << 31) - 1
 _SIZES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 
@@ -194,8 +197,10 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
             if at in seen:
                 raise TiffError("the directories form a loop")
             seen.add(at)
+            if at > len(data):
+                raise TiffError("the file ends within a directory")
             (n,) = struct.unpack_from(order + count, data, at)
-            at += struct.calcsize(count)
+            at += struct.calcsize(order + count)
             tags = {}
             for _ in range(n):
                 tag, kind, items = struct.unpack_from(order + entry, data, at)
@@ -203,42 +208,77 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
                 at = place + inline
                 if kind not in _SIZES:
                     continue
-                layout = f"{order}{items}{_SIZES[kind]}"
-                if (size := struct.calcsize(layout)) > len(data):
-                    raise TiffError("a tag is longer than the file")
+                size = items * struct.calcsize(order + _SIZES[kind])
                 if size > inline:
                     (place,) = struct.unpack_from(order + word, data, place)
-                tags[tag] = struct.unpack_from(layout, data, place)
+                if place + size > len(data):
+                    tags[tag] = None  # its page alone cannot be read
+                    continue
+                tags[tag] = struct.unpack_from(f"{order}{items}{_SIZES[kind]}", data, place)
             yield tags | {-1: (order,)}
             (at,) = struct.unpack_from(order + word, data, at)
     except struct.error:
         raise TiffError("the file ends within a directory") from None
 
 
+def _unpacked(raw: bytes, lines: int, count: int, depth: int, kind: np.dtype) -> np.ndarray:
+    """Samples of whole rows, each row begun at a byte."""
+    if depth >= 8:
+        return np.frombuffer(raw, kind, lines * count).reshape(lines, count)
+    row = -(-count * depth // 8)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, lines * row).reshape(lines, row), axis=1)[:, : count * depth]
+    return bits.reshape(lines, count, depth) @ (1 << np.arange(depth)[::-1]).astype(np.uint8)
+
+
+def _undone(part: np.ndarray, predictor: int, order: str) -> np.ndarray:
+    """Rows of samples (lines, across, inner) before they were differenced."""
+    if predictor == 2:
+        return np.cumsum(part, axis=1, dtype=part.dtype.newbyteorder("=")).astype(part.dtype)
+    lines, across, inner = part.shape
+    size = part.dtype.itemsize
+    planes = np.frombuffer(part.tobytes(), np.uint8).reshape(lines, across * size, inner)
+    planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(lines, size, across * inner)
+    joined = np.ascontiguousarray(np.moveaxis(planes, 1, 2)).reshape(lines, -1)  # most significant byte first
+    return joined.view(f">u{size}").astype(f"{order}u{size}").reshape(lines, across, inner)
+
+
 def read_page(data: bytes, tags: dict[int, tuple]) -> dict:
-    """A directory's image: its form, and its samples row by row."""
+    """A directory's image: its form, and its samples row by row.
+
+    Samples of fewer than 8 bits become bytes; those of more stay as they are in
+    the file.  Sample format 3 (floating point) is read, others count as whole
+    numbers.  :class:`TiffError` if the page is damaged or of another kind.
+    """
 
     def one(tag: int, default: int | None = None) -> int:
-        value = tags.get(tag)
-        if not value and default is None:
+        value = tags.get(tag, ())
+        if value is None or not value and default is None:
             raise TiffError(f"tag {tag} is missing")
+        if value and not 0 <= value[0] < 1 << 63:
+            raise TiffError(f"tag {tag} has no such value")
         return value[0] if value else default
 
     width, height, samples, method, predictor = one(256), one(257), one(277, 1), one(259, 1), one(317, 1)
-    bits = set(tags.get(258, (1,)))
-    if bits not in ({8}, {16}):
+    one(258, 1)
+    bits = set(tags.get(258) or (1,))
+    if len(bits) > 1 or not bits <= {1, 2, 4, 8, 16, 32}:
         raise TiffError(f"samples of {sorted(bits)} bits are not read")
-    if predictor not in (1, 2):
-        raise TiffError(f"predictor {predictor} is not known")
-    depth, separate = bits.pop(), one(284, 1) == 2
-    kind = np.dtype("u1" if depth == 8 else f"{tags[-1][0]}u2")
+    depth, separate, order = bits.pop(), one(284, 1) == 2, tags[-1][0]
+    real = one(339, 1) == 3
+    if predictor not in (1, 2, 3) or predictor == 2 and depth < 8 or predictor == 3 and not (real and depth > 8):
+        raise TiffError(f"predictor {predictor} is not known for such samples")
+    if real and depth < 16:
+        raise TiffError(f"floating-point samples of {depth} bits are not read")
+    kind = np.dtype("u1" if depth <= 8 else f"{order}u{depth // 8}")
     tiled = 324 in tags
-    across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height) or 1)
-    if not (width and height and across and down) or width * height * samples * kind.itemsize > 1 << 31:
-        raise TiffError("the image has no size, or one of over 2 GB")
-    offsets, counts = tags.get(324 if tiled else 273, ()), tags.get(325 if tiled else 279, ())
-    columns, rows = math.ceil(width / across), math.ceil(height / down)
+    across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
     planes, inner = (samples, 1) if separate else (1, samples)
+    if not (width and height and across and down and samples):
+        raise TiffError("the image has no size")
+    if max(width * height * samples, across * down * inner) * kind.itemsize > MOST_BYTES:
+        raise TiffError(f"an image or tile of over {MOST_BYTES} bytes")
+    offsets, counts = (tags.get(324 if tiled else 273) or ()), (tags.get(325 if tiled else 279) or ())
+    columns, rows = -(-width // across), -(-height // down)
     if len(offsets) != columns * rows * planes or len(counts) != len(offsets):
         raise TiffError("the number of strips or tiles is wrong")
     image = np.zeros((planes, height, width, inner), kind)
@@ -246,19 +286,34 @@ def read_page(data: bytes, tags: dict[int, tuple]) -> dict:
         plane, place = divmod(k, columns * rows)
         top, left = place // columns * down, place % columns * across
         lines = down if tiled else min(down, height - top)
-        whole = lines * across * inner * kind.itemsize
-        if at + size > len(data):
+        whole = lines * (across * inner * kind.itemsize if depth >= 8 else -(-across * inner * depth // 8))
+        if at < 0 or size < 0 or at + size > len(data):
             raise TiffError("a strip or tile ends beyond the file")
         raw = _decode(method, data[at : at + size], whole)
         if len(raw) < whole:
             raise TiffError("a strip or tile is too short")
-        part = np.frombuffer(raw, kind, lines * across * inner).reshape(lines, across, inner)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
+        part = _unpacked(raw, lines, across * inner, depth, kind).reshape(lines, across, inner)
+        if predictor > 1:
+            part = _undone(part, predictor, order)
         image[plane, top : top + lines, left : left + across] = part[: height - top, : width - left]
     if separate:
         image = np.moveaxis(image, 0, 3)[..., 0, :]
-    return {"width": width, "height": height, "bits": depth, "samples": samples, "compression": NAMES.get(method, str(method)), "predictor": predictor, "tiled": tiled, "segments": len(offsets), "pixels": image.tobytes()}
+    form = {"width": width, "height": height, "bits": depth, "samples": samples, "compression": NAMES.get(method, str(method)), "predictor": predictor, "tiled": tiled, "segments": len(offsets)}
+    levels = image.view(f"{order}f{depth // 8}") if real else image
+    return {**form, "pixels": image.tobytes(), **_features(levels.ravel())}
+
+
+def _features(values: np.ndarray) -> dict:
+    """Mean and deviation of the samples, and the entropy of their values in bits."""
+    if values.dtype.itemsize <= 2 and values.dtype.kind == "u":
+        share = np.bincount(values.astype(np.uint16) if values.dtype.itemsize == 2 else values) / len(values)
+        levels = np.arange(len(share))
+    else:
+        levels, share = np.unique(values.astype(values.dtype.newbyteorder("=")), return_counts=True)
+        levels, share = levels.astype(np.float64), share / len(values)
+    mean = float(share @ levels)
+    some = share[share > 0]
+    return {"mean": mean, "deviation": math.sqrt(max(0.0, float(share @ (levels - mean) ** 2))), "entropy": float(-(some * np.log2(some)).sum())}
 
 
 # -- writing ---------------------------------------------------------------
@@ -312,26 +367,20 @@ def write_tiff(pages: list[bytes], width: int = 64, method: int = ADOBE_DEFLATE,
 PAGE = "page int, width int, height int, bits int, samples int, compression string, predictor int, tiled boolean, segments int, pixels binary, mean double, deviation double, entropy double, error string"
 
 
-def _features(pixels: bytes, bits: int) -> dict:
-    values = np.frombuffer(pixels, np.uint8 if bits == 8 else np.uint16)
-    share = np.bincount(values, minlength=1)
-    levels = np.arange(len(share))
-    share = share / len(values)
-    mean = float(share @ levels)
-    some = share[share > 0]
-    return {"mean": mean, "deviation": math.sqrt(max(0.0, float(share @ (levels - mean) ** 2))), "entropy": float(-(some * np.log2(some)).sum())}
-
-
 def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
     """A row per page of each file in the column ``media``, with the other
     columns of ``files``.
 
     Columns: page (from 0), width, height, bits, samples, compression,
     predictor, tiled, segments, pixels (the samples, row by row, in the file's
-    byte order), mean, deviation, entropy, error.  A file that cannot be read
-    gives a row whose error says why, after the pages before the fault; a null
-    file gives one row of nulls.  A column of ``files`` with one of these names
-    is an error, which is raised before anything runs.
+    byte order; bytes where a sample has fewer bits), mean, deviation, entropy,
+    error.  A page that cannot be read, be it damaged, of another kind or of
+    over 2 GB, gives a row whose error says why, and the pages after it are
+    read; so does a file without a header, or whose directories end or loop,
+    after the pages before that.  A null or empty file gives one row: of nulls,
+    or an error.  Repeated rows are read each; no rows give none.  A column of
+    ``files`` with one of these names is an error, which is raised before
+    anything runs.
     """
     names = [x.split()[0] for x in PAGE.split(", ")]
     if taken := {c.lower() for c in files.columns} & set(names):
@@ -345,9 +394,13 @@ def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
             return
         number = 0
         try:
-            for number, tags in enumerate(directories(data)):  # noqa: B007
-                page = read_page(data, tags)
-                yield {"page": number, **page, **_features(page["pixels"], page["bits"])}
+            for number, tags in enumerate(directories(data), 1):
+                try:
+                    yield {"page": number - 1, **read_page(data, tags)}
+                except TiffError as e:
+                    yield {"page": number - 1, "error": str(e)}
+            if not number:
+                raise TiffError("the file has no directory")
         except TiffError as e:
             yield {"page": number, "error": str(e)}
 
@@ -374,7 +427,8 @@ WAYS = ((PACKBITS, 1, False), (LZW, 1, False), (ADOBE_DEFLATE, 2, False), (ADOBE
 
 def texts_to_tiff(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each text (null: empty) as UTF-8, with bytes 0 up
-    to a positive multiple of 64, as the 8-bit samples of a page 64 wide."""
+    to a positive multiple of 64, as the 8-bit samples of a page 64 wide.  Null
+    and repeated keys are kept; an empty table gives an empty one."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,7 +446,8 @@ def texts_to_tiff(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores every text as a TIFF, reads it back, and digests both forms."""
+    """Stores every text as a TIFF, reads it back, and digests both forms; rows,
+    nulls and empty tables as in :func:`texts_to_tiff`."""
     pages = tiff_pages(texts_to_tiff(docs))
     size = F.length("pixels")
     feature = F.format_string("tiff %dx%d %s predictor %d %s mean %.4f deviation %.4f entropy %.4f", "width", "height", "compression", "predictor", F.when(F.col("tiled"), "tiles").otherwise("strips"), "mean", "deviation", "entropy")

@@ -250,11 +250,79 @@ def test_pages_of_files(spark):
         by.setdefault(r.doc_id, []).append((r.page, bytes(r.pixels) if r.pixels else None, r.error))
     assert by[1] == [(0, b"x" * 64, None), (1, b"y" * 640, None)]
     assert by[2] == [(None, None, None)] and by[3][0][2]
-    assert by[4][-1][2] and by[5][0][2] is None and "loop" in by[5][-1][2]
+    assert by[4][0][2] is None and by[4][-1][2] and by[5][0][2] is None and "loop" in by[5][-1][2]
     with pytest.raises(ValueError):
         tiff.tiff_pages(spark.createDataFrame([(1, good)], "page long, media binary"))
 
 
+def one_page(tags, data=b"", order="<", big=False):
+    """A file of one directory: ``tags`` are (tag, kind, values)."""
+    entry, word = ("HHQ", "Q") if big else ("HHI", "I")
+    inline, out, lists = struct.calcsize(word), [], b""
+    at = (16 if big else 8) + len(data)
+    for tag, kind, values in sorted(tags):
+        raw = struct.pack(f"{order}{len(values)}{tiff._SIZES[kind]}", *values)
+        if len(raw) > inline:
+            raw, lists = struct.pack(order + word, at + len(lists)), lists + raw
+        out.append(struct.pack(order + entry, tag, kind, len(values)) + raw.ljust(inline, b"\0"))
+    head = {"<": b"II", ">": b"MM"}[order] + (struct.pack(order + "HHHQ", 43, 8, 0, at + len(lists)) if big else struct.pack(order + "HI", 42, at + len(lists)))
+    return head + data + lists + struct.pack(order + ("Q" if big else "H"), len(out)) + b"".join(out) + bytes(inline)
+
+
+def plain_page(width, height, bits, data, order="<", big=False, **more):
+    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [bits]), (259, 3, [1]), (273, 4, [16 if big else 8]), (279, 4, [len(data)])]
+    return one_page([t for t in tags if t[0] not in more.get("drop", ())] + more.get("tags", []), data, order, big)
+
+
+def test_samples_of_every_depth_and_order():
+    read = lambda data: tiff.read_page(data, next(tiff.directories(data)))
+    for order in "<>":
+        for big in (False, True):
+            page = read(plain_page(4, 1, 16, struct.pack(order + "4H", 1, 2, 3, 4), order, big))
+            assert page["mean"] == 2.5 and page["entropy"] == 2.0
+            page = read(plain_page(2, 2, 32, struct.pack(order + "4I", 7, 7, 1 << 30, 7), order, big))
+            assert page["mean"] == (21 + (1 << 30)) / 4 and page["pixels"] == struct.pack(order + "4I", 7, 7, 1 << 30, 7)
+            values = np.array([[1.5, 2.5, -3.0], [0.0, 1e9, 4.25]], order + "f4")
+            page = read(plain_page(3, 2, 32, values.tobytes(), order, big, tags=[(339, 3, [3])]))
+            assert page["pixels"] == values.tobytes() and page["mean"] == pytest.approx(float(values.mean(dtype=float)))
+            planes = np.moveaxis(values.astype(">f4").view(np.uint8).reshape(2, 3, 4), 2, 1).reshape(2, 12)
+            stored = np.diff(planes, axis=1, prepend=np.zeros((2, 1), np.uint8)).tobytes()
+            assert read(plain_page(3, 2, 32, stored, order, big, tags=[(339, 3, [3]), (317, 3, [3])]))["pixels"] == values.tobytes()
+    assert read(plain_page(10, 2, 1, bytes([0b10110000, 0b01000000, 0xFF, 0xFF])))["pixels"] == bytes([1, 0, 1, 1, 0, 0, 0, 0, 0, 1] + [1] * 10)
+    assert read(plain_page(3, 1, 4, bytes([0x1F, 0x70])))["pixels"] == bytes([1, 15, 7])
+    assert read(plain_page(3, 1, 2, bytes([0b11100100])))["pixels"] == bytes([3, 2, 1])
+    assert read(plain_page(3, 1, 8, bytes([0b11100100])  + b"ab", drop=(258,)))["bits"] == 1
+
+
+def test_damaged_files_give_errors(spark):
+    good = tiff.write_tiff([b"x" * 64, b"y" * 640, b"z" * 64])
+    bad = [
+        b"II+\0\x08\0\0\0" + struct.pack("<Q", (1 << 64) - 1), b"II*\0\xff\xff\xff\xff", b"",
+        plain_page(4, 1, 8, b"abcd", tags=[(277, 3, [0])]), one_page([(256, 9, [-4]), (257, 4, [1]), (258, 3, [8]), (273, 4, [8]), (279, 4, [4])], b"abcd"),
+        one_page([(256, 4, [9]), (257, 4, [9]), (258, 3, [8]), (259, 3, [8]), (322, 4, [2**32 - 1]), (323, 4, [2**32 - 1]), (324, 4, [8]), (325, 4, [4])], b"abcd"),
+        plain_page(2**32 - 1, 2**32 - 1, 8, b"abcd"), plain_page(4, 1, 8, b"ab"), plain_page(4, 1, 8, b"abcd", tags=[(317, 3, [9])]), plain_page(4, 1, 7, b"abcd"), plain_page(4, 1, 8, b"abcd", drop=(256,)),
+        one_page([(256, 17, [-(1 << 62)]), (257, 16, [(1 << 64) - 1]), (258, 3, [8]), (273, 16, [(1 << 64) - 1]), (279, 16, [4])], b"abcd", big=True),
+        one_page([(256, 4, [4]), (257, 4, [1]), (258, 3, [8]), (273, 9, [-5]), (279, 4, [4])], b"abcd"),
+    ]
+    rng = random.Random(1)
+    for _ in range(400):  # any byte of a good file changed
+        x = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            x[rng.randrange(len(x))] = rng.choice([0, 1, 127, 128, 255, rng.randrange(256)])
+        bad.append(bytes(x))
+    middle = bytearray(good)  # a page of a kind that is not read, between two that are
+    second = list(tiff.directories(good))[1]
+    place = good.index(struct.pack("<HHI", 257, 4, 1) + struct.pack("<I", second[257][0]))
+    struct.pack_into("<I", middle, place + 8, 0)
+    rows = [(k, x) for k, x in enumerate(bad)] + [(-1, bytes(middle))]
+    got = tiff.tiff_pages(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert set(by) == {k for k, _ in rows} and all(len(by[k]) == 1 and by[k][0].error for k in range(13))
+    assert [(r.page, bytes(r.pixels or b""), r.error is None) for r in by[-1]] == [(0, b"x" * 64, True), (1, b"", False), (2, b"z" * 64, True)]
+
+
 def test_texts_as_media(spark):
     texts = [*ODD, "x" * 64, "y" * 128, *random_texts(20)]
     got = {r.doc_id: r for r in tiff.media_digests(documents(spark, texts, extra=True)).collect()}
