@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_digests": license_scan.lookup_sql(), "op9_jaccard_forest": sql.JACCARD_JOIN, "op10_adaptive_quality": sql.adaptive_quality()}
+    return {"op6_license_digests": license_scan.lookup_sql(), "op7_quotation_links": sql.QUOTATION_LINKS, "op9_jaccard_forest": sql.JACCARD_JOIN, "op10_adaptive_quality": sql.adaptive_quality()}

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 _PREFIX = re.compile(r"[ \t]*((?:>[ \t]?)+)")
-_ATTRIBUTION = re.compile(r"[^\n]*\b(?:wrote|writes|schrieb|écrit|escribió)\b[^\n]*:[ \t]*$", re.IGNORECASE)
+#: Who says what follows: such a word, and a colon at the line's end.
+_WROTE = re.compile(r"(?:^|[^a-z])(?:wrote|writes|schrieb|écrit|escribió)(?:[^a-z]|$)", re.IGNORECASE | re.ASCII)
+_BLANKS = " \t\r\f\v"
 _LOOSE = re.compile(r"[\W_]+")
 _PARAGRAPHS = re.compile(r"\n(?:[ \t]*\n)+")
 
@@ -23,26 +25,30 @@ def passages(text: str) -> list[tuple[int, str]]:
 
     A line's level is the number of ``>`` before its words.  Blank lines stay
     with what stands before them; a line that names who wrote what follows goes.
+    Time grows with the text's length alone.
     """
     out: list[tuple[int, list[str]]] = []
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
+    split = []
+    for line in text.split("\n"):
         prefix = _PREFIX.match(line)
-        level = prefix[1].count(">") if prefix else 0
-        words = line[prefix.end() :] if prefix else line
-        if not words.strip() and out and (level or (k + 1 < len(lines) and not _PREFIX.match(lines[k + 1]))):
+        split.append((prefix[1].count(">"), line[prefix.end() :]) if prefix else (0, line))
+    told, deeper = 0, []  # the level of the next line that is not empty, from the end on
+    for level, words in reversed(split):
+        deeper.append(told > level)
+        if level or words.strip(_BLANKS):
+            told = level
+    deeper.reverse()
+    for k, (level, words) in enumerate(split):
+        blank = not words.strip(_BLANKS)
+        if blank and out and (level or (k + 1 < len(split) and not split[k + 1][0])):
             out[-1][1].append("")
+        elif deeper[k] and words.rstrip(" \t").endswith(":") and _WROTE.search(words):
             continue
-        if k + 1 < len(lines) and _ATTRIBUTION.match(words):
-            after = next((x for x in lines[k + 1 :] if x.strip()), "")
-            deeper = _PREFIX.match(after)
-            if deeper and deeper[1].count(">") > level:
-                continue
-        if out and out[-1][0] == level:
+        elif out and out[-1][0] == level:
             out[-1][1].append(words)
         else:
             out.append((level, [words]))
-    return [(level, "\n".join(x).strip("\n")) for level, x in out if any(y.strip() for y in x)]
+    return [(level, "\n".join(x).strip("\n")) for level, x in out if any(y.strip(_BLANKS) for y in x)]
 
 
 def own_text(text: str) -> str:
@@ -81,8 +87,10 @@ _QUOTES = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own, units, quotes of every message."""
+    """conv_id, turn, role, msg (a digest of the text), own, units, quotes of every message."""
     rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("conv_id", "turn", "role", F.unhex(F.md5(F.col("text").cast("binary"))).alias("msg"), "text")
+    held = ("conv_id", "turn", "role", "msg")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +106,7 @@ def parse(messages: DataFrame) -> DataFrame:
                 own.append(text)
                 hashes.append(sorted(units(text)))
                 quoted.append(quotes)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), pa.array(own), pa.array(hashes, pa.list_(pa.binary())), pa.array(quoted, _QUOTES)], ["conv_id", "turn", "role", "own", "units", "quotes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(own), pa.array(hashes, pa.list_(pa.binary())), pa.array(quoted, _QUOTES)], [*held, "own", "units", "quotes"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(read, f"{kinds}, {_PARSED}")
@@ -120,41 +128,46 @@ def link_quotes(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
     it among its own words, whole or as a paragraph or line; a passage that no
     message has whole is looked up by its paragraphs, and one of which no
     message has a paragraph by its lines.  A quote of a message that
-    comes later is no link.  Null text is empty; a message with null conv_id or
-    turn is kept and has no links; repeated rows are kept and share their
-    links; an empty table gives an empty one.
+    comes later is no link.  Messages are told apart by their text, too: of two
+    that share a turn each has its own links and chain, and where both hold a
+    passage the one of least digest is its source.  Null text is empty; a
+    message with null conv_id or turn is kept and has no links; repeated rows
+    are kept and share their links; an empty table gives an empty one; other
+    columns are not looked at.
 
     Sources are a partial aggregate (least turn of each passage of a
     conversation), so a line that any number of messages share is one row, and
     each quote joins one row at most.  Chains are followed by doubling.
     """
-    parsed = parse(messages)
-    quotes = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*")
+    parsed, me = parse(messages), ["conv_id", "turn", "msg"]
+    quotes = parsed.select(*me, F.explode("quotes").alias("q")).select(*me, "q.*")
     quotes = stored(quotes.where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct())
-    sources = parsed.select("conv_id", F.col("turn").alias("source"), F.explode("units").alias("hash"))
+    sources = parsed.where("turn IS NOT NULL").select("conv_id", F.struct("turn", "msg").alias("source"), F.explode("units").alias("hash"))
     # only conversations and passages with a quote matter
     sources = sources.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     sources = sources.groupBy("conv_id", "hash").agg(F.min("source").alias("source"))
-    found = quotes.join(sources, ["conv_id", "hash"]).where("source < turn")
-    passage = found.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("part", "source"))["source"].alias("source"))
-    links = passage.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", -F.col("source"))).alias("best"))
-    links = stored(links.select("conv_id", "turn", "n_linked", (-F.col("best.col2")).alias("reply_to")))
+    found = quotes.join(sources, ["conv_id", "hash"]).where("source.turn < turn")
+    passage = found.groupBy(*me, "level", "passage").agg(F.max(F.struct("part", "source"))["source"].alias("source"))
+    best = F.min(F.struct("level", (-F.col("source.turn")).alias("back"), F.col("source.msg").alias("to"))).alias("best")
+    links = passage.groupBy(*me).agg(F.count("*").alias("n_linked"), best)
+    links = stored(links.select(*me, "n_linked", (-F.col("best.back")).alias("reply_to"), F.col("best.to").alias("to")))
 
-    up = links.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth"))
+    up = links.select(*me, F.col("reply_to").alias("thread"), "to", F.lit(1).cast("long").alias("depth"))
     for _ in range(most_rounds):
-        over = up.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"))
-        joined = up.join(over, ["conv_id", "thread"], "left")
-        up = stored(joined.select("conv_id", "turn", F.coalesce("further", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")))
+        over = up.select("conv_id", F.col("turn").alias("thread"), F.col("msg").alias("to"), F.col("thread").alias("further"), F.col("to").alias("beyond"), F.col("depth").alias("more"))
+        joined = up.join(over, ["conv_id", "thread", "to"], "left")
+        moved = F.col("further").isNotNull()
+        up = stored(joined.select(*me, F.coalesce("further", "thread").alias("thread"), F.coalesce("beyond", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved")))
         if not up.where("moved").limit(1).count():
             break
         up = up.drop("moved")
     else:
         raise RuntimeError("chains of replies have not ended")
 
-    links = links.join(up.select("conv_id", "turn", "thread", "depth"), ["conv_id", "turn"])
+    links = links.drop("to").join(up.select(*me, "thread", "depth"), me)
     count = F.size(F.array_distinct(F.transform("quotes", lambda q: q.passage))).cast("long")
-    rows = parsed.select("conv_id", "turn", "role", F.col("own").alias("own_text"), count.alias("n_quotes"))
-    rows = rows.join(links, ["conv_id", "turn"], "left")
+    rows = parsed.select(*me, "role", F.col("own").alias("own_text"), count.alias("n_quotes"))
+    rows = rows.join(links, me, "left")
     return rows.select(
         "conv_id", "turn", "role", "own_text", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),

@@ -21,6 +21,37 @@ counts AS (SELECT a AS i, count(*) AS k FROM ends GROUP BY a)
 SELECT x.doc_id, r.copy_of, l.class_id, CAST(coalesce(c.k, 0) AS BIGINT) AS n_links
 FROM documents x JOIN members r ON r.t = coalesce(x.text, '') JOIN least l USING (root) LEFT JOIN counts c USING (i)"""
 
+#: The digest of a text stands for it here as in the operator, so that ties fall alike.
+QUOTATION_LINKS = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS t, md5(coalesce(text, '')) AS msg FROM conversations),
+l AS (SELECT r, unnest(x) AS line, unnest(range(len(x))) AS k, len(x) AS n FROM (SELECT r, string_split(t, chr(10)) AS x FROM d WHERE contains(t, '>'))),
+w AS (SELECT r, k, n, len(regexp_replace(p, '[^>]', '', 'g')) AS level, substr(line, length(p) + 1) AS words FROM (SELECT *, regexp_extract(line, '^[ \t]*(>[ \t]?)+') AS p FROM l)),
+b AS (SELECT *, NOT regexp_matches(words, '[^ \t\r\f\v]') AS blank, lead(level) OVER (PARTITION BY r ORDER BY k) AS next_level FROM w),
+c AS (SELECT *, coalesce(lead(CASE WHEN level > 0 OR NOT blank THEN level END IGNORE NULLS) OVER (PARTITION BY r ORDER BY k), 0) > level
+    AND regexp_matches(words, ':[ \t]*$') AND regexp_matches(words, '(?i)(^|[^a-z])(wrote|writes|schrieb|écrit|escribió)([^a-z]|$)') AS told,
+  blank AND (level > 0 OR (k + 1 < n AND next_level = 0)) AS may_follow FROM b),
+f AS (SELECT *, may_follow AND count(*) FILTER (NOT told) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS follows FROM c),
+g AS (SELECT * FROM f WHERE follows OR NOT told),
+h AS (SELECT *, CASE WHEN follows THEN NULL WHEN lag(CASE WHEN NOT follows THEN level END IGNORE NULLS) OVER (PARTITION BY r ORDER BY k) IS NOT DISTINCT FROM level THEN 0 ELSE 1 END AS new FROM g),
+i AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY r ORDER BY k) AS p FROM h),
+passages AS (SELECT r, p, max(level) FILTER (NOT follows) AS level, regexp_replace(string_agg(CASE WHEN follows THEN '' ELSE words END, chr(10) ORDER BY k), '^\n+|\n+$', '', 'g') AS said
+  FROM i GROUP BY r, p HAVING bool_or(NOT blank)),
+own AS (SELECT d.*, CASE WHEN contains(t, '>') THEN coalesce((SELECT string_agg(said, chr(10) ORDER BY p) FROM passages x WHERE x.r = d.r AND level = 0), '') ELSE t END AS own_text FROM d),
+cut AS (SELECT r, 0 AS p, 0 AS level, own_text AS said FROM own UNION ALL SELECT r, p, level, said FROM passages WHERE level > 0),
+units AS (SELECT r, p, level, 2 AS part, said AS u FROM cut UNION ALL SELECT r, p, level, 1, unnest(string_split(regexp_replace(said, '\n([ \t]*\n)+', chr(1), 'g'), chr(1))) FROM cut
+  UNION ALL SELECT r, p, level, 0, unnest(string_split(said, chr(10))) FROM cut),
+plain AS (SELECT r, p, level, max(part) AS part, u FROM (SELECT r, p, level, part, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS u FROM units) WHERE u <> '' GROUP BY r, p, level, u),
+sources AS (SELECT conv_id, u, min({'turn': turn, 'msg': msg}) AS source FROM plain JOIN d USING (r) WHERE level = 0 AND turn IS NOT NULL GROUP BY conv_id, u),
+met AS (SELECT d.conv_id, d.turn, d.msg, level, p, max({'part': part, 'turn': s.source.turn, 'msg': s.source.msg}) AS best FROM plain JOIN d USING (r) JOIN sources s ON s.conv_id = d.conv_id AND s.u = plain.u
+  WHERE level > 0 AND s.source.turn < d.turn GROUP BY ALL),
+links AS (SELECT conv_id, turn, msg, count(*) AS n_linked, min({'level': level, 'back': -best.turn, 'to': best.msg}) AS best FROM met GROUP BY ALL),
+chain AS (SELECT conv_id, turn, msg, -best.back AS thread, best.to AS at, 1 AS depth FROM links
+  UNION ALL SELECT c.conv_id, c.turn, c.msg, -x.best.back, x.best.to, depth + 1 FROM chain c JOIN links x ON x.conv_id = c.conv_id AND x.turn = c.thread AND x.msg = c.at),
+tops AS (SELECT conv_id, turn, msg, arg_max(thread, depth) AS thread, max(depth) AS depth FROM chain GROUP BY ALL),
+counts AS (SELECT r, count(DISTINCT p) AS n_quotes FROM plain WHERE level > 0 GROUP BY r)
+SELECT o.conv_id, o.turn, o.role, o.own_text, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, -x.best.back AS reply_to,
+  coalesce(t.thread, o.turn) AS thread, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth
+FROM own o LEFT JOIN counts USING (r) LEFT JOIN links x ON x.conv_id = o.conv_id AND x.turn = o.turn AND x.msg = o.msg LEFT JOIN tops t ON t.conv_id = o.conv_id AND t.turn = o.turn AND t.msg = o.msg"""
+
 _QUALITY = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, unnest(x) AS w, unnest(range(len(x))) AS p FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS x FROM d)),
 g AS (SELECT r, p, CASE WHEN lead(p, 7) OVER s IS NOT NULL THEN [w, lead(w, 1) OVER s, lead(w, 2) OVER s, lead(w, 3) OVER s, lead(w, 4) OVER s, lead(w, 5) OVER s, lead(w, 6) OVER s, lead(w, 7) OVER s] END AS g
