@@ -7,10 +7,13 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import U64, _power_tables, runs, splitmix
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -73,8 +76,11 @@ def _neighbours() -> dict[str, set[str]]:
 _NEAR = _neighbours()
 _DATE = re.compile(r"(?=((?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\3(?:19|20)\d\d|(?:19|20)\d\d))")
 _THIS_YEAR = 2000  # dates near it are guessed first; a constant keeps costs the same over time
-#: log10 of the guesses for one more segment, and of those for a character.
-SEGMENT, LONGEST_PERIOD = 1.0, 8
+#: log10 of the guesses for one more segment.
+SEGMENT = 1.0
+#: Characters up to which repeats are looked for period by period; in longer
+#: values the same repeats are found by hashes.
+PLAIN_LENGTH = 192
 
 
 def _sets(value: str) -> float:
@@ -104,18 +110,72 @@ def _date_spans(value: str) -> Iterator[tuple[int, int, float]]:
 
 
 def _repeat_spans(value: str, one: float) -> Iterator[tuple[int, int, float]]:
+    """Runs of any period, as far as they go: two units or more, of three
+    characters or more in all."""
+    n = len(value)
+    for first, end, period in _plain_runs(value) if n <= PLAIN_LENGTH else _hashed_runs(value):
+        yield first, end, period * one + math.log10((end - first - period) // period + 1)
+
+
+def _plain_runs(value: str) -> Iterator[tuple[int, int, int]]:
     n = len(value)
-    for period in range(1, min(LONGEST_PERIOD, n // 2) + 1):
+    for period in range(1, n // 2 + 1):
         run = 0
         for i in range(period, n + 1):
             if i < n and value[i] == value[i - period]:
                 run += 1
                 continue
             if run >= max(period, 2):
-                yield i - run - period, i, period * one + math.log10(run // period + 1)
+                yield i - run - period, i, period
             run = 0
 
 
+def _hashed_runs(value: str, pairs: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
+    """The same runs.  One of period p has two places in a row that are multiples
+    of p, and the value agrees with itself around them for p characters or more:
+    so there are n log n places to look at, in parts of so many ``pairs``.  Hashes
+    of eight characters tell nearly all that do not agree, and bisection on
+    hashes how far the others do.  Periods up to 16 are compared directly."""
+    points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points)
+    up, down = _power_tables(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(splitmix(points + U64(1)) * up[:n], out=sums[1:])
+
+    def same(x: np.ndarray, y: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return (sums[x + size] - sums[x]) * down[x] == (sums[y + size] - sums[y]) * down[y]
+
+    def reach(a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+        low, high = np.zeros(len(a), np.int64), most.copy()
+        while (low < high).any():
+            half = (low + high + 1) // 2
+            equal = same(a - half, b - half, half) if back else same(a, b, half)
+            low, high = np.where(equal, half, low), np.where(equal, high, half - 1)
+        return low
+
+    for period in range(1, min(16, n // 2) + 1):
+        first, end = runs(points[period:] == points[:-period], np.array([0, n - period]))
+        some = end - first >= max(period, 2)
+        yield from zip(first[some].tolist(), (end[some] + period).tolist(), [period] * int(some.sum()), strict=True)
+    places = np.maximum(0, (n - 1) // np.maximum(1, np.arange(n // 2 + 1)))  # pairs of multiples of each period
+    places[:17] = 0
+    before = np.concatenate([[0], np.cumsum(places)])
+    period = 17
+    while period <= n // 2:
+        until = max(period + 1, int(np.searchsorted(before, before[period] + pairs, "right")) - 1)
+        until = min(until, n // 2 + 1)
+        some = np.repeat(np.arange(period, until), places[period:until])
+        a = some * (np.arange(len(some)) - np.repeat(before[period:until] - before[period], places[period:until]))
+        b, period = a + some, until
+        ahead, behind = b + 8 <= n, a >= 8
+        ahead[ahead] = same(a[ahead], b[ahead], 8)
+        behind[behind] = same(a[behind] - 8, b[behind] - 8, 8)
+        a, b, some = (x[ahead | behind] for x in (a, b, some))
+        ahead, behind = reach(a, b, n - b, False), reach(a, b, a, True)
+        keep = (ahead + behind >= some) & (behind < some)  # from the first two multiples in the run
+        yield from zip((a - behind)[keep].tolist(), (b + ahead)[keep].tolist(), some[keep].tolist(), strict=True)
+
+
 def _walk_spans(lower: str) -> Iterator[tuple[int, int, float]]:
     keys, first, turns, last = lower.translate(_SHIFT), 0, 0, None
     for i in range(1, len(keys) + 1):
@@ -139,7 +199,8 @@ def guess_cost(value: str, ranks: Ranks = _RANK) -> float:
     ``best[i]`` is the least cost of the first i characters; ``brute[i]`` the
     least of those whose last segment is brute force, to which one more
     character adds the same cost.  Each segment costs :data:`SEGMENT` besides.
-    Time grows with the length times the longest word; any length is taken.
+    Time grows with the length times the longest word, and for repeats with
+    n log(n) squared; any length is taken.
     """
     n = len(value)
     if not n:
@@ -206,8 +267,8 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", least_cost: float = 13.0, least_length: int = 8) -> DataFrame:
     """``(key, spans)`` of every row; null text has no spans, null and repeated
-    keys are kept, other columns are not looked at.  Guesses know the words that
-    are frequent in all of ``docs``."""
+    keys are kept, other columns are not looked at, an empty table gives an
+    empty one.  Guesses know the words that are frequent in all of ``docs``."""
     ranks = Ranks(frequent_words(docs, text))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
@@ -224,7 +285,8 @@ def _of(kind: str):
 
 
 def digest_spans(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (as one string)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (as one string), a
+    row for each row of ``scanned``; no spans give 0 and empty strings."""
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s.kind != "guess")
     counts = [F.size(F.filter("spans", _of(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]
@@ -248,8 +310,10 @@ def redact(text: str, mask: str = "[SECRET]", **options) -> str:
 
 def redact_documents(docs: DataFrame, text: str = "text", length: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``length`` (if there is such
-    a column) set to the new number of characters where the text changed.
-    Guesses know the words that are frequent in all of ``docs``."""
+    a column) set to the new number of characters where the text changed.  Null
+    text stays null, repeated rows stay, columns of any name stay, an empty
+    table gives an empty one.  Guesses know the words that are frequent in all
+    of ``docs``."""
     ranks = Ranks(frequent_words(docs, text))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

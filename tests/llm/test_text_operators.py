@@ -2,9 +2,12 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -14,7 +17,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from ledgerline.llm import bpe, packing, quality, quotes, secret_scan, tiff, token_counts
+from ledgerline.llm import bpe, packing, quality, quotes, secret_scan, sql, tiff, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -367,6 +370,69 @@ def test_guess_costs_order():
     assert cost("kzv") == pytest.approx(secret_scan.SEGMENT + 3 * one)
 
 
+def plain_segments(value, ranks):
+    """Every span with its cost, found by trying all starts and ends."""
+    lower, n, one = value.lower(), len(value), secret_scan._sets(value)
+    keys = lower.translate(secret_scan._SHIFT)
+    found = {}
+
+    def add(i, j, cost):
+        found[i, j] = min(cost, found.get((i, j), math.inf))
+
+    def step(a, b):
+        at = [next(((y, row.index(c)) for y, row in enumerate(secret_scan._ROWS) if c in row), None) for c in (a, b)]
+        return (at[1][0] - at[0][0], at[1][1] - at[0][1]) if None not in at and b in secret_scan._NEAR[a] else None
+
+    steps = [step(a, b) for a, b in zip(keys, keys[1:], strict=False)]
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            add(i, j, (j - i) * one)
+            part = value[i:j]
+            word = lower[i:j].translate(secret_scan._PLAIN)
+            if j - i >= 3 and word in ranks:
+                upper = sum(c.isupper() for c in part)
+                bits = sum(a != b for a, b in zip(word, lower[i:j], strict=True)) + (upper if upper not in (0, 1, j - i) or upper == 1 and not part[0].isupper() and j - i > 1 else bool(upper))
+                add(i, j, math.log10(ranks[word]) + bits * math.log10(2))
+            for period in range(1, (j - i) // 2 + 1):
+                whole = j - i >= max(2 * period, period + 2) and all(value[k] == value[k - period] for k in range(i + period, j))
+                further = i and value[i - 1] == value[i - 1 + period] or j < n and value[j] == value[j - period]
+                if whole and not further:
+                    add(i, j, period * one + math.log10((j - i) // period))
+            if j - i >= 4 and None not in steps[i : j - 1] and (not i or steps[i - 1] is None) and (j == n or steps[j - 1] is None):
+                turns = sum(a != b for a, b in zip(steps[i : j - 1], steps[i + 1 : j - 1], strict=False))
+                add(i, j, math.log10(47 * (j - i)) + (turns + 1) * math.log10(5))
+    for i, j, cost in secret_scan._date_spans(value):
+        add(i, j, cost)
+    return found
+
+
+def test_guess_costs_equal_all_segmentations():
+    rng = random.Random(9)
+    parts = ["dragon", "the", "P@ss", "word", "2019", "12-05-2001", "abab", "aaa", "qwe", "asdf", "zxcv", "!", "7", "K", "x", "MonKey", "Love"]
+    ranks = secret_scan.Ranks(["zebra", "ababab"])
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[:11] for _ in range(250)] + ["".join(rng.choice("ab1") for _ in range(10)) for _ in range(60)]
+    for value in values:
+        spans = plain_segments(value, ranks)
+        least = math.inf
+        for cuts in itertools.product([False, True], repeat=len(value) - 1):
+            ends = [k + 1 for k, c in enumerate(cuts) if c] + [len(value)]
+            least = min(least, sum(spans[i, j] + secret_scan.SEGMENT for i, j in zip([0, *ends], ends, strict=False)))
+        assert secret_scan.guess_cost(value, ranks) == pytest.approx(least), value
+
+
+def test_repeats_of_any_period():
+    rng = random.Random(1)
+    for k in range(400):
+        value = "".join(rng.choice("ab" if k % 2 else "abc") for _ in range(rng.choice([3, 60, 150])))
+        value = value[: rng.randint(1, 60)] * rng.randint(1, 9) + value[:5]
+        assert sorted(secret_scan._plain_runs(value)) == sorted(secret_scan._hashed_runs(value, rng.choice([7, 1 << 20])))
+    unit = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300))
+    assert secret_scan.guess_cost(unit * 40) < secret_scan.guess_cost(unit) + 4
+    began = time.perf_counter()
+    secret_scan.guess_cost("".join(rng.choice("0123456789abcdef") for _ in range(50_000)))
+    assert time.perf_counter() - began < 15
+
+
 def test_scan_and_redact_documents(spark):
     texts = [*ODD, "password: x7Gq2LmPz9Wd7 and pwd is qwertyuiop", "my pin is Tr8$kLq0!vNz."]
     docs = documents(spark, texts)
@@ -439,6 +505,53 @@ def test_links_and_reply_order(spark):
     assert all(r.depth == r.turn and r.thread == 0 for r in deep)
 
 
+def random_threads(seed):
+    rng = random.Random(seed)
+    say = ["one two", "Three, four!", "five", "six seven eight", "", " ", "x wrote:", "On Monday A. WROTE: ", "écrit:", "ninety-nine", "ÄÖ ü", "> odd", "a > b"]
+    rows, told = [], []
+    for conv in range(8):
+        told = []
+        for turn in range(rng.randint(1, 9)):
+            lines = [rng.choice(say) for _ in range(rng.randint(0, 6))]
+            for _ in range(rng.randint(0, 3)):
+                if told:
+                    old = rng.choice(told).split("\n")
+                    a = rng.randrange(len(old))
+                    mark = rng.choice([">", "> ", ">> ", " > >", "> \t"])
+                    lines += [*(["A schrieb:"] if rng.random() < 0.3 else []), *(mark + x for x in old[a : a + rng.randint(1, 6)]), *([""] if rng.random() < 0.5 else [])]
+            text = "\n".join([*lines, rng.choice(say)])
+            told.append(text)
+            rows.append((conv if conv else None, turn if rng.random() < 0.9 else rng.choice([None, 0, 1]), "user", rng.choice([text] * 9 + [None])))
+            if rng.random() < 0.15:
+                rows.append((rows[-1][0], rows[-1][1], "assistant", rng.choice([text, rng.choice(say)])))
+    return rows
+
+
+def test_links_equal_their_sql(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    for rows in (MESSAGES, *([r for seed in range(4 * k, 4 * k + 4) for r in [((c or 0) + 100 * seed if c is not None else None, t, o, x) for c, t, o, x in random_threads(seed)]] for k in range(3))):
+        base = duckdb.connect()
+        base.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        base.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        wanted = base.sql(sql.QUOTATION_LINKS)
+        got = [tuple(r) for r in quotes.link_quotes(spark.createDataFrame(rows, schema)).select(*wanted.columns).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, wanted.fetchall()))
+    assert sum(r[5] > 0 for r in got) > 20 and max(r[8] for r in got) > 2
+
+
+def test_messages_of_one_turn_have_their_own_links(spark):
+    rows = [(1, 0, "user", "a question"), (1, 1, "a", "> a question\nfirst"), (1, 1, "b", "no quote here"), (1, 2, "c", "> no quote here\nwell"), (1, 3, "d", "> first\nyes")]
+    got = {r.role: (r.n_linked, r.reply_to, r.thread, r.depth) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {"user": (0, None, 0, 0), "a": (1, 0, 0, 1), "b": (0, None, 1, 0), "c": (1, 1, 1, 1), "d": (1, 1, 0, 2)}
+
+
+def test_long_lines_take_time_in_proportion():
+    began = time.perf_counter()
+    assert len(quotes.passages("wrote : " * 200_000 + "x\n> a")) == 2
+    assert len(quotes.passages("he wrote:\n" * 60_000 + "> a")) == 2
+    assert time.perf_counter() - began < 5
+
+
 def test_rewrapped_paragraphs_are_linked(spark):
     first, second, third = "The first part says a few words\nover two lines.", "The second part says some more\nover two lines too.", "The third one ends it all\nfor good."
     told = f"{first}\n\n{second}\n\n{third}"
