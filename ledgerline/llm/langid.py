@@ -1,8 +1,8 @@
 """Language of words and texts by a linear-chain conditional random field.
 
-A word's emission scores are the mean weights of its affixes and n-grams (a
-word is written ``^word$``, so the n-grams at its ends are its affixes) plus
-the weight of its entry in a learned lexicon.  Transitions are learned from
+A word's emission scores are the mean weights of its affixes and n-grams (of
+``^word$``, so that those at its ends are told apart) plus the weight of its
+entry in a learned lexicon.  Transitions are learned from
 sequences in which passages of several languages follow one another, so that
 they hold for code-switched text.  Forward-backward gives each word's
 probabilities, and their mean, by letters, is the text's.
@@ -10,19 +10,27 @@ probabilities, and their mean, by letters, is the text's.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import U64, runs, slices, span_hashes, splitmix, text_bytes
 
 #: Lengths of n-grams, and bits of the table of weights of each length.
 GRAMS, BITS = (2, 3, 4), 15
+#: Letters of the prefixes, and of the suffixes; a shorter word is its own.
+AFFIXES = (2, 3, 4)
+#: Tables of weights: one for each length of n-grams, for prefixes and for suffixes.
+TABLES = len(GRAMS) + 2
+#: A longer text goes into the sample as so many slices of so many characters.
+SLICES, SLICE = 12, 500
 UNKNOWN = "und"
 #: Labels up to which the budgets of texts and words hold; they shrink beyond.
 FULL_BUDGET = 32
@@ -44,17 +52,19 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of many texts: hashes, lengths, the rows' first words, and for
-    each length of n-grams their table places, word by word, and each word's
-    first."""
+    """The words of many texts: hashes, lengths, the rows' first words, for each
+    length of n-grams their table places, word by word, and each word's first,
+    and the places of each word's affixes."""
 
     hashes: np.ndarray
     letters: np.ndarray
     first: np.ndarray
     grams: list[tuple[np.ndarray, np.ndarray]] = field(repr=False)
+    affixes: np.ndarray = field(repr=False)
 
-    def gram_counts(self) -> np.ndarray:
-        return sum(np.diff(first) for _, first in self.grams)
+    def counts(self) -> np.ndarray:
+        """Features of each word."""
+        return sum(np.diff(first) for _, first in self.grams) + self.affixes.shape[1]
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -74,7 +84,11 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> Words:
     padded[word_at + size + 1] = ord("$")
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)
     padded[inner] = lower[points[inside]]
-    hashes = span_hashes(padded, word_at, word_at + size + 2)
+    begin, end = word_at + 1, word_at + 1 + size
+    short = [np.minimum(size, k) for k in AFFIXES]
+    spans = span_hashes(padded, np.concatenate([word_at, *([begin] * len(AFFIXES)), *(end - k for k in short)]), np.concatenate([word_at + size + 2, *(begin + k for k in short), *([end] * len(AFFIXES))]))
+    hashes, ends = spans[: len(size)], spans[len(size) :].reshape(2 * len(AFFIXES), len(size)).T
+    affixes = (ends >> U64(64 - BITS)).astype(np.int32) + (len(GRAMS) + np.repeat([0, 1], len(AFFIXES)).astype(np.int32) << BITS)
     left = np.repeat(size + 2, size + 2) - (np.arange(n) - np.repeat(word_at, size + 2))
     grams = []
     for k, gram in enumerate(GRAMS):
@@ -83,12 +97,12 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> Words:
             total[: n - j] = total[: n - j] * U64(0x9E3779B97F4A7C15) + padded[j:]
         place = (splitmix(total[left >= gram]) >> U64(64 - BITS)).astype(np.int32) + (k << BITS)
         grams.append((place, np.concatenate([[0], np.cumsum(np.maximum(0, size + 3 - gram))])))
-    return Words(hashes, size, first, grams)
+    return Words(hashes, size, first, grams, affixes)
 
 
 @dataclass
 class Model:
-    """Weights: grams (tables x labels), lexicon (entries x labels, by sorted
+    """Weights: grams (tables of n-grams and affixes x labels), lexicon (entries x labels, by sorted
     hash), transitions and starts."""
 
     labels: list[str]
@@ -115,7 +129,9 @@ class Model:
                 sums = np.zeros(len(place) + 1)
                 np.cumsum(weights[place], out=sums[1:])
                 out[:, k] += np.diff(sums[first])
-        out *= (self.scale / words.gram_counts())[:, None]
+            for affix in words.affixes.T:
+                out[:, k] += weights[affix]
+        out *= (self.scale / words.counts())[:, None].astype(np.float32)
         has, entry = self.entries(words.hashes)
         out[has] += self.lexicon[entry]
         return out
@@ -174,7 +190,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, length: int = 48
     """
     labels = sorted(set(langs))
     if not labels:
-        return Model([], np.zeros((len(GRAMS) << BITS, 0)), np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
+        return Model([], np.zeros((TABLES << BITS, 0)), np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
     k, number = len(labels), {x: n for n, x in enumerate(labels)}
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
@@ -194,7 +210,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, length: int = 48
             a, b = words.first[d], words.first[d + 1]
             ids.append(a + (random.integers(b - a) + np.arange(n)) % (b - a))
             gold.append(np.full(n, y))
-    model = Model(labels, np.zeros((len(GRAMS) << BITS, k), np.float32), np.zeros(0, np.uint64), np.zeros((0, k), np.float32), np.eye(k), np.zeros(k))
+    model = Model(labels, np.zeros((TABLES << BITS, k), np.float32), np.zeros(0, np.uint64), np.zeros((0, k), np.float32), np.eye(k), np.zeros(k))
     if not ids:
         return model
     ids, gold = np.concatenate(ids), np.concatenate(gold)
@@ -210,8 +226,8 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, length: int = 48
         size = np.diff(first)[at]
         spread = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[:-1][at], size)
         grams.append((place[spread], np.concatenate([[0], np.cumsum(size)])))
-    kind_words = Words(kinds, words.letters[at], np.array([0, len(kinds)]), grams)
-    count = kind_words.gram_counts()
+    kind_words = Words(kinds, words.letters[at], np.array([0, len(kinds)]), grams, words.affixes[at])
+    count = kind_words.counts()
     target = np.zeros((len(gold), k))
     target[np.arange(len(gold)), gold] = 1
     chains, steps = len(gold) // length, length
@@ -228,6 +244,8 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, length: int = 48
         for place, begin in kind_words.grams:
             flat = np.repeat(np.arange(len(kinds)), np.diff(begin))
             grams += np.stack([np.bincount(place, shares[flat, y], len(model.grams)) for y in range(k)], axis=1)
+        for affix in kind_words.affixes.T:
+            grams += np.stack([np.bincount(affix, shares[:, y], len(model.grams)) for y in range(k)], axis=1)
         gradient = {"grams": grams, "lexicon": per_kind[top], "transitions": pairs - _expected_pairs(e, p, chains, steps, model), "starts": wrong.reshape(chains, steps, k)[:, 0].sum(0)}
         for name, g in gradient.items():  # Adam, upwards, with a small decay
             value = getattr(model, name)
@@ -265,64 +283,90 @@ def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)), F.lit(0))
 
 
+def passages(text: str, slices: int = SLICES, size: int = SLICE) -> str:
+    """A text of at most ``slices * size`` characters as it is; of a longer one
+    so many slices, begun at places that its checksum draws, without the words
+    that they cut."""
+    if len(text) <= slices * size:
+        return text
+    random = np.random.default_rng(zlib.crc32(text.encode()))
+    cut = (text[k : k + size] for k in sorted(random.integers(0, len(text) - size, slices).tolist()))
+    return "\n".join(x.partition(" ")[2].rpartition(" ")[0] or x for x in cut)
+
+
 def fit(docs: DataFrame, per_label: int = 150, fold: int | None = 1) -> Model:
     """A field from ``docs(doc_id, text, lang)``.
 
-    Learned from a bounded sample of every language: at most about
-    ``per_label`` whole texts of each, those with the least hash of doc_id and
-    text; of more than :data:`FULL_BUDGET` languages so many fewer each, but 8.
+    Learned from a bounded sample of every language: at most ``per_label`` texts
+    of each, those with the least hash of the text, copies once; of more than
+    :data:`FULL_BUDGET` languages so many fewer each, but 8.  Of a long text the
+    sample has :func:`passages`, cut before anything moves, so the driver holds
+    at most 6,000 characters for each of these texts, however long they are.
     Documents of the ``fold`` (crc32 of doc_id mod 3), of null language or null
-    text are not looked at.
+    text are not looked at; without any, nothing is learned.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     if fold is not None:
         rows = rows.where(remainder(F.col("doc_id")) != fold)
-    # the share of the range of hashes that holds about per_label documents
-    counts = rows.groupBy("lang").count().collect()
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("mark"))
+    # the share of the range of hashes that holds about per_label texts
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("mark")).collect()
     if not counts:
         return train([], [])
     if len(counts) > FULL_BUDGET:
         per_label = min(per_label, max(8, per_label * FULL_BUDGET // len(counts)))
-    mark = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    below = [(lang, int(min(1.0, 1.3 * per_label / n + 6 / n) * (1 << 30))) for lang, n in counts]
-    below = docs.sparkSession.createDataFrame(below, f"lang {rows.schema['lang'].dataType.simpleString()}, below long")
-    sample = rows.join(F.broadcast(below), "lang").where(mark < F.col("below")).select("lang", "text", mark.alias("mark"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
-    sample = sample.limit(3 * per_label * len(counts)).collect()
-    texts, langs, taken = [], [], dict.fromkeys((x[0] for x in counts), 0)
-    for row in sorted(sample, key=lambda r: (r.mark, r.doc_id, r.text)):
-        if taken[row.lang] < per_label:
-            taken[row.lang] += 1
-            texts.append(row.text)
-            langs.append(row.lang)
-    return train(texts, langs)
-
-
-def predict_column(model: Model, column: pa.Array, group: int = 1 << 22) -> tuple[list[str], list[float]]:
-    """Language and score of each text of an Arrow column."""
-    data, offsets = text_bytes(column)
-    labels, scores = [], []
+    below = [(lang, int(min(1.0, 1.5 * per_label / max(1, n) + 10 / max(1, n)) * (1 << 30))) for lang, n in counts]
+    kind = rows.schema["lang"].dataType.simpleString()
+    below = docs.sparkSession.createDataFrame(below, f"lang {kind}, below long")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("mark"), pa.array([passages(x.as_py()) for x in batch.column("text")], pa.string())], ["lang", "mark", "text"])
+
+    some = rows.join(F.broadcast(below), "lang").where(F.pmod("mark", F.lit(1 << 30)) < F.col("below")).select("lang", "mark", "text")
+    some = some.mapInArrow(cut, f"lang {kind}, mark long, text string").groupBy("lang", "mark").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark")
+    some = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
+    sample = sorted(some.select("lang", "n", "text").collect())
+    return train([r.text for r in sample], [r.lang for r in sample])
+
+
+def predict_column(model: Model, column: pa.Array, group: int = 1 << 20) -> tuple[list[str], list[float]]:
+    """Language and score of each text of an Arrow column.
+
+    Texts go by length, so that chains of a group end together and only few
+    groups have long ones."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    order = np.argsort(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), kind="stable")
+    labels, scores = np.full(len(order), UNKNOWN, object), np.zeros(len(order))
     if not model.labels:
-        return [UNKNOWN] * (len(offsets) - 1), [0.0] * (len(offsets) - 1)
-    for a, b in slices(offsets, group):
-        emissions, letters, first = [], [], [np.zeros(1, np.int64)]
-        for c, d in slices(offsets[a : b + 1], 1 << 19):
-            part = word_features(data[offsets[a + c] : offsets[a + d]], offsets[a + c : a + d + 1] - offsets[a + c])
-            emissions.append(model.emissions(part))
-            letters.append(part.letters)
-            first.append(part.first[1:] + first[-1][-1])
-        first, letters = np.concatenate(first), np.concatenate(letters)
-        p = marginals(np.concatenate(emissions), first, model.transitions, model.starts)
-        sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p * letters[:, None], axis=0)])
-        total = sums[first[1:]] - sums[first[:-1]]
-        for row in total:
-            if not len(row) or not row.sum() > 0:
-                labels.append(UNKNOWN)
-                scores.append(0.0)
-            else:
-                best = int(np.argmax(row))
-                labels.append(model.labels[best])
-                scores.append(float(min(1.0, max(0.0, row[best] / row.sum()))))
-    return labels, scores
+        return labels.tolist(), scores.tolist()
+    for first in range(0, len(order), 1000):
+        some = order[first : first + 1000]
+        data, offsets = text_bytes(column.take(pa.array(some)))
+        for a, b in slices(offsets, group):
+            total = _label_sums(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            whole = total.sum(axis=1)
+            best = np.argmax(total, axis=1)
+            for k in np.flatnonzero(whole > 0).tolist():
+                labels[some[a + k]] = model.labels[best[k]]
+                scores[some[a + k]] = min(1.0, max(0.0, total[k, best[k]] / whole[k]))
+    return labels.tolist(), scores.tolist()
+
+
+def _label_sums(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text, its letters by the probabilities of their words' labels."""
+    emissions, letters, first = [], [], [np.zeros(1, np.int64)]
+    for c, d in slices(offsets, 1 << 18):
+        part = word_features(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c])
+        emissions.append(model.emissions(part))
+        letters.append(part.letters)
+        first.append(part.first[1:] + first[-1][-1])
+    first, letters = np.concatenate(first), np.concatenate(letters)
+    p = marginals(np.concatenate(emissions), first, model.transitions, model.starts)
+    p *= letters[:, None]
+    sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+    return sums[first[1:]] - sums[first[:-1]]
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,7 +395,9 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language with this score at least."""
+    """The rows of ``docs`` whose text has a language with this score at least,
+    with their own columns.  Null text, and one without a letter, has none;
+    repeated rows are judged alike; an empty table gives an empty one."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,6 +409,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "t
 
 def predicted_folds(docs: DataFrame, **options) -> DataFrame:
     """Fits on the documents that are not held out and predicts all:
-    doc_id, held_out, lang_pred, score."""
+    doc_id, held_out, lang_pred, score.  Rows, nulls and empty tables as in
+    :func:`predict`; a null doc_id is not held out."""
     made = predict(docs, fit(docs, **options))
     return made.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")

@@ -58,6 +58,20 @@ def test_language_on_held_out_documents(spark, labelled):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_the_sample_is_bounded_and_affixes_count(spark, labelled):
+    long = "the wher " * 400_000
+    rows = [(k, t, lang, s, n) for k, t, lang, s, n in labelled] + [(1000 + k, long + str(k), "en", "s", 0) for k in range(6)] + [(2000 + k, labelled[0][1], "en", "s", 0) for k in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA).repartition(5), fold=None)
+    assert model.labels == ["de", "en", "fr"] and len(langid.passages(long)) <= langid.SLICES * (langid.SLICE + 1)
+    assert langid.passages("x" * 10**6).count("x") == langid.SLICES * langid.SLICE and langid.passages("short text") == "short text"
+    got = langid.predict_column(model, langid.pa.chunked_array([["the wher", None], ["", "ich der"]]))
+    assert got[0] == ["en", "und", "und", "de"] and got[1][1:3] == [0.0, 0.0]
+    data, offsets = langid.text_bytes(langid.pa.array(["abcdef", "abcdxx xxcdef ab"]))
+    words = langid.word_features(data, offsets)
+    assert (words.affixes[0, :3] == words.affixes[1, :3]).all() and (words.affixes[0, 3:] == words.affixes[2, 3:]).all()  # prefixes, suffixes
+    assert words.affixes[3, 0] == words.affixes[0, 0] and len(set(words.affixes[3, :3])) == 1
+
+
 def test_rare_languages_are_learned(spark):
     rng = random.Random(4)
     pools = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(8)] for _ in range(36)]
