@@ -2,21 +2,32 @@
 
 After Bawa, Condie and Ganesan, "LSH Forest" (2005).  Every distinct text has a
 signature; each tree sorts the texts by a label of several hashes of it, so that
-a prefix of the label is a node of the tree's trie.  From full labels the
-prefixes are shortened until the recall of a pair at the threshold reaches the
-target; texts under one node of a tree are candidates.
-
-Copies are one class before the forest.  Under a node, pairs are compared by
-signature alone, within blocks of a fixed number of texts, and only edges that
-connect the close ones go out; in a node of several blocks, what is close to its
-first text is compared with that alone.  The components hold all candidates;
-their texts meet once, again in blocks, for exact verification, which gives
-counts of links and a spanning forest of them.  No pair is a row, but counting
-the links of a component of n texts sends each text to n / 256 pairs of blocks.
+a prefix of the label is a node of the tree's trie, and the texts under a node
+stand together.  Each text sets out from its longest matched prefix, the whole
+label, and goes up: level by level the prefixes are shortened by one hash, and
+texts that share the shorter one are candidates, until
+
+* the text's recall is reached: a set of n shingles can have only some
+  similarities of the threshold or more, and the least of them says how short
+  its prefix must become (:func:`stop_lengths`), or
+* all texts that are left under the node are of one component already.
+
+Copies are one class before the forest.  A trie is dealt by its nodes of the
+least length that any text may need, and within a task the levels below run
+over sorted labels.  Candidates are compared by signature alone, in blocks of a
+fixed number of texts, and only edges that connect the close ones go out; in a
+node of several blocks, what is close to its first text is compared with that
+alone.  The components hold all candidates; only their texts are read again.
+They meet once, in blocks, for exact verification of the pairs that share a
+prefix, which gives counts of links and a spanning forest of them.  A component
+that is a long chain, so that its nodes hold fewer pairs than itself, meets node
+by node instead.  No pair is a row, but counting the links of n texts that are
+all alike sends each of them to n / 256 pairs of blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,24 +38,46 @@ from pyspark.sql import functions as F
 
 from .columns import U64, shingles, slices, splitmix, text_bytes, whole_groups
 from .graph import connected_components
-from .shared import fresh, stored
+from .shared import each_salt, fresh, salt, salts, stored
 
 TREES, LABEL = 16, 8
 #: Texts of a block: a task compares two blocks at a time.
 BLOCK = 256
+#: Ids up to which those of all members are broadcast, of some 60 bytes each; more are joined.
+BROADCAST_IDS = 400_000
 _A = (splitmix(np.arange(1, TREES * LABEL + 1, dtype=np.uint64) * U64(0x9E37)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (splitmix(np.arange(1, TREES * LABEL + 1, dtype=np.uint64) * U64(0xC2B2)) >> U64(32)).astype(np.uint32)
 
 
-def prefix_length(threshold: float, recall: float, trees: int = TREES, most: int = LABEL) -> int:
-    """The longest prefix, shortened from the full label, at which a pair at the
-    threshold shares a node of some tree with the target probability."""
+def prefix_length(similarity: float, recall: float, trees: int = TREES, most: int = LABEL) -> int:
+    """The longest prefix, shortened from the full label, at which a pair of
+    this similarity shares a node of some tree with the target probability."""
     for k in range(most, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+        if 1 - (1 - similarity**k) ** trees >= recall:
             return k
     return 1
 
 
+def stop_lengths(threshold: float, recall: float, sizes: int = 200) -> np.ndarray:
+    """For sets of 0, 1, 2, ... shingles, how short a prefix must become.
+
+    A set of n that shares i shingles with one of m has similarity
+    ``i / (n + m - i)``; the least of these that is the threshold or more bounds
+    the recall from below.  Larger sets than these count as reaching the
+    threshold itself, which the last entry stands for.
+    """
+    share = Fraction(str(threshold))
+    out = [LABEL]
+    for n in range(1, sizes):
+        least = Fraction(1)
+        for i in range(math.ceil(share * n), n + 1):
+            m = math.floor(i / share + i - n)
+            if m >= i > 0:
+                least = min(least, Fraction(i, n + m - i))
+        out.append(prefix_length(float(least), recall))
+    return np.array([*out, prefix_length(threshold, recall)], np.uint8)
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """The least of each hash function over a set of shingles."""
     low = (found >> U64(32)).astype(np.uint32) ^ found.astype(np.uint32)
@@ -130,8 +163,13 @@ def _edges(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(leaf)), ids.take(pa.array(root[leaf]))], ["a", "b"])
 
 
-def signed(texts: DataFrame, size: int, prefix: int) -> DataFrame:
-    """``texts(id, text)`` to ``(id, brief, keys)``; a text without a word has none."""
+def signed(texts: DataFrame, size: int, threshold: float, recall: float) -> DataFrame:
+    """``texts(id, text)`` to ``(id, brief, keys, stop)``; a text without a word
+    has none.  brief: the low bytes of the signature, tree by tree, which are
+    the labels by which the tries are sorted; keys: in each tree the node of the
+    least length that any text needs; stop: the length that this one needs."""
+    stops = stop_lengths(threshold, recall)
+    prefix = int(stops.min())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +182,12 @@ def signed(texts: DataFrame, size: int, prefix: int) -> DataFrame:
                 made = np.stack([signature(sets[k]) for k in some])
                 low = (made & 255).astype(np.uint8)
                 keys = node_keys(made, prefix)
+                stop = stops[np.minimum([len(sets[k]) for k in some], len(stops) - 1)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(np.array(some) + a)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "brief", "keys"]
+                    [batch.column("id").take(pa.array(np.array(some) + a)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(stop)], ["id", "brief", "keys", "stop"]
                 )
 
-    return texts.mapInArrow(sign, "id binary, brief binary, keys array<long>")
+    return texts.mapInArrow(sign, "id binary, brief binary, keys array<long>, stop int")
 
 
 def starred(rows: DataFrame, key: str, near, *others: str) -> tuple[DataFrame, DataFrame]:
@@ -223,42 +262,90 @@ def _least(threshold: float) -> float:
     return threshold - 5 * (threshold * (1 - threshold) / (TREES * LABEL)) ** 0.5
 
 
-def candidate_edges(signs: DataFrame, threshold: float) -> DataFrame:
-    """Edges ``(a, b)`` whose components are those of the texts that share a node
-    and whose signatures agree as far as a pair at the threshold does but for
-    chance: five standard deviations below."""
+def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of labels, the lengths of the prefixes that they share."""
+    return np.cumprod(a == b, axis=-1, dtype=np.uint8).sum(axis=-1, dtype=np.uint8)
+
+
+def populated(signs: DataFrame) -> DataFrame:
+    """``(node, tree, id, size, brief, stop)`` of each node of two texts or more."""
+    nodes = signs.select("id", salt("id").alias("part"), F.posexplode("keys").alias("tree", "node"))
+    counts = nodes.groupBy("node").agg(F.count("*").alias("size"), salts("part").alias("bits")).where("size > 1")
+    counts = counts.select("node", "size", each_salt("bits").alias("part"))
+    return nodes.join(counts, ["node", "part"]).drop("part").join(signs.select("id", "brief", "stop"), "id")
+
+
+def candidate_edges(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Edges ``(a, b)`` whose components are those of the candidates: texts that
+    share a prefix as short as either needs, and whose signatures agree as far
+    as a pair at the threshold does but for chance, five standard deviations
+    below.  ``nodes`` are those of :func:`populated`, read several times."""
     least = _least(threshold)
-    nodes = signs.select("id", F.explode("keys").alias("node"))
-    counts = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = stored(nodes.join(counts, "node").join(signs.select("id", "brief"), "id"))
 
     def near(batch: pa.RecordBatch) -> np.ndarray:
         return np.count_nonzero(_brief(batch) == _brief(batch, "centre_brief"), axis=1) >= least * TREES * LABEL
 
-    stars, rows = starred(nodes, "node", near, "brief")
-    rows = rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "id")
+    stars, rows = starred(nodes, "node", near, "brief", "tree", "stop")
+    rows = rows.withColumn("label", F.expr(f"substring(brief, tree * {LABEL} + 1, {LABEL})"))
+    rows = rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "label", "id")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["node", "bi", "bj"]):
-            brief = _brief(table)
-            found = [(a[c], b[c]) for a, b in _met(table, bounds) if (c := _close(a, b, brief, least)).any()]
+            brief, labels = _brief(table), _brief(table, "label")
+            stop = table.column("stop").to_numpy().astype(np.uint8)
+            root, found = np.arange(table.num_rows), []
+            for a, b in _met(table, bounds):
+                long = matched(labels[a], labels[b])
+                allowed = long >= np.maximum(stop[a], stop[b])
+                for level in range(LABEL, int(stop.min()) - 1, -1):  # prefixes grow shorter
+                    now = np.flatnonzero(allowed & (long == level))
+                    now = now[root[a[now]] != root[b[now]]]
+                    now = now[_close(a[now], b[now], brief, least)]
+                    if len(now):
+                        found.append((a[now], b[now]))
+                        root = local_roots(table.num_rows, *(np.concatenate(x) for x in zip(*found, strict=True)))
             if found:
                 yield _edges(table, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return stars.unionByName(rows.mapInArrow(link, "a binary, b binary"))
 
 
+def meetings(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where the texts of components meet: ``(place, tree, id, size)``.
+
+    ``members(root, id, size)`` meet in their component, with tree -1.  A
+    component of several blocks whose nodes hold fewer pairs than itself, as a
+    chain's do, meets in these instead.  Both cover all candidates.
+    """
+    large = members.where(F.col("size") > BLOCK)
+    own = F.md5(F.concat("root", F.col("node").cast("string").cast("binary"))).alias("place")
+    held = nodes.select("id", "node", "tree").join(large.select("root", "id", F.col("size").alias("all")), "id").select("root", "all", own, "tree", "id", salt("id").alias("part"))
+    counts = held.groupBy("place").agg(F.count("*").alias("size"), F.first("root").alias("root"), F.first("all").alias("all"), salts("part").alias("bits"))
+    chains = counts.groupBy("root").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"), F.first("all").alias("all"))
+    chains = stored(chains.where(F.col("pairs") < F.col("all").cast("double") * F.col("all")).select("root"))
+    whole = members.join(chains, "root", "left_anti").select(F.hex("root").alias("place"), F.lit(-1).alias("tree"), "id", "size")
+    if not chains.limit(1).count():
+        return whole
+    some = counts.join(chains, "root", "left_semi").where("size > 1").select("place", "size", each_salt("bits").alias("part"))
+    return whole.unionByName(held.join(some, ["place", "part"]).select("place", "tree", "id", "size"))
+
+
 def verified(rows: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Exact links among ``rows(root, bi, bj, own, id, brief, text)``: rows
-    ``(a, b, n)``, of which those with b are a spanning forest of the links and
-    those without say how many links of a were found here."""
+    """Exact links among ``rows(place, bi, bj, own, tree, id, brief, keys, stop,
+    text)``: rows ``(a, b, n)``, of which those with b are a spanning forest of
+    the links and those without say how many links of a were found here.  Pairs
+    that share no prefix as short as they need are no candidates; of a pair that
+    meets in nodes of several trees the first counts."""
     least = _least(threshold)
     share = Fraction(str(threshold))
-    rows = rows.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "id")
+    rows = rows.repartition("place", "bi", "bj").sortWithinPartitions("place", "bi", "bj", "id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["root", "bi", "bj"]):
+        for table, bounds in whole_groups(batches, ["place", "bi", "bj"]):
             brief = _brief(table)
+            labels = brief.reshape(-1, TREES, LABEL)
+            keys = np.array(table.column("keys").to_pylist(), np.int64)
+            stop, tree = table.column("stop").to_numpy().astype(np.uint8), table.column("tree").to_numpy()
             data, offsets = text_bytes(table.column("text"))
             sets: dict[int, frozenset] = {}
 
@@ -273,9 +360,15 @@ def verified(rows: DataFrame, size: int, threshold: float) -> DataFrame:
             links = []
             for a, b in _met(table, bounds):
                 close = _close(a, b, brief, least)
-                for x, y in zip(a[close].tolist(), b[close].tolist(), strict=True):
-                    if linked(shingles_of(x), shingles_of(y), share):
-                        links.append((x, y))
+                a, b = a[close], b[close]
+                for k in range(0, len(a), 1 << 12):
+                    x, y = a[k : k + (1 << 12)], b[k : k + (1 << 12)]
+                    met = keys[x] == keys[y]
+                    here = (met & (matched(labels[x], labels[y]) >= np.maximum(stop[x], stop[y])[:, None])).any(axis=1)
+                    here &= (tree[x] < 0) | (np.argmax(met, axis=1) == tree[x])
+                    for i, j in zip(x[here].tolist(), y[here].tolist(), strict=True):
+                        if linked(shingles_of(i), shingles_of(j), share):
+                            links.append((i, j))
             if links:
                 a, b = np.array(links).T
                 edges = _edges(table, a, b)
@@ -295,33 +388,39 @@ def text_id(text: str):
 
 def classes(docs: DataFrame, key: str, text: str, size: int, threshold: float, recall: float, counted: bool = True) -> DataFrame:
     """A row for each distinct text: id, copy_of, times (documents with this key
-    and text), root (of its component of links) and, if ``counted``, n_links.
+    and text), bits (:func:`salts` of its keys), root (of its component of
+    links) and, if ``counted``, n_links.
 
     Without the counts, what is linked to the first text of a component is
     compared with that alone.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_id(text).alias("id"))
-    keys = rows.groupBy("id", "key").agg(F.count("*").alias("times"))
+    keys = rows.groupBy("id", "key").agg(F.count("*").alias("times")).withColumn("part", salt("key"))
     # of a struct the least; a null key comes last
-    least = keys.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "times")).alias("least"))
-    named = least.select("id", F.col("least.key").alias("copy_of"), F.col("least.times").alias("times"))
-
-    signs = signed(rows.select("id", "text"), size, prefix_length(threshold, recall))
-    signs = stored(signs.groupBy("id").agg(F.first("brief").alias("brief"), F.first("keys").alias("keys")))
-    components = connected_components(candidate_edges(signs, threshold))
-    sizes = components.groupBy("root").agg(F.count("*").alias("size"))
-    members = components.join(sizes, "root").withColumnRenamed("node", "id").join(signs.select("id", "brief"), "id")
-    # copies of a text become one row in each task before they are dealt out
-    texts = rows.groupBy("id").agg(F.first("text").alias("text"))
-    members = members.join(texts, "id")
+    least = keys.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "times")).alias("least"), salts("part").alias("bits"))
+    named = least.select("id", F.col("least.key").alias("copy_of"), F.col("least.times").alias("times"), "bits")
+
+    signs = signed(rows.select("id", "text"), size, threshold, recall)
+    signs = stored(signs.groupBy("id").agg(*(F.first(c).alias(c) for c in ("brief", "keys", "stop"))))
+    nodes = stored(populated(signs))
+    components = connected_components(candidate_edges(nodes, threshold)).select("root", F.col("node").alias("id"), salt("node").alias("part"))
+    sizes = components.groupBy("root").agg(F.count("*").alias("size"), salts("part").alias("bits"))
+    members = stored(components.join(sizes.select("root", "size", each_salt("bits").alias("part")), ["root", "part"]).drop("part"))
+    # only the texts of members move, and copies become one row in each task before
+    ids = members.select("id")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = rows.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = texts.join(signs, "id")
+    places, held = meetings(members, nodes), ("tree", "brief", "keys", "stop", "text")
+    places = places.join(texts, "id")
     if counted:
-        checked = stored(verified(block_pairs(members, "size", "root", "brief", "text"), size, threshold))
+        checked = stored(verified(block_pairs(places, "size", "place", *held), size, threshold))
         links = checked.where("b IS NOT NULL").select("a", "b")
     else:
-        stars, rest = starred(stored(members), "root", linked_to_first(size, threshold), "brief", "text")
+        stars, rest = starred(stored(places), "place", linked_to_first(size, threshold), *held)
         links = stars.unionByName(verified(rest, size, threshold).where("b IS NOT NULL").select("a", "b"))
     named = named.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left")
-    columns = ["id", "copy_of", "times", F.coalesce("root", "id").alias("root")]
+    columns = ["id", "copy_of", "times", "bits", F.coalesce("root", "id").alias("root")]
     if counted:
         counts = checked.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
         named = named.join(counts, "id", "left")
@@ -346,10 +445,12 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     rows are copies; other columns are not looked at.  An empty table gives an
     empty one.
     """
-    named = classes(docs, key, text, size, threshold, recall)
-    ids = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    named = named.join(ids, "root").select("id", "copy_of", "class_id", "n_links")
-    return docs.select(F.col(key).alias("key"), text_id(text).alias("id")).join(named, "id").select(F.col("key").alias(key), "copy_of", "class_id", "n_links")
+    named = classes(docs, key, text, size, threshold, recall).withColumn("part", salt("id"))
+    ids = named.groupBy("root").agg(F.min("copy_of").alias("class_id"), salts("part").alias("parts"))
+    named = named.join(ids.select("root", "class_id", each_salt("parts").alias("part")), ["root", "part"])
+    named = named.select("id", "copy_of", "class_id", "n_links", each_salt("bits").alias("part"))
+    rows = docs.select(F.col(key).alias("key"), text_id(text).alias("id")).withColumn("part", salt("key"))
+    return rows.join(named, ["id", "part"]).select(F.col("key").alias(key), "copy_of", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:

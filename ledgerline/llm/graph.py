@@ -2,7 +2,9 @@
 
 Alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): the edges of a step are never more
-than those of the step before, and nothing is gathered for one node.
+than those of the step before, and nothing is gathered for one node.  The edges
+of a node meet its least neighbour in parts, so that the hub of a large star is
+no single task's.
 """
 
 from __future__ import annotations
@@ -10,7 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import each_salt, salt, salts, stored
+
+
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges(u, v)`` with m, the least v of each u; and (u, m) alone."""
+    edges = edges.withColumn("part", salt("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), salts("part").alias("bits"))
+    return edges.join(least.select("u", "m", each_salt("bits").alias("part")), ["u", "part"]).drop("part"), least.select("u", "m")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -23,10 +32,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        inner = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        met, _ = _with_least(both)
+        large = met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        met, least = _with_least(large)
+        inner = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(inner.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen or mark[0] == 0:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
@@ -23,3 +24,23 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: Parts into which the rows of one key are dealt for a join.
+SALTS = 16
+
+
+def salt(*columns: str) -> Column:
+    """The part of a row, by what tells the rows of a key apart."""
+    return F.pmod(F.xxhash64(*columns, F.lit(5)), F.lit(SALTS)).cast("int")
+
+
+def salts(part: str) -> Column:
+    """Aggregate of a column of parts: those that a key has, as bits."""
+    return F.bit_or(F.expr(f"shiftleft(1, {part})"))
+
+
+def each_salt(bits: str) -> Column:
+    """The parts that the bits name, as rows: the other side of a join by key
+    and part, which has a key's row once for each part that is there."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(F.col(bits), k) == 1))

@@ -160,6 +160,44 @@ def test_prefixes_shorten_to_the_recall():
     assert forest.prefix_length(0.8, 0.5) > forest.prefix_length(0.8, 0.9995) >= 1
     k = forest.prefix_length(0.8, 0.9995)
     assert 1 - (1 - 0.8**k) ** forest.TREES >= 0.9995 > 1 - (1 - 0.8 ** (k + 1)) ** forest.TREES
+    stops = forest.stop_lengths(0.8, 0.9995, 40)
+    assert stops[1:4].tolist() == [forest.LABEL] * 3  # nothing but an equal set is as similar
+    for n in range(1, 40):
+        least = min(i / (n + m - i) for m in range(1, 80) for i in range(1, min(n, m) + 1) if 10 * i >= 8 * (n + m - i))
+        assert stops[n] == forest.prefix_length(least, 0.9995)
+    assert stops[-1] == k == stops.min()
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs just at the threshold, each in a class of its own."""
+    rng = random.Random(12)
+    rows, want = [], 0
+    for k in range(150):
+        words = [f"{rng.randrange(10**6)}x{j}" for j in range(94)]
+        other = list(words)
+        at = rng.randrange(10, 40)
+        other[at] = other[at + 45] = "new"  # 10 of 90 shingles differ: 80 of 100 are shared
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(150)) >= 149
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_chains_meet_in_their_nodes(spark, monkeypatch, counted):
+    """A chain of texts, each close to the next alone, has few pairs in its nodes."""
+    monkeypatch.setattr(forest, "BLOCK", 8)
+    words = [f"w{k}" for k in range(1200)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 80])) for k in range(200)]
+    seen = []
+    plain = forest.meetings
+    monkeypatch.setattr(forest, "meetings", lambda *a: (seen.append(plain(*a)), seen[-1])[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if counted:
+        got = sorted(((r.doc_id, r.copy_of, r.class_id, r.n_links) for r in forest.jaccard_join(docs).collect()), key=str)
+        assert got == brute(rows)
+    else:
+        assert [r.doc_id for r in forest.keep_one(docs).collect()] == [0]
+    assert seen[0].where("tree >= 0").count() > 0
 
 
 def test_components(spark):
