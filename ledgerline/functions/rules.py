@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
@@ -88,6 +89,20 @@ def infrastructure_error(class_name: Column) -> Column:
     return class_name.startswith("py4j.") | class_name.startswith("pyspark.errors.exceptions.connect") | name.isin("ConnectionError", "ConnectionResetError", "BrokenPipeError", "TimeoutError", "OperationalError", "InterfaceError", "RedisError")
 
 
+#: Exceptions of the store or transport, as a worker meets them.
+_INFRASTRUCTURE = (ConnectionError, TimeoutError, OSError)
+
+
+def is_infrastructure(error: BaseException) -> bool:
+    """As :func:`infrastructure_error`, of an exception itself."""
+    return isinstance(error, _INFRASTRUCTURE) or type(error).__module__.startswith("py4j.") or type(error).__name__ in ("OperationalError", "InterfaceError", "CommitConflict")
+
+
+def backoff_seconds(errors: int, options: WorkerOptions) -> float:
+    """Seconds to wait after so many errors in a row: doubled each time, to the cap."""
+    return float(min(options.retry_max_delay, options.retry_base_delay**errors))
+
+
 #: Codes and parts of messages by which a lost connection is told; fixed values.
 LOST_CODES = ("2006", "2013", "08003", "08006")
 LOST_MESSAGES = ("server has gone away", "lost connection", "connection refused", "connection is closed")
@@ -97,6 +112,18 @@ def connection_lost(code: str | None, message: str) -> bool:
     return str(code) in LOST_CODES or any(x in message.lower() for x in LOST_MESSAGES)
 
 
+def with_reconnect(action: Callable[[], object], reconnect: Callable[[], None] | None = None) -> object:
+    """What ``action`` gives; where it fails for a lost connection and there is a
+    way to ``reconnect``, that is taken once and ``action`` tried once more."""
+    try:
+        return action()
+    except Exception as error:
+        if reconnect is None or not connection_lost(getattr(error, "code", None), str(error)):
+            raise
+        reconnect()
+        return action()
+
+
 @dataclass(frozen=True)
 class WorkerOptions:
     poll_timeout: int = 5

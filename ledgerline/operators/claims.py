@@ -38,9 +38,10 @@ def claim_by_id(jobs: DataFrame, requests: DataFrame, now: Column, version: int
     return met.where(free).select("id", "queue", "worker_id", lease_token(F.col("id"), F.col("worker_id"), version).alias("lease_token"))
 
 
-def apply_claims(jobs: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
-    """The ledger after these claims; attempts stay as they are."""
+def apply_claims(jobs: DataFrame, claims: DataFrame, now: Column, touched: bool = False) -> DataFrame:
+    """The ledger after these claims; attempts stay as they are.  ``touched``:
+    the claimed jobs alone, as changes to commit."""
     taken = claims.select("id", F.col("worker_id").alias("_worker"), F.col("lease_token").alias("_token"))
     mine = F.col("_token").isNotNull()
     new = {"status": F.lit(RUNNING), "locked_by": F.col("_worker"), "lease_token": F.col("_token"), "locked_at": now, "started_at": now, "updated_at": now}
-    return jobs.join(taken, "id", "left").select(*(F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))
+    return jobs.join(taken, "id", "inner" if touched else "left").select(*(F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))

@@ -30,8 +30,10 @@ def available_at(time: Column, now: Column) -> Column:
 
 
 def from_epoch(seconds: Column) -> Column:
-    """A UTC time from positive seconds since 1970; null otherwise."""
-    return F.when(seconds > 0, after(moment("1970-01-01 00:00:00"), seconds))
+    """A UTC time from seconds since 1970; others than positive ones fail the
+    row, null stays null."""
+    wrong = F.raise_error(F.lit("a time must be positive seconds since 1970")).cast("timestamp_ntz")
+    return F.when(seconds <= 0, wrong).otherwise(after(moment("1970-01-01 00:00:00"), seconds))
 
 
 def definition_error() -> Column:

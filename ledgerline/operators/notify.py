@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import after, valid_job_id
 from ..schema import NOTIFICATION_SCHEMA
-from .recovery import _move
+from .recovery import PLACE, move, next_seq
 
 _COLUMNS = NOTIFICATION_SCHEMA.names
 
 
-def next_seq(notifications: DataFrame) -> int:
-    return (notifications.agg(F.max("seq")).first()[0] or 0) + 1
-
-
 def enqueue(notifications: DataFrame, new: DataFrame) -> DataFrame:
     """``new(queue, job_id, seq)`` to the pending lists, which may hold an id
     more than once."""
@@ -32,41 +28,58 @@ def enqueue_delayed(notifications: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select(*_COLUMNS).unionByName(rows)
 
 
+def oldest_pending(notifications: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of each pending list that are dequeued first."""
+    order = Window.partitionBy("queue").orderBy("seq", "job_id")
+    rows = notifications.where(F.col("list") == "pending").withColumn("_r", F.row_number().over(order))
+    return rows.where(F.col("_r") <= most).select(*_COLUMNS)
+
+
 def dequeue(notifications: DataFrame, most: int, now: Column) -> DataFrame:
     """The oldest pending ids of each queue go to processing, stamped now."""
-    order = Window.partitionBy("queue").orderBy("seq", "job_id")
-    first = notifications.where(F.col("list") == "pending").select("queue", "job_id", "seq", F.row_number().over(order).alias("r")).where(F.col("r") <= most)
-    rows = notifications.join(first.select("queue", "job_id", "seq", F.lit("pending").alias("list"), F.lit(True).alias("_hit")), ["queue", "job_id", "seq", "list"], "left")
+    rows = notifications.join(oldest_pending(notifications, most).select(*PLACE, F.lit(True).alias("_hit")), PLACE, "left")
     hit = F.coalesce("_hit", F.lit(False))
     new = {"list": F.when(hit, "processing").otherwise(F.col("list")), "score": F.when(hit, now).otherwise(F.col("score"))}
     return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in _COLUMNS), hit.alias("moved"))
 
 
+def _held(notifications: DataFrame, ids: DataFrame) -> DataFrame:
+    """The place of the oldest processing occurrence of each of ``ids(queue, job_id)``."""
+    rows = notifications.where(F.col("list") == "processing").join(ids.select("queue", "job_id"), ["queue", "job_id"], "left_semi")
+    return rows.groupBy("queue", "job_id", "list").agg(F.min("seq").alias("seq"))
+
+
 def ack(notifications: DataFrame, ids: DataFrame) -> DataFrame:
-    """Without one processing occurrence of each of ``ids(queue, job_id)``."""
-    order = Window.partitionBy("queue", "job_id", "list").orderBy("seq")
-    gone = ids.select("queue", "job_id").distinct().withColumn("_gone", F.lit(True))
-    rows = notifications.withColumn("_r", F.row_number().over(order)).join(gone, ["queue", "job_id"], "left")
-    drop = F.coalesce((F.col("list") == "processing") & (F.col("_r") == 1) & F.col("_gone"), F.lit(False))
-    return rows.where(~drop).select(*_COLUMNS)
+    """Without one processing occurrence of each of ``ids(queue, job_id)``; an id
+    that is asked for twice counts once.  Only what is asked for is aggregated."""
+    return notifications.join(_held(notifications, ids), PLACE, "left_anti").select(*_COLUMNS)
 
 
 def nack(notifications: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
-    """``ids(queue, job_id, delay)`` leave processing: for delayed, due in so many
-    seconds, or for the pending list where delay is 0."""
-    asked = ids.select("queue", "job_id", F.when(F.col("delay") < 0, F.raise_error(F.lit("delay must not be negative")).cast("int")).otherwise(F.col("delay")).alias("_delay"))
-    rows = notifications.join(asked, ["queue", "job_id"], "left")
-    hit = F.coalesce((F.col("list") == "processing") & F.col("_delay").isNotNull(), F.lit(False))
+    """One processing occurrence of each of ``ids(queue, job_id, delay)`` leaves:
+    for delayed, due in so many seconds, in place of the id's row there, or,
+    where delay is 0, for the end of the pending list.
+
+    Of repeated requests the shortest delay counts; those for one queue come in
+    order of their ids.
+    """
+    wait = F.when(F.col("delay") < 0, F.raise_error(F.lit("delay must not be negative")).cast("int")).otherwise(F.col("delay"))
+    asked = ids.select("queue", "job_id", wait.alias("_delay")).groupBy("queue", "job_id").agg(F.min("_delay").alias("_delay"))
+    picked = _held(notifications, asked).join(asked, ["queue", "job_id"]).withColumn("_r", F.row_number().over(Window.partitionBy("queue").orderBy("job_id")))
+    late = picked.where("_delay > 0").select("queue", "job_id", F.lit("delayed").alias("list"))
+    rows = notifications.join(late, ["queue", "job_id", "list"], "left_anti").join(picked, PLACE, "left")
+    hit, later = F.col("_r").isNotNull(), F.col("_delay") > 0
     new = {
-        "list": F.when(hit & (F.col("_delay") > 0), "delayed").when(hit, "pending").otherwise(F.col("list")),
-        "score": F.when(hit & (F.col("_delay") > 0), after(now, F.col("_delay"))).when(~hit, F.col("score")),
+        "list": F.when(hit & later, "delayed").when(hit, "pending").otherwise(F.col("list")),
+        "score": F.when(hit & later, after(now, F.col("_delay"))).when(~hit, F.col("score")),
+        "seq": F.when(hit, F.lit(next_seq(notifications) - 1) + F.col("_r")).otherwise(F.col("seq")),
     }
     return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in _COLUMNS), hit.alias("moved"))
 
 
-def promote_delayed(notifications: DataFrame, now: Column, limit: int = 100) -> DataFrame:
-    """Of each queue the first ``limit`` delayed ids that are due go to pending."""
-    return _move(notifications, F.coalesce((F.col("list") == "delayed") & (F.col("score") <= now), F.lit(False)), "pending", limit)
+def promote_delayed(notifications: DataFrame, now: Column, limit: int = 100, next_seq: int | None = None) -> DataFrame:
+    """Of each queue the first ``limit`` delayed ids that are due go to the end of pending."""
+    return move(notifications, F.coalesce((F.col("list") == "delayed") & (F.col("score") <= now), F.lit(False)), "pending", limit, next_seq)
 
 
 def remove(notifications: DataFrame, ids: DataFrame) -> DataFrame:

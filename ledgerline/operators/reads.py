@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import can_retry, is_active, is_terminal
-from ..schema import FAILED, PENDING
+from ..schema import FAILED, JOB_COLUMNS, PENDING
 
 
 def find(jobs: DataFrame, job_id: int) -> DataFrame:
@@ -59,3 +59,13 @@ def inspect_failed(jobs: DataFrame, job_id: int) -> DataFrame:
 
 def with_predicates(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"is_finished": is_terminal(F.col("status")), "can_retry": can_retry(F.col("attempts"), F.col("max_attempts"))})
+
+
+def everything(jobs: DataFrame) -> DataFrame:
+    """The whole ledger in its fixed order of columns."""
+    return jobs.select(*JOB_COLUMNS)
+
+
+def cleared(jobs: DataFrame) -> DataFrame:
+    """An empty ledger, in which ids begin at 1 again."""
+    return jobs.limit(0)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import ReconcileOptions
 from .notify import newest_pending
+from .recovery import next_seq
 from .reads import scan_pending
 
 
@@ -31,24 +34,39 @@ def outcomes(page: DataFrame, notifications: DataFrame, now: Column, membership_
 @dataclass(frozen=True)
 class Reconciled:
     rows: DataFrame  # of the page, with their outcomes
+    restored: DataFrame  # notifications to be appended
     notifications: DataFrame  # with what was restored
     cursor: int | None
     scanned: int
 
 
-def reconcile(jobs: DataFrame, notifications: DataFrame, queue: str, now: Column, cursor: int | None = None, options: ReconcileOptions | None = None) -> Reconciled:
+def reconcile(
+    jobs: DataFrame, notifications: DataFrame, queue: str, now: Column, cursor: int | None = None, options: ReconcileOptions | None = None,
+    clock: Callable[[], float] = time.monotonic, step: int | None = None,
+) -> Reconciled:
     """One page from ``cursor``.  An empty page after a cursor begins anew once;
-    the next cursor is None when a page came short of its size."""
-    options = options or ReconcileOptions()
+    the next cursor is None when a page came short of its size.
+
+    The page goes in parts of ``step`` jobs (without: whole); before each the
+    ``clock`` is read, and once the options' time limit is over the rest stays
+    for the next call, whose cursor is the last job that was looked at.
+    """
+    options, began = options or ReconcileOptions(), clock()
     page = scan_pending(jobs, queue, cursor, options.page_size)
     ids = [r.id for r in page.select("id").collect()]  # at most a page
     if not ids and cursor is not None:
+        cursor = None
         page = scan_pending(jobs, queue, None, options.page_size)
         ids = [r.id for r in page.select("id").collect()]
-    rows = outcomes(page, notifications, now, options.membership_limit)
-    restored = rows.where(F.col("outcome") == "restored")
-    new = restored.select("queue", F.col("id").alias("job_id"), F.col("expected").alias("list"), F.col("id").alias("seq"), F.when(F.col("expected") == "delayed", F.col("available_at")).alias("score"))
-    return Reconciled(rows, notifications.unionByName(new), max(ids) if len(ids) == options.page_size else None, len(ids))
+    done = 0
+    while done < len(ids) and clock() - began < options.time_limit:
+        done = min(len(ids), done + (step or len(ids)))
+    rows = outcomes(page.where(F.col("id") <= ids[done - 1]) if done else page.limit(0), notifications, now, options.membership_limit)
+    new = rows.where(F.col("outcome") == "restored").select("queue", F.col("id").alias("job_id"), F.col("expected").alias("list"), F.when(F.col("expected") == "delayed", F.col("available_at")).alias("score"))
+    seq = F.lit(next_seq(notifications) - 1) + F.row_number().over(Window.partitionBy("queue").orderBy("job_id"))
+    restored = new.withColumn("seq", seq.cast("long")).select(*notifications.columns)
+    after = None if done == len(ids) < options.page_size else ids[done - 1] if done else cursor
+    return Reconciled(rows, restored, notifications.unionByName(restored), after, done)
 
 
 def summary(rows: DataFrame) -> DataFrame:

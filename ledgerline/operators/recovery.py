@@ -41,30 +41,42 @@ def recover_stale_in_queue(jobs: DataFrame, queue: str, ttl: int, limit: int, no
 
 def recover_stale_processing(notifications: DataFrame, ttl: int, now: Column, limit: int = 100) -> DataFrame:
     """Of each queue the ``limit`` oldest processing notifications stamped at
-    least ``ttl`` seconds ago go back to pending; ``moved`` tells which."""
+    least ``ttl`` seconds ago go back to pending, behind all that wait there;
+    ``moved`` tells which."""
     _positive(ttl, limit)
     old = F.coalesce((F.col("list") == "processing") & (F.col("score") <= before(now, ttl)), F.lit(False))
-    return _move(notifications, old, "pending", limit)
+    return move(notifications, old, "pending", limit)
 
 
 def repair_unscored(notifications: DataFrame, now: Column, slice_size: int, after_id: int = 0) -> DataFrame:
     """Stamps unstamped processing notifications of a slice by id in each queue."""
-    at = Window.partitionBy("queue").orderBy("job_id")
-    picked = notifications.where((F.col("list") == "processing") & (F.col("job_id") > after_id)).select("queue", "job_id", F.row_number().over(at).alias("r"))
-    picked = picked.where(F.col("r") <= slice_size).select("queue", "job_id", F.lit("processing").alias("list"), F.lit(True).alias("_in"))
-    rows = notifications.join(picked, ["queue", "job_id", "list"], "left")
+    at = Window.partitionBy("queue").orderBy("job_id", "seq")
+    picked = notifications.where((F.col("list") == "processing") & (F.col("job_id") > after_id)).select(*PLACE, F.row_number().over(at).alias("r"))
+    picked = picked.where(F.col("r") <= slice_size).select(*PLACE, F.lit(True).alias("_in"))
+    rows = notifications.join(picked, PLACE, "left")
     hit = F.coalesce(F.col("_in") & F.col("score").isNull(), F.lit(False))
     return rows.select(*(F.when(hit, now).otherwise(F.col("score")).alias("score") if c == "score" else F.col(c) for c in notifications.columns), hit.alias("repaired"))
 
 
-def _move(notifications: DataFrame, which: Column, to: str, limit: int) -> DataFrame:
-    """The first rows of each queue by score and then by id as text change list."""
-    order = Window.partitionBy("queue").orderBy("score", F.col("job_id").cast("string"))
-    first = notifications.where(which).select("queue", "job_id", "list", F.row_number().over(order).alias("r")).where(F.col("r") <= limit).select("queue", "job_id", "list", F.lit(True).alias("_hit"))
-    rows = notifications.join(first, ["queue", "job_id", "list"], "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    new = {"list": F.when(hit, to).otherwise(F.col("list")), "score": F.when(~hit, F.col("score"))}
-    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in notifications.columns), hit.alias("moved"))
+#: What tells notifications apart: a list may hold an id more than once.
+PLACE = ["queue", "job_id", "list", "seq"]
+
+
+def next_seq(notifications: DataFrame) -> int:
+    return (notifications.agg(F.max("seq")).first()[0] or 0) + 1
+
+
+def move(notifications: DataFrame, which: Column, to: str, limit: int, first_seq: int | None = None) -> DataFrame:
+    """The first rows of each queue by score and then by id as text change list,
+    and come last there: in that order they get the numbers after all others, or
+    from ``first_seq`` on; ``was`` is the number before."""
+    first_seq = next_seq(notifications) if first_seq is None else first_seq
+    order = Window.partitionBy("queue").orderBy("score", F.col("job_id").cast("string"), "seq")
+    first = notifications.where(which).select(*PLACE, F.row_number().over(order).alias("_r")).where(F.col("_r") <= limit)
+    rows = notifications.join(first, PLACE, "left")
+    hit = F.col("_r").isNotNull()
+    new = {"list": F.when(hit, to).otherwise(F.col("list")), "score": F.when(~hit, F.col("score")), "seq": F.when(hit, F.lit(first_seq - 1) + F.col("_r")).otherwise(F.col("seq"))}
+    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in notifications.columns), hit.alias("moved"), F.col("seq").alias("was"))
 
 
 def _positive(*values: int) -> None:

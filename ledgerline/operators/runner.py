@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -71,21 +72,22 @@ class Handlers:
         return reduce(lambda proceed, layer: lambda: layer(execution, proceed), reversed(self.middleware), inner)()
 
 
-_OUTCOME = "id long, ok boolean, bad_result boolean, result string, error string, trace string, progress int, message string"
+_OUTCOME = "id long, ok boolean, bad_result boolean, result string, error string, trace string, progress int, message string, duration_ms double"
 
 
 def execute(claimed: DataFrame, handlers: Handlers) -> DataFrame:
     """Outcomes of ``claimed(id, queue, type, payload, attempts)``: a row each.
 
     A missing handler or an exception is a failure; a result that is no JSON is
-    one that no retry mends.  Of a handler's progress calls the last one counts.
+    one that no retry mends.  Of a handler's progress calls the last one counts,
+    and settles with the outcome.  duration_ms is the time in the handler.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for job in batch.itertuples(index=False):
-                said: list[tuple] = [(None, None)]
+                said, began = [(None, None)], time.perf_counter()
                 row = dict.fromkeys(x.split()[0] for x in _OUTCOME.split(", ")) | {"id": job.id, "ok": False, "bad_result": False}
                 try:
                     payload = json.loads(job.payload or "{}")
@@ -98,6 +100,7 @@ def execute(claimed: DataFrame, handlers: Handlers) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  whatever a handler raises
                     row |= {"error": str(e) or type(e).__name__, "trace": type(e).__name__}
                 row["progress"], row["message"] = said[-1]
+                row["duration_ms"] = (time.perf_counter() - began) * 1000
                 rows.append(row)
             frame = pd.DataFrame(rows, columns=[x.split()[0] for x in _OUTCOME.split(", ")])
             yield frame.astype({"progress": "Int32"})
@@ -110,7 +113,7 @@ def requests_of(outcomes: DataFrame, jobs: DataFrame, claims: DataFrame) -> Data
     met = outcomes.join(claims.select("id", "lease_token"), "id").join(jobs.select("id", "attempts", "max_attempts"), "id")
     more = ~F.col("bad_result") & (F.col("attempts") + 1 < F.col("max_attempts"))
     kind = F.when(F.col("ok"), "complete").when(more, "retry").otherwise("fail")
-    return met.select("id", "lease_token", kind.alias("kind"), "result", "error", "trace", (F.col("attempts") + 1).alias("attempts"))
+    return met.select("id", "lease_token", kind.alias("kind"), "result", "error", "trace", (F.col("attempts") + 1).alias("attempts"), "progress", "message", "duration_ms", "bad_result")
 
 
 def process(jobs: DataFrame, claims: DataFrame, handlers: Handlers, now: Column, base: int = 2, cap: int = 300) -> tuple[DataFrame, DataFrame]:
@@ -119,13 +122,3 @@ def process(jobs: DataFrame, claims: DataFrame, handlers: Handlers, now: Column,
     running = held.join(claims.select("id"), "id", "left_semi")
     requests = requests_of(execute(running, handlers), running, claims)
     return settle(held, requests, now, base, cap).drop("affected"), requests
-
-
-def events_of(requests: DataFrame, jobs: DataFrame, affected: DataFrame) -> DataFrame:
-    """The event of each request: what it did, or that its owner had lost it."""
-    named = F.create_map(*(F.lit(x) for x in ("complete", "completed", "retry", "retried", "fail", "failed")))
-    event = F.when(F.col("affected") == 1, named[F.col("kind")]).otherwise("lost_ownership")
-    context = F.when(F.col("affected") != 1, F.col("kind"))
-    met = requests.join(jobs.select("id", "type"), "id").join(affected.select("id", "affected"), "id")
-    attempts = F.when(event == "retried", F.col("attempts"))
-    return met.select(F.col("id").alias("job_id"), "type", event.alias("event"), context.alias("context"), attempts.alias("attempts"), F.when(event.isin("retried", "failed"), F.col("error")).alias("error"))

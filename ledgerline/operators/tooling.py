@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def benchmark_summary(samples: DataFrame, scenario: str, seconds: str, operations: Column) -> DataFrame:
-    """Exact median, least and greatest time, and throughput, of each scenario."""
-    got = samples.groupBy(scenario).agg(F.percentile(seconds, 0.5).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.count("*").alias("samples"), F.max(operations).alias("operations"))
+def benchmark_summary(samples: DataFrame, scenario: str, seconds: str, operations: Column, run: str | None = None, warmup: int = 0, counters: tuple[str, ...] = ()) -> DataFrame:
+    """Exact median, least and greatest time, and throughput, of each scenario;
+    the runs below ``warmup`` by the column ``run`` are left out, and of each of
+    the ``counters`` (memory among them) the greatest is kept."""
+    if run is not None:
+        samples = samples.where(F.col(run) >= warmup)
+    more = [F.max(c).alias(c) for c in counters]
+    got = samples.groupBy(scenario).agg(F.percentile(seconds, 0.5).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.count("*").alias("samples"), F.max(operations).alias("operations"), *more)
     return got.withColumn("throughput", F.col("operations") / F.greatest(F.col("median"), F.lit(1e-9))).drop("operations")
 
 
@@ -24,12 +29,26 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda t: t != "")
 
 
+#: Tokens of source code, the longest first; comments and line ends are tokens, too.
+_TOKEN = (
+    r"(/\*(?s:.*?)\*/|//[^\n]*|#(?!\[)[^\n]*|'(?:[^'\\]|\\(?s:.))*'|\"(?:[^\"\\]|\\(?s:.))*\"|\$[A-Za-z_]\w*|[A-Za-z_]\w*|\d+(?:\.\d+)?"
+    r"|<=>|===|!==|\?\?=|\*\*=|\.\.\.|<<=|>>=|\?->|\?\?|&&|\|\||->|=>|::|\+\+|--|==|!=|<=|>=|<<|>>|\*\*|[-+*/.%&|^]=|\n|[^\s\w])"
+)
+_COMMENT = r"^(/\*|//|#(?!\[)|\n$)"
+
+
+def raw_tokens(source: Column) -> Column:
+    return F.regexp_extract_all(source, F.lit(_TOKEN), 1)
+
+
+def _named(token: Column) -> Column:
+    return F.when(token.rlike(r"^\$"), "<variable>").when(token.rlike(r"^['\"\d]"), "<literal>").otherwise(F.lower(token))
+
+
 def normalized_tokens(source: Column) -> Column:
     """Tokens of source code: comments and white space dropped, variables and
     literals named by kind, the rest in lower case."""
-    plain = F.regexp_replace(source, r"(?s)/\*.*?\*/|//[^\n]*|#[^\n]*", " ")
-    found = F.regexp_extract_all(plain, F.lit(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\$[A-Za-z_]\w*|[A-Za-z_]\w*|\d+(?:\.\d+)?|&&|\|\||[^\s\w])"), 1)
-    return F.transform(found, lambda t: F.when(t.rlike(r"^\$"), "<variable>").when(t.rlike(r"^['\"\d]"), "<literal>").otherwise(F.lower(t)))
+    return F.transform(F.filter(raw_tokens(source), lambda t: ~t.rlike(_COMMENT)), _named)
 
 
 def duplicate_windows(docs: DataFrame, key: str, words: Column, scope: Column, size: int = 50, samples: int = 3, between: str = "\x01") -> DataFrame:
@@ -51,31 +70,92 @@ def duplicate_windows(docs: DataFrame, key: str, words: Column, scope: Column, s
     return counts.join(scopes, "fingerprint").join(firsts, "fingerprint")
 
 
-_STATE = "struct<cyclomatic:int,cognitive:int,nesting:int,deepest:int,pending:boolean,braces:array<boolean>,boolean:string>"
-#: Keywords that branch, and those that nest.
-BRANCHES = ("if", "elseif", "for", "foreach", "while", "case", "catch", "&&", "||", "and", "or", "?", "??")
-CONTROLS = ("if", "elseif", "for", "foreach", "while", "switch", "catch", "match")
-BOOLEANS = ("&&", "||", "and", "or", "xor")
+#: Keywords that branch, that nest, and operators of conditions.
+BRANCHES = ("if", "elseif", "for", "foreach", "while", "case", "catch")
+CONTROLS = ("if", "elseif", "for", "foreach", "while", "do", "switch", "catch")
+BOOLEANS = ("&&", "||", "and", "or", "xor", "??")
+
 
+def token_rows(files: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``files(key, tokens)`` to a row per token: key, at, t, and for braces level,
+    the depth that an opening one begins and its closing one ends."""
+    rows = files.select(F.col(key).alias("key"), F.posexplode(tokens).alias("at", "t"))
+    step = F.when(F.col("t") == "{", 1).when(F.col("t") == "}", -1).otherwise(0)
+    depth = F.sum(step).over(Window.partitionBy("key").orderBy("at"))
+    return rows.withColumn("level", F.when(F.col("t") == "{", depth).when(F.col("t") == "}", depth + 1))
 
-def code_metrics(words: Column) -> Column:
-    """cyclomatic, cognitive and nesting of a body's tokens, by one left fold."""
-    start = F.from_json(F.lit('{"cyclomatic":1,"cognitive":0,"nesting":0,"deepest":0,"pending":false,"braces":[]}'), _STATE)
 
-    def step(s: Column, t: Column) -> Column:
-        control, other = t.isin(*CONTROLS), t == "else"
-        boolean = t.isin(*BOOLEANS)
-        cognitive = s.cognitive + F.when(control, 1 + F.when(t == "elseif", 0).otherwise(s.nesting)).when(other, 1).when(boolean & ~s.boolean.eqNullSafe(t), 1).otherwise(0)
-        opens, closes = (t == "{") & s.pending, (t == "}") & F.coalesce(F.try_element_at(s.braces, F.lit(-1)), F.lit(False))
-        nesting = s.nesting + F.when(opens, 1).when(closes, -1).otherwise(0)
-        braces = F.when(t == "{", F.concat(s.braces, F.array(s.pending))).when((t == "}") & (F.size(s.braces) > 0), F.slice(s.braces, F.lit(1), F.greatest(F.size(s.braces) - 1, F.lit(0)))).otherwise(s.braces)
-        return F.struct(
-            (s.cyclomatic + t.isin(*BRANCHES).cast("int")).alias("cyclomatic"), cognitive.cast("int").alias("cognitive"), nesting.cast("int").alias("nesting"),
-            F.greatest(s.deepest, nesting.cast("int")).alias("deepest"), F.when(control | other, True).when(t == "{", False).otherwise(s.pending).alias("pending"),
-            braces.alias("braces"), F.when(boolean, t).when(t.isin("(", ")", "!"), s.boolean).alias("boolean"),
-        ).cast(_STATE)
+def code_metrics(bodies: DataFrame, key: str = "key", tokens: str = "tokens", name: str | None = None) -> DataFrame:
+    """key, cyclomatic, cognitive and nesting of each body of normalised tokens.
 
-    return F.aggregate(words, start, step, lambda s: F.struct(s.cyclomatic.alias("cyclomatic"), s.cognitive.alias("cognitive"), s.deepest.alias("nesting")))
+    cyclomatic: one, and one for each branch, operator of conditions and
+    ternary.  nesting: the most control structures that are open at once; a
+    brace is one's if a control word stands between it and the brace before.
+    cognitive: one for each control word, with the nesting there except for
+    elseif, for each else, for each operator of conditions that does not follow
+    the same one but for parentheses and negation, and for each call of the body's own ``name``.
+    A body is a partition; bodies without tokens have the metrics 1, 0, 0.
+    """
+    by = Window.partitionBy("key").orderBy("at")
+    past, t = by.rowsBetween(Window.unboundedPreceding, -1), F.col("t")
+    own = F.lower(F.col(name)) if name else F.lit(None).cast("string")
+    known = bodies.select(F.col(key).alias("key"), own.alias("own"), F.col(tokens).alias("tokens"))
+    rows = token_rows(known, "key", "tokens")
+    rows = rows.withColumn("word", F.when(t.isin(*CONTROLS) | (t == "else"), F.col("at"))).withColumn("brace", F.when(t == "{", F.col("at")))
+    last_word, last_brace = F.last("word", ignorenulls=True).over(past), F.last("brace", ignorenulls=True).over(past)
+    rows = rows.withColumn("opens", (t == "{") & F.coalesce(last_word > F.coalesce(last_brace, F.lit(-1)), F.lit(False)))
+    pair = Window.partitionBy("key", "level").orderBy("at")
+    rows = rows.withColumn("ends", (t == "}") & F.coalesce(F.lag("opens").over(pair) & (F.lag("t").over(pair) == "{"), F.lit(False)) & F.col("level").isNotNull())
+    rows = rows.withColumn("nesting", F.sum(F.col("opens").cast("int") - F.col("ends").cast("int")).over(by))
+    before = F.last(F.when(~t.isin("(", ")", "!"), t), ignorenulls=True).over(past)
+    rows = rows.withColumns({"before": before, "next": F.lead("t").over(by)}).join(known.select("key", "own"), "key")
+    control = F.when(t.isin(*CONTROLS), 1 + F.when(t == "elseif", 0).otherwise(F.col("nesting"))).when(t == "else", 1).otherwise(0)
+    boolean = (t.isin(*BOOLEANS) & ~t.eqNullSafe(F.col("before"))).cast("int")
+    recursive = F.coalesce((t == F.col("own")) & (F.col("next") == "("), F.lit(False)).cast("int")
+    found = rows.groupBy("key").agg(F.count_if(t.isin(*BRANCHES, *BOOLEANS, "?")).alias("b"), F.sum(control + boolean + recursive).alias("c"), F.max("nesting").alias("n"))
+    out = known.select("key").join(found, "key", "left")
+    return out.select(F.col("key").alias(key), (1 + F.coalesce("b", F.lit(0))).alias("cyclomatic"), F.coalesce("c", F.lit(0)).alias("cognitive"), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("nesting"))
+
+
+def source_files(spark: SparkSession, folder: str, suffix: str = "php") -> DataFrame:
+    """``(path, text)`` of the source files under ``folder``, whole."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """Classes and methods of ``files(path, text)``: path, kind, class, method,
+    first_line, lines and, of methods, the normalised tokens of the body.
+
+    A declaration goes to the brace that closes its body; one without a body is
+    left out, as are functions without a name.  A method is the innermost
+    class's around it.  A file is a partition.
+    """
+    raw = files.select("path", F.posexplode(raw_tokens(F.col("text"))).alias("n", "t"))
+    lines = F.length("t") - F.length(F.replace(F.col("t"), F.lit("\n")))
+    line = 1 + F.coalesce(F.sum(lines).over(Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = raw.withColumn("line", line).where(~F.col("t").rlike(_COMMENT)).withColumn("raw", F.col("t")).withColumn("t", _named(F.col("t")))
+    kept = kept.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1)
+    by = Window.partitionBy("path").orderBy("at")
+    step = F.when(F.col("t") == "{", 1).when(F.col("t") == "}", -1).otherwise(0)
+    kept = kept.withColumn("depth", F.sum(step).over(by)).withColumn("level", F.when(F.col("t") == "{", F.col("depth")).when(F.col("t") == "}", F.col("depth") + 1))
+    braces = kept.where("level IS NOT NULL")
+    pair = Window.partitionBy("path", "level").orderBy("at")
+    braces = braces.select("path", "t", F.col("at").alias("open"), F.lead("at").over(pair).alias("close"), F.lead("line").over(pair).alias("last_line")).where("t = '{' AND close IS NOT NULL").drop("t")
+    ahead = by.rowsBetween(1, Window.unboundedFollowing)
+    heads = kept.withColumns({
+        "name": F.lead("raw").over(by), "prior": F.lag("t").over(by),
+        "open": F.first(F.when(F.col("t") == "{", F.col("at")), ignorenulls=True).over(ahead), "stop": F.first(F.when(F.col("t") == ";", F.col("at")), ignorenulls=True).over(ahead),
+    })
+    heads = heads.where(F.col("t").isin("class", "interface", "trait", "enum", "function") & F.col("name").rlike("^[A-Za-z_]") & ~F.coalesce(F.col("prior").isin("::", "->", "new"), F.lit(False)) & (F.col("open") < F.coalesce("stop", F.lit(2**31 - 1))))
+    found = heads.select("path", F.when(F.col("t") == "function", "method").otherwise("class").alias("kind"), "name", "at", F.col("line").alias("first_line"), "open").join(braces, ["path", "open"])
+    around = found.where("kind = 'class'").select("path", F.col("name").alias("class"), F.col("open").alias("from"), F.col("close").alias("to"))
+    methods = found.where("kind = 'method'").join(around, "path").where("from < at AND close < to")
+    methods = methods.groupBy("path", "at", "name", "first_line", "last_line", "open", "close").agg(F.max(F.struct("from", "class"))["class"].alias("class"))
+    body = kept.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x.t).alias("all"))
+    methods = methods.join(body, "path").withColumn("tokens", F.expr("slice(all, open + 2, close - open - 1)"))
+    size = (F.col("last_line") - F.col("first_line") + 1).alias("lines")
+    of_class = found.where("kind = 'class'").select("path", "kind", F.col("name").alias("class"), F.lit(None).cast("string").alias("method"), "first_line", size, F.lit(None).cast("array<string>").alias("tokens"))
+    return of_class.unionByName(methods.select("path", F.lit("method").alias("kind"), "class", F.col("name").alias("method"), "first_line", size, "tokens"))
 
 
 def top(rows: DataFrame, limit: int, *order: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import claims, ingest, notify, reads, reconcile, recovery, runner, tooling, transitions
+from ..operators import claims, dispatch, events, ingest, notify, reads, reconcile, recovery, runner, tooling, transitions, worker
 from ..sources import ledger
 from ..sources.fixtures import NOW, oracle_views, view
 from ..sources.shared import shared_folder
@@ -89,9 +89,14 @@ def job_predicates(jobs):
     return reads.with_predicates(jobs).select("id", "is_finished", "can_retry")
 
 
-@_query("jobs", "SELECT id, queue, coalesce(max_attempts, 3) AS max_attempts, CAST(NULL AS VARCHAR) AS error FROM jobs")
+@_query(
+    "jobs",
+    """ SELECT id, CASE WHEN id % 7 = 1 THEN 'default' ELSE queue END AS queue, CASE WHEN id % 7 = 2 THEN 3 ELSE max_attempts END AS max_attempts,
+CASE id % 7 WHEN 3 THEN 'unknown status' WHEN 4 THEN 'payload is no JSON object' WHEN 5 THEN 'result is no JSON' END AS error FROM jobs""",
+)
 def hydrate_rows(jobs):
-    raw = jobs.withColumn("queue", F.col("queue").cast("string"))
+    odd = lambda c, k, value: F.when(F.col("id") % 7 == k, F.lit(value)).otherwise(F.col(c).cast("string"))
+    raw = jobs.withColumns({"queue": odd("queue", 1, None), "max_attempts": odd("max_attempts", 2, None), "status": odd("status", 3, "gone"), "payload": odd("payload", 4, "[1]"), "result": odd("result", 5, "{x")})
     return ledger.hydrate(raw).select("id", "queue", "max_attempts", F.col("_error").alias("error"))
 
 
@@ -152,9 +157,9 @@ def claim_after_state(jobs):
     return claims.apply_claims(jobs, claims.claim_next(jobs, _now(), 100, 4), _now()).select("id", "status", "attempts", "locked_by", "locked_at")
 
 
-@_query("jobs", f"SELECT id, queue, 'worker-3' AS worker_id, sha256(concat_ws('|', CAST(id AS VARCHAR), 'worker-3', '2')) AS lease_token FROM jobs WHERE id % 3 = 0 AND ((status = 'pending' AND available_at <= {T}) OR (status = 'running' AND locked_by = 'worker-3'))")
+@_query("jobs", f"SELECT id, queue, 'worker-3' AS worker_id, sha256(concat_ws('|', CAST(id AS VARCHAR), 'worker-3', '2')) AS lease_token FROM jobs WHERE ((status = 'pending' AND available_at <= {T}) OR (status = 'running' AND locked_by = 'worker-3'))")
 def claim_by_id(jobs):
-    asked = jobs.where("id % 3 = 0").select("id", F.lit("worker-3").alias("worker_id"))
+    asked = jobs.select("id", F.lit("worker-3").alias("worker_id"))
     return claims.claim_by_id(jobs, asked, _now(), 2)
 
 
@@ -211,9 +216,9 @@ def cancel_pending(jobs):
     return transitions.cancel(jobs, jobs.where("id % 2 = 0").select("id"), _now()).select("id", "status", "completed_at", "affected")
 
 
-@_query("jobs", f"SELECT id, 'pending' AS status, CAST(0 AS INT) AS attempts, {T} AS available_at, CAST(NULL AS VARCHAR) AS error_message FROM jobs WHERE status = 'failed' AND id % 3 = 0")
+@_query("jobs", f"SELECT id, 'pending' AS status, CAST(0 AS INT) AS attempts, {T} AS available_at, CAST(NULL AS VARCHAR) AS error_message FROM jobs WHERE status = 'failed'")
 def requeue_failed(jobs):
-    return transitions.requeue_failed(jobs, jobs.where("id % 3 = 0").select("id"), _now()).where("affected = 1").select("id", "status", "attempts", "available_at", "error_message")
+    return transitions.requeue_failed(jobs, jobs.select("id"), _now()).where("affected = 1").select("id", "status", "attempts", "available_at", "error_message")
 
 
 @_query("jobs", "SELECT id, status FROM jobs WHERE NOT (status = 'failed' AND id % 2 = 1)")
@@ -252,12 +257,12 @@ def recover_stale_scoped(jobs):
 
 def _moved_sql(which: str, limit: int) -> str:
     return f""", r AS (SELECT queue, job_id, row_number() OVER (PARTITION BY queue ORDER BY score, CAST(job_id AS VARCHAR)) AS r FROM notifications WHERE {which})
-SELECT queue, job_id FROM r WHERE r <= {limit}"""
+SELECT queue, job_id, (SELECT max(seq) FROM notifications) + r AS seq FROM r WHERE r <= {limit}"""
 
 
 @_query("notifications", _moved_sql(f"list = 'processing' AND score <= {T} - to_seconds(600)", 100))
 def recover_stale_processing(notifications):
-    return recovery.recover_stale_processing(notifications, 600, _now()).where("moved").select("queue", "job_id")
+    return recovery.recover_stale_processing(notifications, 600, _now()).where("moved").select("queue", "job_id", "seq")
 
 
 @_query("notifications", f", r AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY job_id) AS r FROM notifications WHERE list = 'processing') SELECT queue, job_id, {T} AS score FROM r WHERE r <= 500 AND score IS NULL")
@@ -280,13 +285,13 @@ def fifo_dequeue(notifications):
 
 @_query("notifications", _moved_sql("list = 'delayed' AND score <= TIMESTAMP '1999-01-01 00:00:00'", 100))
 def promote_delayed(notifications):
-    return notify.promote_delayed(notifications, rules.moment("1999-01-01 00:00:00"), 100).where("moved").select("queue", "job_id")
+    return notify.promote_delayed(notifications, rules.moment("1999-01-01 00:00:00"), 100).where("moved").select("queue", "job_id", "seq")
 
 
-@_query("notifications", f"SELECT queue, job_id, CASE WHEN job_id % 3 > 0 THEN 'delayed' ELSE 'pending' END AS list, CASE WHEN job_id % 3 > 0 THEN {T} + to_seconds(job_id % 3) END AS score FROM notifications WHERE list = 'processing' AND job_id % 2 = 0")
+@_query("notifications", f"SELECT queue, job_id, CASE WHEN job_id % 3 > 0 THEN 'delayed' ELSE 'pending' END AS list, CASE WHEN job_id % 3 > 0 THEN {T} + to_seconds(job_id % 3) END AS score, (SELECT max(seq) FROM notifications) + row_number() OVER (PARTITION BY queue ORDER BY job_id) AS seq FROM notifications WHERE list = 'processing'")
 def nack_route(notifications):
-    asked = notifications.where("list = 'processing' AND job_id % 2 = 0").select("queue", "job_id", (F.col("job_id") % 3).cast("int").alias("delay"))
-    return notify.nack(notifications, asked, _now()).where("moved").select("queue", "job_id", "list", "score")
+    asked = notifications.where("list = 'processing'").select("queue", "job_id", (F.col("job_id") % 3).cast("int").alias("delay"))
+    return notify.nack(notifications, asked.unionAll(asked), _now()).where("moved").select("queue", "job_id", "list", "score", "seq")
 
 
 @_query("notifications", "SELECT queue, count(*) FILTER (list = 'pending') AS pending, count(*) FILTER (list = 'processing') AS processing, count(*) FILTER (list = 'delayed') AS delayed FROM notifications GROUP BY 1")
@@ -304,9 +309,9 @@ def ack_processing(notifications):
     return notify.ack(notifications, notifications.where("job_id % 2 = 0").select("queue", "job_id")).select("queue", "job_id", "list")
 
 
-@_query("notifications", "SELECT queue, job_id, list FROM notifications WHERE job_id % 5 <> 0")
-def remove_notifications(notifications):
-    return notify.remove(notifications, notifications.where("job_id % 5 = 0").select("queue", "job_id").distinct()).select("queue", "job_id", "list")
+@_query("jobs notifications", "SELECT queue, job_id, list FROM notifications n WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.id = n.job_id AND j.status = 'running')")
+def remove_notifications(jobs, notifications):
+    return notify.remove(notifications, jobs.where("status = 'running'").select("queue", F.col("id").alias("job_id"))).select("queue", "job_id", "list")
 
 
 @_query("notifications", f"SELECT job_id, seq FROM notifications WHERE queue = '{QUEUE}' AND list = 'pending'")
@@ -336,6 +341,101 @@ def derived_notifications(jobs):
     return notify.derived(jobs, _now()).select("queue", "job_id", "list")
 
 
+# -- dispatch and administration ----------------------------------------------
+
+@_query(
+    "jobs notifications",
+    f""", o AS (SELECT id, payload, (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY id) AS new_id FROM jobs WHERE status = 'failed')
+SELECT new_id AS id, 'audit' AS queue, 'job.audit' AS type, payload, CAST(5 AS INT) AS max_attempts, CAST(NULL AS VARCHAR) AS request_id, {T} + to_seconds(90) AS available_at,
+'delayed' AS list, (SELECT max(seq) FROM notifications) + row_number() OVER (ORDER BY new_id) AS seq, {T} + to_seconds(90) AS score FROM o""",
+)
+def dispatch_batch(jobs, notifications):
+    payloads = jobs.where("status = 'failed'").select(F.col("id").alias("seq"), "payload")
+    made = dispatch.dispatch_batch(jobs, notifications, payloads, "job.audit", _now(), "audit", 5, rules.after(_now(), 90))
+    rows = made.jobs.select("id", "type", "payload", "max_attempts", "request_id", "available_at")
+    return rows.join(made.notifications.withColumnRenamed("job_id", "id"), "id")
+
+
+@_query(
+    "jobs notifications create_requests",
+    f""", o AS (SELECT seq, type, queue, request_id, (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY seq) AS id, CASE WHEN seq % 4 = 0 THEN {T} + to_seconds(seq % 500 + 1) ELSE {T} END AS due FROM create_requests)
+SELECT id, queue, CASE WHEN due > {T} THEN 'delayed' ELSE 'pending' END AS list, CASE WHEN due > {T} THEN due END AS score, (SELECT max(seq) FROM notifications) + row_number() OVER (PARTITION BY queue ORDER BY id) AS seq FROM o""",
+)
+def dispatch_and_notify(jobs, notifications, create_requests):
+    when = F.when(F.col("seq") % 4 == 0, rules.after(_now(), F.col("seq") % 500 + 1))
+    return dispatch.dispatch(jobs, notifications, create_requests.withColumn("available_at", when), _now()).notifications.withColumnRenamed("job_id", "id").select("id", "queue", "list", "score", "seq")
+
+
+@_query("jobs notifications", "SELECT queue, list, job_id, seq FROM notifications n WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.id = n.job_id AND j.status IN ('pending', 'cancelled'))")
+def cancel_with_notifications(jobs, notifications):
+    return dispatch.cancel_jobs(jobs, notifications, jobs.select("id"), _now())[1].select("queue", "list", "job_id", "seq")
+
+
+@_query(
+    "jobs notifications",
+    """ SELECT queue, job_id, list, seq FROM notifications UNION ALL
+SELECT queue, id, 'pending', (SELECT max(seq) FROM notifications) + row_number() OVER (PARTITION BY queue ORDER BY id) FROM jobs WHERE status = 'failed'""",
+)
+def requeue_with_notification(jobs, notifications):
+    return dispatch.requeue_jobs(jobs, notifications, jobs.select("id"), _now())[1].select("queue", "job_id", "list", "seq")
+
+
+@_query("jobs notifications", "SELECT queue, list, count(*) AS n FROM notifications GROUP BY ALL")
+def purge_with_notifications(jobs, notifications):
+    noted = notify.enqueue(notifications, jobs.where("status = 'failed'").select("queue", F.col("id").alias("job_id"), F.col("id").alias("seq")))
+    return dispatch.purge_jobs(jobs, noted, jobs.select("id"))[1].groupBy("queue", "list").agg(F.count("*").alias("n"))
+
+
+# -- the worker's batch --------------------------------------------------------
+
+_TAKE = f""", head AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY seq, job_id) AS r FROM notifications WHERE list = 'pending'),
+taken AS (SELECT n.queue, n.job_id, n.seq, j.* EXCLUDE (queue), coalesce(j.status = 'pending' AND j.available_at <= {T}, false) AND n.job_id % 9 > 0 AS mine FROM head n LEFT JOIN jobs j ON j.id = n.job_id WHERE r <= 200)"""
+
+
+def _without_some(jobs: DataFrame) -> DataFrame:
+    """Jobs of which some were cancelled while their notifications stayed."""
+    return jobs.withColumn("status", F.when((F.col("id") % 9 == 0) & (F.col("status") == "pending"), "cancelled").otherwise(F.col("status")))
+
+
+@_query("jobs notifications", _TAKE + f" SELECT queue, job_id, CASE WHEN mine THEN 'processing' END AS list, CASE WHEN mine THEN sha256(concat_ws('|', CAST(job_id AS VARCHAR), 'w', '7')) END AS lease_token FROM taken")
+def claim_from_queue(jobs, notifications):
+    taken = worker.claim_from_queue(_without_some(jobs), notifications, 200, _now(), "w", 7)
+    kept = taken.after.select("queue", "job_id", F.col("list").alias("kept"))
+    met = taken.before.select("queue", "job_id").join(kept, ["queue", "job_id"], "left").join(taken.claims.select(F.col("id").alias("job_id"), "lease_token"), "job_id", "left")
+    return met.select("queue", "job_id", F.col("kept").alias("list"), "lease_token")
+
+
+_WORK = _TAKE + f""", y AS (SELECT *, CAST(json_extract_string(payload, '$.order') AS BIGINT) AS ord FROM taken WHERE mine),
+z AS (SELECT *, type = 'mail.send' OR (type = 'invoice.generate' AND ord % 2 = 0) AS ok, least(pow(2, attempts + 1), 300) AS wait FROM y),
+done AS (SELECT *, CASE WHEN ok THEN 'completed' WHEN attempts + 1 < max_attempts THEN 'pending' ELSE 'failed' END AS now_status FROM z)"""
+
+
+@_query(
+    "jobs notifications",
+    _WORK + f""" SELECT job_id AS id, now_status AS status, CASE WHEN now_status = 'pending' THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN type = 'mail.send' THEN 100 ELSE progress END AS progress,
+CASE WHEN type = 'mail.send' THEN 'sent' END AS progress_message, CASE WHEN now_status = 'pending' THEN 'delayed' END AS list, CASE WHEN now_status = 'pending' THEN {T} + to_seconds(CAST(wait AS INT)) END AS score FROM done""",
+)
+def run_worker_batch(jobs, notifications):
+    done = worker.run_batch(_without_some(jobs), notifications, _handlers(), _now(), 200, "w", version=7)
+    rows = done.jobs.select("id", "status", "attempts", "progress", "progress_message")
+    return rows.join(done.after.select(F.col("job_id").alias("id"), "list", "score"), "id", "left")
+
+
+@_query(
+    "jobs notifications",
+    _WORK + """, all_events AS (SELECT 'claimed' AS event, job_id FROM done UNION ALL SELECT CASE WHEN job_id % 11 = 0 THEN 'lost_ownership' WHEN now_status = 'pending' THEN 'retried' ELSE now_status END, job_id FROM done
+UNION ALL SELECT 'infrastructure_failure', job_id FROM done WHERE type = 'mail.send' UNION ALL SELECT 'infra_error', NULL UNION ALL SELECT 'backoff', NULL)
+SELECT event, count(*) AS n, count(job_id) AS jobs, CAST(0 AS BIGINT) AS bad FROM all_events GROUP BY event""",
+)
+def worker_events(jobs, notifications):
+    done = worker.run_batch(_without_some(jobs), notifications, _handlers(), _now(), 200, "w", version=7)
+    lost = done.jobs.select("id", "type", (F.col("id") % 11 > 0).cast("int").alias("affected"))
+    unseen = events.heartbeat_failures(lost.where("type = 'mail.send'"))
+    told = [events.claimed(lost, 1.5), events.settled(done.requests, lost, lost), unseen, events.loop_failure(jobs.sparkSession, "gone away", "ConnectionError", 2.5)]
+    every = told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3]).withColumn("bad", events.event_error().isNotNull())
+    return every.groupBy("event").agg(F.count("*").alias("n"), F.count("job_id").alias("jobs"), F.count_if("bad").alias("bad"))
+
+
 # -- reconciliation ----------------------------------------------------------
 
 _RECONCILE = f""", page AS (SELECT * FROM jobs WHERE status = 'pending' AND queue = '{QUEUE}' ORDER BY id LIMIT 1000),
@@ -407,8 +507,8 @@ def lifecycle_events(jobs):
     held = claims.apply_claims(jobs, taken, _now())
     running = held.join(taken.select("id"), "id", "left_semi")
     requests = runner.requests_of(runner.execute(running, _handlers()), running, taken)
-    events = runner.events_of(requests, jobs, transitions.settle(held, requests, _now()).select("id", "affected"))
-    return reads.count_by(events, "event")
+    told = events.settled(requests, jobs, transitions.settle(held, requests, _now()).select("id", "affected"))
+    return reads.count_by(told, "event")
 
 
 @_query("jobs", _CLAIM + " SELECT id, '\"outer(inner(' || type || '))\"' AS result FROM jobs JOIN claimed USING (id)")
@@ -424,13 +524,13 @@ def middleware_order(jobs):
 
 
 @_query("worker_events", "SELECT event, count(*) AS n, min(duration_ms) AS least, max(duration_ms) AS most, median(duration_ms) AS median FROM worker_events GROUP BY 1")
-def event_stream_stats(events):
-    return tooling.event_stats(events)
+def event_stream_stats(worker_events):
+    return tooling.event_stats(worker_events)
 
 
 @_query("worker_events", "SELECT event, median(duration_ms) AS median, min(duration_ms) AS least, max(duration_ms) AS most, count(*) AS samples, 1000 / greatest(median(duration_ms), 1e-9) AS throughput FROM worker_events GROUP BY 1")
-def benchmark_medians(events):
-    return tooling.benchmark_summary(events, "event", "duration_ms", F.lit(1000))
+def benchmark_medians(worker_events):
+    return tooling.benchmark_summary(worker_events, "event", "duration_ms", F.lit(1000))
 
 
 @_query(
@@ -469,14 +569,14 @@ def scope_summary(documents):
 
 @_query(
     "documents",
-    """WITH c AS (SELECT source AS key, 'longest' AS metric, max(n_chars) AS value FROM documents WHERE doc_id % 2 = 1 GROUP BY 1),
-b AS (SELECT source AS key, 'longest' AS metric, max(n_chars) AS value FROM documents WHERE doc_id % 2 = 0 AND source <> 'src3' GROUP BY 1)
+    """WITH c AS (SELECT source AS key, 'longest' AS metric, max(n_chars) AS value FROM documents GROUP BY 1),
+b AS (SELECT source AS key, 'longest' AS metric, CAST(floor(avg(n_chars)) AS BIGINT) AS value FROM documents WHERE source <> 'src3' GROUP BY 1)
 SELECT key, metric, coalesce(b.value, 5000) AS old, c.value AS new, CASE WHEN key = 'src1' THEN 'known' END AS allowed FROM c LEFT JOIN b USING (key, metric) WHERE c.value > coalesce(b.value, 5000)""",
 )
 def ratchet_diff(documents):
-    longest = lambda d: d.groupBy(F.col("source").alias("key")).agg(F.lit("longest").alias("metric"), F.max("n_chars").alias("value")).select("key", "metric", "value")
+    of = lambda d, value: d.groupBy(F.col("source").alias("key")).agg(F.lit("longest").alias("metric"), value.alias("value")).select("key", "metric", "value")
     allowed = documents.sparkSession.createDataFrame([("src1", "*", "known"), ("src2", "longest", " ")], "key string, metric string, reason string")
-    return tooling.ratchet(longest(documents.where("doc_id % 2 = 1")), longest(documents.where("doc_id % 2 = 0 AND source <> 'src3'")), {"longest": 5000}, allowed)
+    return tooling.ratchet(of(documents, F.max("n_chars")), of(documents.where("source <> 'src3'"), F.floor(F.avg("n_chars"))), {"longest": 5000}, allowed)
 
 
 _RAW_ID = "CASE id % 4 WHEN 0 THEN '0' || CAST(id AS VARCHAR(20)) WHEN 1 THEN CAST(id AS VARCHAR(20)) || 'x' WHEN 2 THEN CAST(id AS VARCHAR(20)) ELSE repeat('9', 20) END"
@@ -501,7 +601,7 @@ def clear_queue(notifications):
 
 @_query("jobs", "SELECT id, CASE WHEN id % 3 > 0 THEN TIMESTAMP '1970-01-01 00:00:00' + to_seconds(id * 1000) END AS due FROM jobs")
 def epoch_available_at(jobs):
-    return jobs.select("id", ingest.from_epoch(F.when(F.col("id") % 3 > 0, F.col("id") * 1000).otherwise(-F.col("id"))).alias("due"))
+    return jobs.select("id", ingest.from_epoch(F.when(F.col("id") % 3 > 0, F.col("id") * 1000)).alias("due"))
 
 
 @_query("jobs", "SELECT id, CASE id % 5 WHEN 0 THEN 'type must not be blank' WHEN 1 THEN 'queue must not be blank' WHEN 2 THEN 'max_attempts must be at least 1' WHEN 3 THEN 'request_id must not be blank' END AS error FROM jobs")
@@ -529,10 +629,10 @@ def policy_columns(jobs):
 b AS (SELECT * FROM (VALUES ('claimed', 'n', 10, false), ('completed', 'n', 1000000000000, false), ('failed', 'n', 1, true), ('absent', 'n', 5, false)) t(scenario, metric, most, exact))
 SELECT scenario, metric, CAST(most AS BIGINT) AS most, exact, value FROM b LEFT JOIN m USING (scenario, metric) WHERE value IS NULL OR (exact AND value <> most) OR (NOT exact AND value > most)""",
 )
-def budget_violations(events):
-    measured = events.groupBy(F.col("event").alias("scenario")).agg(F.lit("n").alias("metric"), F.count("*").alias("value"))
+def budget_violations(worker_events):
+    measured = worker_events.groupBy(F.col("event").alias("scenario")).agg(F.lit("n").alias("metric"), F.count("*").alias("value"))
     budgets = [("claimed", "n", 10, False), ("completed", "n", 10**12, False), ("failed", "n", 1, True), ("absent", "n", 5, False)]
-    return tooling.over_budget(measured, events.sparkSession.createDataFrame(budgets, "scenario string, metric string, most long, exact boolean"))
+    return tooling.over_budget(measured, worker_events.sparkSession.createDataFrame(budgets, "scenario string, metric string, most long, exact boolean"))
 
 
 @_query("documents", "SELECT source, count(*) FILTER (n_chars >= 500) * 100.0 / count(*) >= 50 AS met FROM documents GROUP BY 1")
@@ -541,6 +641,26 @@ def coverage_gate(documents):
     return counts.select("source", tooling.coverage_met(F.col("covered"), F.col("statements"), 50).alias("met"))
 
 
+#: Bodies of source code, and their cyclomatic and cognitive complexity and nesting.
+_SNIPPETS = (
+    ("return $a ?? $b;", 2, 1, 0),
+    ("$x = $a?->b(1) xor $c;", 2, 1, 0),
+    ("if ($a && ($b || !$c)) { foreach ($d as $e) { $f += $e; } } elseif ($g) { return 1; } else { return 0; }", 6, 7, 2),
+    ("do { $n--; } while ($n > 0); // if", 2, 2, 1),
+    ("return $n < 2 ? $n : walk($n - 1) + walk($n - 2);", 2, 2, 0),
+    ("switch ($k) { case 1: return 'if'; case 2: try { go(); } catch (E $e) { throw $e; } }", 4, 3, 2),
+)
+
+
+@_query(
+    "jobs",
+    "SELECT id, " + ", ".join(f"CAST(CASE id % {len(_SNIPPETS)} " + " ".join(f"WHEN {k} THEN {row[n]}" for k, row in enumerate(_SNIPPETS)) + f" END AS BIGINT) AS {name}" for n, name in ((1, "cyclomatic"), (2, "cognitive"), (3, "nesting"))) + " FROM jobs",
+)
+def code_metrics(jobs):
+    body = F.element_at(F.array(*(F.lit(row[0]) for row in _SNIPPETS)), (F.col("id") % len(_SNIPPETS) + 1).cast("int"))
+    return tooling.code_metrics(jobs.select("id", tooling.normalized_tokens(body).alias("tokens"), F.lit("Walk").alias("name")), "id", "tokens", "name")
+
+
 # -- streams -----------------------------------------------------------------
 
 
@@ -563,9 +683,8 @@ def stream_event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ledger_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     stateful.use_rocksdb(spark)
     folded = stateful.fold_log(_stream(spark, sf_dir, "op_log"))
-    rows: list[DataFrame] = []
     path = f"{shared_folder(spark)}/fold-{uuid.uuid4().hex}"
-    stateful.each_batch(folded, lambda batch, n: batch.write.mode("overwrite" if n == 0 else "append").parquet(path), f"{path}-state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    stateful.each_batch(folded, stateful.into_folders(path), f"{path}-state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).groupBy("job_id").agg(F.max(F.struct("n_ops", "status")).alias("last")).select("job_id", "last.status", "last.n_ops")
 
 

@@ -31,9 +31,9 @@ UNION ALL
 SELECT queue, id, 'delayed', id, available_at FROM jobs WHERE status = 'pending' AND available_at > :time '1998-07-01 00:00:00' AND id % 4 <> 0
 UNION ALL
 SELECT queue, id, 'processing', id, locked_at FROM jobs WHERE status = 'running'"""
-_TRANSITIONS = """SELECT id, CASE WHEN id % 2 = 0 THEN COALESCE(lease_token, 'none') ELSE 'stale' END AS lease_token,
+_TRANSITIONS = """SELECT id, CASE WHEN (id - id % 5) % 10 = 0 THEN COALESCE(lease_token, 'none') ELSE 'stale' END AS lease_token,
   CASE id % 5 WHEN 0 THEN 'complete' WHEN 1 THEN 'fail' WHEN 2 THEN 'retry' WHEN 3 THEN 'progress' ELSE 'heartbeat' END AS kind
-FROM jobs WHERE id % 10 < 4"""
+FROM jobs"""
 _REQUESTS = """SELECT o_orderkey AS seq, 'mail.send' AS type, o_orderpriority AS queue,
   CONCAT('req-', CAST(o_custkey + (o_orderkey % 2) * 100000 AS VARCHAR(20))) AS request_id
 FROM orders WHERE o_orderkey % 6 = 0"""

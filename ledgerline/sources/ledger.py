@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import payload_object
-from ..schema import DEFAULTS, JOB_COLUMNS, JOB_SCHEMA, STATUSES, CommitConflict, ModeUnavailable, SerializationError
+from ..schema import DEFAULTS, JOB_COLUMNS, JOB_SCHEMA, NOTIFICATION_SCHEMA, STATUSES, CommitConflict, ModeUnavailable, SerializationError
 
 
 def from_rows(spark: SparkSession, rows: list) -> DataFrame:
@@ -51,6 +54,28 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What :func:`write_json` wrote; a line that is no JSON object is an error."""
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader if schema is None else reader.schema(schema)).json(path)
+
+
+def find_jobs(spark: SparkSession, jobs: DataFrame, queue: str, status: str, least_id: int, limit: int) -> DataFrame:
+    """A page by bound values, which never become part of the statement's text."""
+    return spark.sql(
+        "SELECT * FROM {jobs} WHERE queue = :queue AND status = :status AND id >= :least ORDER BY id LIMIT :most", {"queue": queue, "status": status, "least": least_id, "most": limit}, jobs=jobs
+    )
+
+
+def available(spark: SparkSession, path: str) -> bool:
+    """Whether a store or table can be reached at ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+    except Exception:  # noqa: BLE001  no such file system, or it does not answer
+        return False
+
+
 def notification_mode(name: str, has_table: bool) -> str:
     """``materialized`` notifications, or those ``derived`` from the ledger."""
     chosen = name.strip().lower()
@@ -63,18 +88,27 @@ def notification_mode(name: str, has_table: bool) -> str:
     raise ModeUnavailable(f"notification mode {name!r} is not available")
 
 
-class LedgerStore:
-    """Snapshots ``v=N`` partitioned by status; a version is what its commit
-    file says, which only one writer can create.
+#: Table: its schema, and what tells its rows apart.
+TABLES = {"jobs": (JOB_SCHEMA, ["id"]), "notifications": (NOTIFICATION_SCHEMA, ["queue", "job_id", "list", "seq"])}
+
 
-    Files go through Hadoop's file system, so any store that Spark reads will
-    do whose ``create`` without overwriting is atomic.
+class LedgerStore:
+    """Jobs and notifications in versions, each of which one writer can commit.
+
+    A version is what its commit file says: of each table a snapshot and the
+    changes since, in order.  A commit of changes writes files of the rows that
+    changed and no others; a reader takes the snapshot without the keys that
+    changed and the last state of those.  After :attr:`most_deltas` of them a
+    commit writes a snapshot again.  Files go through Hadoop's file system, so
+    any store that Spark reads will do whose ``create`` without overwriting is
+    atomic.
     """
 
+    most_deltas = 20
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
@@ -87,35 +121,107 @@ class LedgerStore:
         return max(self.versions(), default=0)
 
     def _commit(self, version: int) -> dict:
+        if not version:
+            return {t: {"snapshot": None, "deltas": []} for t in TABLES}
         stream = self._fs.open(self._path(f"{self.path}/_commits/{version}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())["tables"]
         finally:
             stream.close()
 
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.current() if version is None else version
-        if not version:
-            return self.spark.createDataFrame([], JOB_SCHEMA)
-        return self.spark.read.schema(JOB_SCHEMA).parquet(self._commit(version)["snapshot"]).select(*JOB_COLUMNS)
-
-    def commit(self, jobs: DataFrame, base: int, note: str = "") -> int:
-        """Writes version ``base + 1``; :class:`CommitConflict` if it exists."""
-        version = base + 1
-        snapshot = f"{self.path}/v={version}-{uuid.uuid4().hex}"
-        rows = jobs.select(*JOB_COLUMNS)
-        rows.sortWithinPartitions("queue", "available_at", "id").write.partitionBy("status").parquet(snapshot)
+    def read(self, version: int | None = None, table: str = "jobs") -> DataFrame:
+        """A table as of a version, without one as of the last."""
+        held = self._commit(self.current() if version is None else version)[table]
+        schema, keys = TABLES[table]
+        rows = self.spark.read.schema(schema).parquet(held["snapshot"]).select(*schema.names) if held["snapshot"] else self.spark.createDataFrame([], schema)
+        if not held["deltas"]:
+            return rows
+        changed = T.StructType([*schema, T.StructField("_gone", T.BooleanType()), T.StructField("_version", T.LongType())])
+        last = self.spark.read.schema(changed).parquet(*held["deltas"])
+        # a key may leave and come again in one version: what is there counts
+        last = last.groupBy(*keys).agg(F.max(F.struct("_version", (~F.col("_gone")).alias("_there"), *(c for c in schema.names if c not in keys))).alias("_last"))
+        there = last.where("_last._there").select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in schema.names))
+        return rows.join(last.select(*keys), keys, "left_anti").select(*schema.names).unionByName(there)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the tables and read back."""
+        path = f"{self.path}/_work/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _snapshot(self, table: str, rows: DataFrame, version: int) -> str:
+        path = f"{self.path}/{table}-v{version}-{uuid.uuid4().hex}"
+        rows = rows.select(*TABLES[table][0].names)
+        if table == "jobs":
+            rows.sortWithinPartitions("queue", "available_at", "id").write.partitionBy("status").parquet(path)
+        else:
+            rows.sortWithinPartitions("queue", "seq").write.partitionBy("list").parquet(path)
+        return path
+
+    def _write(self, version: int, tables: dict, note: str, made: list[str]) -> int:
+        """The commit file; :class:`CommitConflict` if another writer has made it."""
         try:
             out = self._fs.create(self._path(f"{self.path}/_commits/{version}.json"), False)
         except Exception as e:
-            self._fs.delete(self._path(snapshot), True)
-            raise CommitConflict(f"version {version} is there already") from e
-        out.write(bytearray(json.dumps({"snapshot": snapshot, "base": base, "note": note}).encode()))
+            for path in made:
+                self._fs.delete(self._path(path), True)
+            if "FileAlreadyExistsException" in str(e):
+                raise CommitConflict(f"version {version} is there already") from e
+            raise
+        out.write(bytearray(json.dumps({"tables": tables, "base": version - 1, "note": note}).encode()))
         out.close()
         return version
 
-    def update(self, change, tries: int = 2, note: str = "") -> int:
-        """Commits ``change(jobs)``, computed anew on what a faster writer left."""
+    def commit(self, jobs: DataFrame, base: int, note: str = "", notifications: DataFrame | None = None) -> int:
+        """Whole tables as version ``base + 1``; notifications that are not given
+        stay as they are."""
+        tables, made = self._commit(base), []
+        for table, rows in (("jobs", jobs), ("notifications", notifications)):
+            if rows is not None:
+                made.append(self._snapshot(table, rows, base + 1))
+                tables[table] = {"snapshot": made[-1], "deltas": []}
+        return self._write(base + 1, tables, note, made)
+
+    def commit_changes(self, changes: dict[str, tuple[DataFrame | None, DataFrame | None]], base: int, note: str = "") -> int:
+        """Of each table the rows that are new or changed, and those that are
+        gone, as version ``base + 1``."""
+        tables, made = self._commit(base), []
+        for table, (rows, gone) in changes.items():
+            names = TABLES[table][0].names
+            parts = [df.select(*names, F.lit(flag).alias("_gone")) for df, flag in ((rows, False), (gone, True)) if df is not None]
+            if not parts:
+                continue
+            both = reduce(DataFrame.unionByName, parts).withColumn("_version", F.lit(base + 1).cast("long"))
+            path = f"{self.path}/{table}-d{base + 1}-{uuid.uuid4().hex}"
+            both.coalesce(8).write.parquet(path)
+            made.append(path)
+            tables[table]["deltas"].append(path)
+        version = self._write(base + 1, tables, note, made)
+        if any(len(t["deltas"]) > self.most_deltas for t in tables.values()):
+            try:
+                return self.compact(version)
+            except CommitConflict:  # a faster writer goes on; a later commit compacts
+                return version
+        return version
+
+    def compact(self, base: int) -> int:
+        """Version ``base`` again, as snapshots."""
+        return self.commit(self.read(base), base, "compact", self.read(base, "notifications"))
+
+    def transact(self, change: Callable[[dict], dict], note: str = "", tries: int = 2) -> int:
+        """Commits ``change({"version", "jobs", "notifications"})``, whose result
+        is that of :meth:`commit_changes`, computed anew on what a faster writer left."""
+        for left in reversed(range(tries)):
+            base = self.current()
+            try:
+                return self.commit_changes(change({"version": base, **{t: self.read(base, t) for t in TABLES}}), base, note)
+            except CommitConflict:
+                if not left:
+                    raise
+        raise AssertionError
+
+    def update(self, change: Callable[[DataFrame], DataFrame], tries: int = 2, note: str = "") -> int:
+        """Commits the ledger ``change(jobs)``, computed anew on what a faster writer left."""
         for left in reversed(range(tries)):
             base = self.current()
             try:

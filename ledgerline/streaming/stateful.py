@@ -51,7 +51,8 @@ class _Fold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         status, n = self.state.get() or ("none", 0)
-        for op in pd.concat(list(rows)).sort_values(["ts", "seq"])["op"]:
+        ops = [x for part in rows for x in zip(part["ts"], part["seq"], part["op"], strict=True)]
+        for _, _, op in sorted(ops):
             status, n = self.NEXT.get((status, op), status), n + 1
         self.state.update((status, n))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "n_ops": [n]})
@@ -61,7 +62,11 @@ class _Fold(StatefulProcessor):
 
 
 def fold_log(log: DataFrame) -> DataFrame:
-    """``log(seq, ts, job_id, op)`` to a row per job and batch with its status."""
+    """``log(seq, ts, job_id, op)`` to a row per job and batch with its status.
+
+    The operations of a batch act in order of (ts, seq), and batches in the order
+    in which they come: an operation that comes a batch late acts late, as it
+    would on a ledger.  ``tooling.ledger_fold`` orders the whole log."""
     return log.groupBy("job_id").transformWithStateInPandas(_Fold(), "job_id long, status string, n_ops long", "Update", "None")
 
 
@@ -154,3 +159,9 @@ def idempotent(requests: DataFrame) -> DataFrame:
 def each_batch(stream: DataFrame, change: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs ``change`` on every micro-batch: the worker loop over a stream."""
     return stream.writeStream.foreachBatch(change).option("checkpointLocation", checkpoint)
+
+
+def into_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """For :func:`each_batch`: every micro-batch has a folder of its own, which a
+    batch that runs again writes anew."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
