@@ -9,10 +9,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import U64, _power_tables, runs, splitmix
+from .shared import stored
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -241,11 +242,14 @@ def scan(text: str, least_cost: float = 13.0, least_length: int = 8, ranks: Rank
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, least: int = LEAST_TEXTS) -> list[str]:
     """The words, in lower case, that most texts of ``docs`` hold, most frequent
-    first: at most ``most``, each in ``least`` rows or more.
+    first: at most ``most``, each in ``least`` rows or more.  Words that as many
+    texts hold come together or not at all.
 
     A word is a run of letters, counted once a row, and not where it is a value
     in credential context.  All rows are counted; a task holds
-    the counts of some 50,000 words at a time.
+    the counts of some 50,000 words at a time.  A running sum over the counts
+    that occur, one row each, tells which are frequent enough, so the driver is
+    sent no more than the words that it returns.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +262,11 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = MOST_WORDS,
                     found = Counter()
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = stored(counted.where(F.col("n") >= least))
+    upto = counted.groupBy("n").agg(F.count("*").alias("words")).select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
+    cut = upto.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    found = counted.where(F.col("n") >= cut).collect() if cut else []
+    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))]
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"

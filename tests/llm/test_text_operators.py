@@ -451,6 +451,8 @@ def test_frequent_words_are_no_secrets(spark):
     leaked = ["my pin is kzvqwjxhrmtb"] * 9  # frequent only as a value
     docs = documents(spark, plain * 5 + leaked)
     assert {"understanding", "administrator", "verständnisproblem"} < set(words := secret_scan.frequent_words(docs)) and "kzvqwjxhrmtb" not in words
+    some = secret_scan.frequent_words(docs, most=3)
+    assert len(some) <= 3 and set(some) <= set(words) and secret_scan.frequent_words(docs.limit(0)) == secret_scan.frequent_words(docs, most=0) == []
     masked = [r.text for r in secret_scan.redact_documents(docs).orderBy("doc_id").collect()]
     assert masked == plain * 5 + ["my pin is [SECRET]"] * 9
     scanned = secret_scan.digest_spans(secret_scan.scan_documents(docs)).collect()
