@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import join_in_parts, stored
 
 _PREFIX = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 #: Who says what follows: such a word, and a colon at the line's end.
@@ -80,6 +80,8 @@ def quoted_parts(passage: str) -> list[tuple[int, bytes]]:
     return [(part, x) for part, found in ((WHOLE, whole), (PARAGRAPH, paragraphs), (LINE, lines)) for x in sorted(found)]
 
 
+#: Quoted passages up to which they are broadcast, of some 60 bytes each.
+BROADCAST_QUOTES = 200_000
 #: How much of a passage a digest stands for; more goes before less.
 WHOLE, PARAGRAPH, LINE = 2, 1, 0
 _PARSED = "own string, units array<binary>, quotes array<struct<passage:int,level:int,part:int,hash:binary>>"
@@ -137,16 +139,20 @@ def link_quotes(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Sources are a partial aggregate (least turn of each passage of a
     conversation), so a line that any number of messages share is one row, and
-    each quote joins one row at most.  Chains are followed by doubling.
+    each quote joins one row at most; the quotes of a passage, and the replies
+    to a message, do so in parts.  Chains are followed by doubling.
     """
     parsed, me = parse(messages), ["conv_id", "turn", "msg"]
     quotes = parsed.select(*me, F.explode("quotes").alias("q")).select(*me, "q.*")
     quotes = stored(quotes.where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct())
     sources = parsed.where("turn IS NOT NULL").select("conv_id", F.struct("turn", "msg").alias("source"), F.explode("units").alias("hash"))
     # only conversations and passages with a quote matter
-    sources = sources.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    wanted = quotes.select("conv_id", "hash").distinct()
+    few = wanted.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES
+    sources = sources.join(F.broadcast(wanted), ["conv_id", "hash"], "left_semi") if few else sources
     sources = sources.groupBy("conv_id", "hash").agg(F.min("source").alias("source"))
-    found = quotes.join(sources, ["conv_id", "hash"]).where("source.turn < turn")
+    sources = sources if few else sources.join(wanted, ["conv_id", "hash"], "left_semi")
+    found = join_in_parts(quotes, sources, ["conv_id", "hash"], ["turn", "msg", "passage"]).where("source.turn < turn")
     passage = found.groupBy(*me, "level", "passage").agg(F.max(F.struct("part", "source"))["source"].alias("source"))
     best = F.min(F.struct("level", (-F.col("source.turn")).alias("back"), F.col("source.msg").alias("to"))).alias("best")
     links = passage.groupBy(*me).agg(F.count("*").alias("n_linked"), best)
@@ -155,7 +161,7 @@ def link_quotes(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
     up = links.select(*me, F.col("reply_to").alias("thread"), "to", F.lit(1).cast("long").alias("depth"))
     for _ in range(most_rounds):
         over = up.select("conv_id", F.col("turn").alias("thread"), F.col("msg").alias("to"), F.col("thread").alias("further"), F.col("to").alias("beyond"), F.col("depth").alias("more"))
-        joined = up.join(over, ["conv_id", "thread", "to"], "left")
+        joined = join_in_parts(up, over, ["conv_id", "thread", "to"], ["turn", "msg"], "left")
         moved = F.col("further").isNotNull()
         up = stored(joined.select(*me, F.coalesce("further", "thread").alias("thread"), F.coalesce("beyond", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved")))
         if not up.where("moved").limit(1).count():

@@ -44,3 +44,14 @@ def each_salt(bits: str) -> Column:
     """The parts that the bits name, as rows: the other side of a join by key
     and part, which has a key's row once for each part that is there."""
     return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(F.col(bits), k) == 1))
+
+
+def join_in_parts(rows: DataFrame, others: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``others``, which have a row for each key at most.
+    The rows of a key, told apart by the columns ``by``, meet it in parts, so a
+    key that very many rows share is no single task's.  ``rows`` are read twice."""
+    part, bits = fresh(rows, "part"), fresh(rows, "bits")
+    rows = rows.withColumn(part, salt(*by))
+    there = rows.groupBy(*keys).agg(salts(f"`{part}`").alias(bits))
+    others = others.join(there, keys).select(*others.columns, each_salt(bits).alias(part))
+    return rows.join(others, [*keys, part], how).drop(part)
