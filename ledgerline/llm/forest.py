@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .columns import U64, shingles, slices, splitmix, text_bytes, whole_groups
 from .graph import connected_components
-from .shared import each_salt, fresh, salt, salts, stored
+from .shared import SALTS, each_salt, fresh, salt, salts, stored
 
 TREES, LABEL = 16, 8
 #: Texts of a block: a task compares two blocks at a time.
@@ -214,13 +214,15 @@ def starred(rows: DataFrame, key: str, near, *others: str) -> tuple[DataFrame, D
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "id", "centre_id")), pa.array(near(batch))], [key, "id", "centre", "core"])
 
     kind = large.schema[key].dataType.simpleString()
-    marks = stored(large.join(first, key).mapInArrow(mark, f"`{key}` {kind}, id binary, centre binary, core boolean"))
+    parts = F.explode(F.sequence(zero, F.lit(SALTS - 1))).alias("part")
+    first = first.select("*", parts)  # there are few, and each meets its group in parts
+    marks = stored(large.withColumn("part", salt("id")).join(first, [key, "part"]).mapInArrow(mark, f"`{key}` {kind}, id binary, centre binary, core boolean"))
     sizes = marks.groupBy(key).agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest")).where("n_rest > 0")
     rest, core = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n_rest", "n_core"))
     mixed = F.xxhash64("id", F.lit(11))
     own = F.when(F.col("core"), rest + F.pmod(mixed, core)).otherwise(F.pmod(mixed, rest)).cast("int")
     met = F.sequence(zero, F.when(F.col("core"), rest).otherwise(rest + core) - 1)
-    left = marks.join(sizes, key).join(large, [key, "id"]).select(key, "id", *others, own.alias("own"), F.explode(met).alias("other"))
+    left = marks.withColumn("part", salt("id")).join(sizes.select("*", parts), [key, "part"]).join(large, [key, "id"]).select(key, "id", *others, own.alias("own"), F.explode(met).alias("other"))
     left = left.select(key, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "id", *others)
     return marks.where("core AND id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")), small.unionByName(left)
 
