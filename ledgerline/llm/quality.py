@@ -186,16 +186,15 @@ def thresholds(sketches: DataFrame, least: int = LEAST_GROUP, spread: float = SP
     """
     sources = bounds(sketches, ["lang", "source"], spread)
     langs = bounds(merge(sketches.drop("source")), ["lang"], spread)
-    whole = bounds(merge(sketches.drop("lang", "source")), [], spread)
-    whole = whole.where("size IS NOT NULL").select(F.struct(*whole.columns).alias("_whole"))  # one row
+    whole = bounds(merge(sketches.drop("lang", "source")), [], spread).first()  # one row
     langs = langs.select(F.col("lang").alias("_of"), F.struct(*langs.columns).alias("_lang"))
-    rows = sources.join(langs, F.col("lang").eqNullSafe(F.col("_of"))).join(F.broadcast(whole))
+    rows = sources.join(langs, F.col("lang").eqNullSafe(F.col("_of")))
 
     def bound(rate: str) -> Column:
         most = f"{rate}_most"
         above = F.col(f"_lang.{most}")
         if rate != "word_length":
-            above = F.when(F.col("_lang.size") < least, F.col(f"_whole.{most}")).otherwise(above)
+            above = F.when(F.col("_lang.size") < least, F.lit(whole[most]).cast("double")).otherwise(above)
         return F.when(F.col("size") < least, above).otherwise(F.least(most, above)).alias(most)
 
     return rows.select("lang", "source", *(bound(r) for r in RATES))
