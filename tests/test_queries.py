@@ -5,7 +5,7 @@ import pytest
 
 from ledgerline.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "orders events documents".split()
 
 
