@@ -550,3 +550,12 @@ def test_a_batch_that_fails_leaves_the_queue_as_it_was(spark, tmp_path):
         work.step()
     assert work.store.read(table="notifications").first()["list"] == "pending" and work.store.read().first().status == "pending" and not heard
     assert work.step() == 1 and work.store.read().first().status == "completed"
+
+
+def test_a_ledger_in_a_database(spark):
+    """The embedded database that comes with Spark stands for any JDBC source."""
+    rows = ledger.checked(ledger.from_rows(spark, [job(1, request_id="r"), job(2, status="failed")])).select("id", "queue", "type", "status", "payload", "attempts", "max_attempts", "request_id")
+    url, driver = "jdbc:derby:memory:ledger;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows.write.format("jdbc").options(url=url, dbtable="jobs", driver=driver).mode("overwrite").save()
+    got = ledger.checked(ledger.read_jdbc(spark, url, "jobs", driver=driver)).orderBy("id").collect()
+    assert [(r.id, r.status, r.request_id, r.max_attempts, r.locked_by) for r in got] == [(1, "pending", "r", 3, None), (2, "failed", None, 3, None)]
