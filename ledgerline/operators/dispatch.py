@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import check_dispatch
 from ..schema import CANCELLED, FAILED, NOTIFICATION_SCHEMA
-from .ingest import create_jobs, dispatch_list, idempotent
+from .ingest import create_jobs, dispatch_list, idempotent, numbered
 from .notify import next_seq, remove
 from .transitions import cancel, purge_failed, requeue_failed
 
@@ -28,8 +28,8 @@ def notified(new: DataFrame, notifications: DataFrame, now: Column) -> DataFrame
     """A notification for each new job: delayed until it is due, or else pending,
     behind all that wait, in order of the ids."""
     which = dispatch_list(F.col("available_at"), now)
-    seq = F.lit(next_seq(notifications) - 1) + F.row_number().over(Window.partitionBy("queue").orderBy("id"))
-    return new.select("queue", F.col("id").alias("job_id"), which.alias("list"), seq.cast("long").alias("seq"), F.when(which == "delayed", F.col("available_at")).alias("score"))
+    rows = new.select("queue", F.col("id").alias("job_id"), which.alias("list"), F.when(which == "delayed", F.col("available_at")).alias("score"))
+    return numbered(rows, "job_id", next_seq(notifications), "seq", by="queue").select(*_NOTE)
 
 
 def dispatch(jobs: DataFrame, notifications: DataFrame, definitions: DataFrame, now: Column, order: str = "seq") -> Dispatched:

@@ -9,19 +9,25 @@ from ..functions.rules import after, is_active, moment
 from ..schema import JOB_COLUMNS, JOB_SCHEMA, PENDING
 
 
-def numbered(rows: DataFrame, order: str, first: int, name: str = "id", block: int = 1 << 16) -> DataFrame:
+def numbered(rows: DataFrame, order: str, first: int, name: str = "id", block: int = 1 << 16, by: str | None = None) -> DataFrame:
     """``rows`` with contiguous numbers from ``first`` by ``order``, whose
-    integers must be distinct.
+    integers must be distinct; ``by``: in each of its groups, null among them.
 
     Rows are ranked within blocks of ``block`` integers, so no task ranks more
-    than that; a running sum over the blocks' counts, one row each, joins them.
+    than that, however many rows a group has; a running sum over the blocks'
+    counts, one row each, joins them.
     """
+    groups = [] if by is None else [by]
     blocked = rows.withColumn("_block", F.floor(F.col(order) / block))
-    counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-    starts = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(order))
-    joined = blocked.withColumn("_rank", rank).join(starts, "_block")
-    return joined.withColumn(name, (F.col("_before") + F.col("_rank") - 1 + first).cast("long")).drop("_block", "_rank", "_before")
+    counts = blocked.groupBy(*groups, "_block").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*groups).orderBy("_block")
+    starts = counts.select(*(F.col(c).alias("_by") for c in groups), F.col("_block").alias("_at"), (F.sum("_n").over(over) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*groups, "_block").orderBy(order))
+    met = F.col("_block") == F.col("_at")
+    for c in groups:
+        met &= F.col(c).eqNullSafe(F.col("_by"))
+    joined = blocked.withColumn("_rank", rank).join(starts, met)
+    return joined.withColumn(name, (F.col("_before") + F.col("_rank") - 1 + first).cast("long")).drop("_block", "_rank", "_before", "_at", "_by")
 
 
 def available_at(time: Column, now: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import after, valid_job_id
 from ..schema import NOTIFICATION_SCHEMA
+from .ingest import numbered
 from .recovery import PLACE, move, next_seq
 
 _COLUMNS = NOTIFICATION_SCHEMA.names
@@ -65,14 +66,14 @@ def nack(notifications: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """
     wait = F.when(F.col("delay") < 0, F.raise_error(F.lit("delay must not be negative")).cast("int")).otherwise(F.col("delay"))
     asked = ids.select("queue", "job_id", wait.alias("_delay")).groupBy("queue", "job_id").agg(F.min("_delay").alias("_delay"))
-    picked = _held(notifications, asked).join(asked, ["queue", "job_id"]).withColumn("_r", F.row_number().over(Window.partitionBy("queue").orderBy("job_id")))
+    picked = numbered(_held(notifications, asked).join(asked, ["queue", "job_id"]), "job_id", next_seq(notifications), "_next", by="queue")
     late = picked.where("_delay > 0").select("queue", "job_id", F.lit("delayed").alias("list"))
     rows = notifications.join(late, ["queue", "job_id", "list"], "left_anti").join(picked, PLACE, "left")
-    hit, later = F.col("_r").isNotNull(), F.col("_delay") > 0
+    hit, later = F.col("_next").isNotNull(), F.col("_delay") > 0
     new = {
         "list": F.when(hit & later, "delayed").when(hit, "pending").otherwise(F.col("list")),
         "score": F.when(hit & later, after(now, F.col("_delay"))).when(~hit, F.col("score")),
-        "seq": F.when(hit, F.lit(next_seq(notifications) - 1) + F.col("_r")).otherwise(F.col("seq")),
+        "seq": F.when(hit, F.col("_next")).otherwise(F.col("seq")),
     }
     return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in _COLUMNS), hit.alias("moved"))
 

@@ -142,6 +142,14 @@ def test_batch_ids_are_contiguous(spark):
             epochs.where(F.col("s") == bad).collect()
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_numbers_in_groups_do_not_depend_on_blocks(spark, block):
+    rows = [(("hot" if k % 3 else "q" if k % 2 else None), k * k % 1009 + 1009 * k) for k in range(60)]
+    got = ingest.numbered(spark.createDataFrame(rows, "queue string, job_id long"), "job_id", 5, "seq", block, by="queue").collect()
+    wanted = [(q, k, 5 + sum(p == q and j < k for p, j in rows)) for q, k in rows]
+    assert sorted(((r.queue, r.job_id, r.seq) for r in got), key=str) == sorted(wanted, key=str)
+
+
 def test_idempotent_creation(spark):
     jobs = ledger.from_rows(spark, [job(1, request_id="a"), job(2, status="completed", request_id="b")])
     asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c")], "seq long, request_id string")
