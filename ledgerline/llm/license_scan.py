@@ -75,15 +75,41 @@ SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"),
     ("favour", "favor"), ("organisation", "organization"), ("authorised", "authorized"), ("recognise", "recognize"),
     ("https", "http"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
+    ("59 temple place suite 330 boston ma 02111 1307", "51 franklin street fifth floor boston ma 02110 1301"), ("franklin st", "franklin street"),
 )
 
 #: A line that says whose a work is: the word or sign with a sign, a year or a
 #: place to fill in behind it, or that all rights are reserved.  A line of the
 #: text itself may begin with "copyright", too, wherever it was wrapped.
 COPYRIGHT_LINE = "(^|\\n)[ \\t#*/;%!-]*(copyright[ \\t]*[:,]?[ \\t]*(\\(c\\)|©|[0-9]{4}|[<\\[{])|\\(c\\)[ \\t]*(copyright|[0-9]{4}|[<\\[{])|©|all rights reserved)[^\\n]*"
-#: Where a clause begins, its number or bullet.
-BULLET = "(^|\\n)[ \\t#*/;%!-]*([0-9]{1,2}[.)]|\\([0-9a-z]\\)|[*o-])[ \\t]"
+#: What parts words, marks of comments and bullets among them; no line end has a
+#: meaning of its own, so a text may be wrapped anywhere.
+SEPARATORS = "[\\x00-\\x20#*/;%!-]+"
+#: The number or letter of a clause, or a bullet, between separators.
+CLAUSE = " (\\(?([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)]|o) "
 NOT_WORDS = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f‘’“”–—…]+"
+#: Each in turn, and what stands for it.
+_STEPS = ((COPYRIGHT_LINE, "\n"), (SEPARATORS, "  "), (CLAUSE, "  "), (NOT_WORDS, "  "))
+
+
+#: Digests of the canonical forms of long public licences, each as
+#: its publisher's file has it, and cut where its terms end (with and without the
+#: line that says so).
+LONG = {
+    "Apache-2.0": ("23e39ff3f48b6cbfd561928dfcb02eea5de7fffa2b943a1ea32c4158a9d95a6f", "9d095f66fe47a04d5d33b87718aa8e4429643b7504298828a16ab3fb5707252b", "9ab7ea36742801863b1b475fae75ecd9dfaaf6d455c7cdaaf3c1d10132d00d1d"),
+    "Artistic-1.0-Perl": ("b06eda62b7e0c69e6f8a5960610095b69349654af941a79eca834edcd5e64e49",),
+    "CC0-1.0": ("1ed636e12cf722e6c9b6e716475802baa60f4dc12bd171ccc5aef9ade5ca9c2e",),
+    "GFDL-1.2": ("4141e467daf0aa581ba77c8d00b6ee02ffa8f6d4e50128253783b77cb5542c67", "fc56b40f8ec45df545cfe12dd772a16f337dd87075155183c91108995a974bf4"),
+    "GFDL-1.3": ("2ef68a5baaededf3c05b95be84ce02a8cd39cd397eaece5ac187c1e7fc8b92ed", "f06f2f50a3c9456cdb895dcbf2d7c57b16f084a61718e20b6041af727f6b41a5"),
+    "GPL-1.0": ("805b86868428957407c3f6e3933785e8ca7a2c8f65af4a6bdaebbdb5eefe5917", "eac357664c3910fc12a85904797fb8766c25fefc81b946b5dd62c35b1a182413", "57ce1497d531e66ac327e0d754b3b23b28566ca5534806b71b2c586f1bea070d"),
+    "GPL-2.0": ("9091b3188640d6723b461e8e012a229d5f77219e2083a669135a30d2b1b4297f", "bd6fe699aba54af00211328202a46bcd64d091de072919194ff7215db0e1935a", "f5f444394912ae2bc65e44425f0a3a8071b2f7f2ad2df371789e0f95c5382893"),
+    "GPL-3.0": ("fa0e7d40ef94cf64d9b7c0ab21b7a82627143767e902a38eaaf5c703821c57b8", "fe37a7ddff1e1b85ef10919a3a4bbaa88eb6f6b574e3757140f92a3edaa8e628", "50861e8ddaa22b0a4e33b4d32b1e75a2a9d9949b5074bb0c40f927db93cdd7b0"),
+    "LGPL-2.0": ("2a6ac921e4c62568a2b266e6164cb6819d2a06f7007ad9e187ada8d4770702d2", "391a1c21b45812119f35229a938fd294df86c19a5819e4946b03d84cd62e03fc", "f6dc5cd2f8d56b80dacf0b5f4412099e7029d054beea86e0ce0dcd3098e9f5c1"),
+    "LGPL-2.1": ("0ca5c17aaa8deceea63b6afae195c7b8e4c2457d104e2a35bb62009f9d4d603b", "29399b1b7600dab97483ef661ed9e394094f2e80e6084574ed84480b90b1d501", "6ad660ce7213b3936d685c9ada84361135e273f79189cf0cd0a298e16764def8"),
+    "LGPL-3.0": ("6a1e21cb1f0adda77c68071a8eeadb804a92ffdcaa150c17f976711652333fa0",),
+    "MPL-1.1": ("3bf9cb350668d9a58f8ba35d50c52aa926f142cc19358d4fbb88693df1ff20c3", "30e888c6ac77b392dfe91cd62d8344bb3966b75ea08804ecb09db851cb60b678"),
+    "MPL-2.0": ("5c0269a4931aac7ea7207dd7fd6733bf93886ff2f920b9e801acb3b6e0d15f0a", "93758842d856651b01f3c1538fee52ea12b928aec9055693231912f97a530f51"),
+}
 
 
 def forms(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
@@ -97,15 +123,15 @@ def forms(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines, bullets and punctuation, in one
-    spelling, with single spaces.  Null counts as empty.
+    """Lower case, without copyright lines, clause numbers, bullets and
+    punctuation, in one spelling, with single spaces.  Null counts as empty.
 
-    Spellings are replaced between doubled spaces, so that neighbours share none.
+    Clause numbers and spellings are replaced between doubled spaces, so that
+    neighbours share none.
     """
-    made = F.lower(F.coalesce(text, F.lit("")))
-    made = F.regexp_replace(made, COPYRIGHT_LINE, "\n")
-    made = F.regexp_replace(made, BULLET, "\n")
-    made = F.regexp_replace(made, NOT_WORDS, "  ")
+    made = F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+    for pattern, by in _STEPS:
+        made = F.regexp_replace(made, pattern, by)
     made = F.concat(F.lit(" "), F.trim(made), F.lit(" "))
     for other, chosen in SPELLINGS:
         made = F.replace(made, F.lit(_between(other)), F.lit(_between(chosen)))
@@ -118,10 +144,17 @@ def _between(words: str) -> str:
 
 def known_digests(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """license_id, canonical_sha256, one row for each distinct digest of the
-    given texts (without: of all :func:`forms` of :data:`KNOWN`); of ids that
-    share one, the least stays."""
+    given texts (without: of all :func:`forms` of :data:`KNOWN`, and those of
+    :data:`LONG`); of ids that share one, the least stays."""
     rows = docs.sparkSession.createDataFrame(forms(known), "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+    rows = rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+    if known is None:
+        rows = rows.unionByName(docs.sparkSession.createDataFrame(_long(), "license_id string, canonical_sha256 string"))
+    return rows.groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
+
+
+def _long() -> list[tuple[str, str]]:
+    return [(name, digest) for name, digests in LONG.items() for digest in digests]
 
 
 def lookup(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,8 +179,8 @@ def _literal(text: str) -> str:
 
 def canonical_sql(text: str) -> str:
     """:func:`canonical` in DuckDB's SQL."""
-    made = f"lower(coalesce({text}, ''))"
-    for pattern, by in ((COPYRIGHT_LINE, "\n"), (BULLET, "\n"), (NOT_WORDS, "  ")):
+    made = f"(chr(10) || lower(coalesce({text}, '')) || ' ')"
+    for pattern, by in _STEPS:
         made = f"regexp_replace({made}, {_literal(pattern)}, {_literal(by)}, 'g')"
     made = f"' ' || trim({made}) || ' '"
     for other, chosen in SPELLINGS:
@@ -158,7 +191,9 @@ def canonical_sql(text: str) -> str:
 def lookup_sql() -> str:
     """The query of :func:`lookup` over ``documents`` in DuckDB's SQL."""
     known = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in forms())
-    return f"""WITH k AS (SELECT sha256({canonical_sql("t")}) AS canonical_sha256, min(i) AS license_id FROM (VALUES {known}) v(i, t) GROUP BY 1),
+    long = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in _long())
+    return f"""WITH a AS (SELECT i, sha256({canonical_sql("t")}) AS canonical_sha256 FROM (VALUES {known}) v(i, t) UNION ALL FROM (VALUES {long}) w(i, canonical_sha256)),
+k AS (SELECT canonical_sha256, min(i) AS license_id FROM a GROUP BY 1),
 d AS (SELECT doc_id, {canonical_sql("text")} AS form FROM documents)
 SELECT doc_id, sha256(form) AS canonical_sha256, CAST(length(form) AS BIGINT) AS canonical_chars, license_id
 FROM d LEFT JOIN k ON sha256(d.form) = k.canonical_sha256"""

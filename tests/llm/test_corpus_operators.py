@@ -1,5 +1,6 @@
 """Operators over a corpus: language, near copies, licences, the pipeline."""
 
+import pathlib
 import random
 import re
 import textwrap
@@ -242,6 +243,28 @@ def test_licences_and_their_sql(spark):
     assert license_scan.lookup(docs.limit(0)).count() == 0
 
 
+PUBLISHED = pathlib.Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not PUBLISHED.is_dir(), reason="no published texts on this machine")
+def test_long_licences_wrapped_and_cut(spark):
+    def wrapped(text, width):
+        # lines that say whose the text is stay lines
+        keep = lambda p: "opyright (" in p and len(p) < 420
+        return "\n\n".join(p if keep(p) else "\n".join(textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) for p in text.split("\n\n"))
+
+    files = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    rows = []
+    for file, name in files.items():
+        whole = (PUBLISHED / file).read_text()
+        cut = whole.split("END OF TERMS AND CONDITIONS")[0] + ("END OF TERMS AND CONDITIONS" if "END OF TERMS" in whole else "")
+        for text in (whole, cut, cut.upper(), whole.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA  02111-1307"), *(wrapped(cut, w) for w in range(54, 100, 5))):
+            rows += [(len(rows), text, name), (len(rows) + 1, re.sub("(?i)shall|may", "will", text), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, wanted string")
+    got = {r.doc_id: r.license_id for r in license_scan.lookup(docs).collect()}
+    assert got == {k: name for k, _, name in rows} and set(files.values()) < set(license_scan.LONG)
+
+
 # -- pipeline ----------------------------------------------------------------
 
 
