@@ -49,16 +49,18 @@ def reconcile(
 
     The page goes in parts of ``step`` jobs (without: whole); before each the
     ``clock`` is read, and once the options' time limit is over the rest stays
-    for the next call, whose cursor is the last job that was looked at.
+    for the next call, whose cursor is the last job that was looked at.  The
+    time begins when the page is there: to read it is a job of the cluster, and
+    one that takes longer than the limit would leave the page for ever.
     """
-    options, began = options or ReconcileOptions(), clock()
+    options = options or ReconcileOptions()
     page = scan_pending(jobs, queue, cursor, options.page_size)
     ids = [r.id for r in page.select("id").collect()]  # at most a page
     if not ids and cursor is not None:
         cursor = None
         page = scan_pending(jobs, queue, None, options.page_size)
         ids = [r.id for r in page.select("id").collect()]
-    done = 0
+    began, done = clock(), 0
     while done < len(ids) and clock() - began < options.time_limit:
         done = min(len(ids), done + (step or len(ids)))
     rows = outcomes(page.where(F.col("id") <= ids[done - 1]) if done else page.limit(0), notifications, now, options.membership_limit)

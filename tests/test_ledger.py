@@ -468,6 +468,18 @@ def test_reconciliation_stops_when_its_time_is_over(spark):
     assert (none.scanned, none.cursor, none.rows.count()) == (0, 1, 0)
 
 
+def test_a_slow_page_is_reconciled_whole(spark, monkeypatch):
+    jobs, spent = ledger.from_rows(spark, [job(k) for k in (1, 2, 3)]), []
+
+    def slow(*page):
+        spent.append(9)
+        return reads.scan_pending(*page)
+
+    monkeypatch.setattr(reconcile, "scan_pending", slow)
+    done = reconcile.reconcile(jobs, notes(spark, []), "q", NOW, None, rules.ReconcileOptions(time_limit=1), lambda: sum(spent))
+    assert (done.scanned, done.cursor, done.rows.count()) == (3, None, 3)
+
+
 class Clock:
     def __init__(self):
         self.now, self.slept = START.replace(tzinfo=dt.timezone.utc).timestamp(), []
