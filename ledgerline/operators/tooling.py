@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def benchmark_summary(samples: DataFrame, scenario: str, seconds: str, operations: Column, run: str | None = None, warmup: int = 0, counters: tuple[str, ...] = ()) -> DataFrame:
     """Exact median, least and greatest time, and throughput, of each scenario;
@@ -51,23 +62,141 @@ def normalized_tokens(source: Column) -> Column:
     return F.transform(F.filter(raw_tokens(source), lambda t: ~t.rlike(_COMMENT)), _named)
 
 
+#: Parts into which the rows of one key are dealt for a join, and documents up to which their marks are broadcast.
+_PARTS, _BROADCAST = 16, 1_000_000
+_U = np.uint64
+
+
+def _part(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns, F.lit(5)), F.lit(_PARTS)).cast("int")
+
+
+def _parts(part: str) -> Column:
+    """Aggregate of the parts that a key has, as bits."""
+    return F.bit_or(F.expr(f"shiftleft(1, {part})")).alias("bits")
+
+
+def _each_part() -> Column:
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(_PARTS - 1)), lambda k: F.getbit("bits", k) == 1)).alias("part")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _anchors(hashes: np.ndarray, size: int) -> np.ndarray:
+    """For each run of ``size`` hashes the least hash of its runs of half that
+    length: equal runs have equal anchors, and neighbours mostly share one."""
+    half = (size + 1) // 2
+    if len(hashes) < size:
+        return np.zeros(0, _U)
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.full(len(hashes), b, _U) for b in (base, pow(base, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mixed(hashes) * up)])
+    least, span, width = _mixed((sums[half:] - sums[:-half]) * down[: len(hashes) - half + 1]), 1, size - half + 1
+    while span < width:
+        step = min(span, width - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
+    return least
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with about so many hashes: rows, hashes, and bounds of each row's."""
+    for batch in batches:
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        first = 0
+        while first < batch.num_rows:
+            last = min(batch.num_rows, max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, "right")) - 1))
+            rows = batch.slice(first, last - first)
+            yield rows, rows.column(column).flatten().to_numpy(zero_copy_only=False).view(_U), bounds[first : last + 1] - bounds[first]
+            first = last
+
+
+def _shared_anchors(rows: DataFrame, size: int) -> DataFrame:
+    """``rows(id, part, hashes)`` to ``(id, bits, anchors)``: which anchors of its
+    windows each id shares with another row, equal ones too."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, hashes, bounds in _slices(batches, "hashes"):
+            found = _anchors(hashes, size)
+            row = np.repeat(np.arange(held.num_rows), np.diff(bounds))
+            inside = np.flatnonzero(row[: len(found)] == row[size - 1 :]) if len(found) else np.zeros(0, np.int64)
+            row, found = row[inside], found[inside]
+            order = np.lexsort((found, row))
+            row, found = row[order], found[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+            of = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([held.column("id").take(of), held.column("part").take(of), pa.array(found[new].view(np.int64))], ["id", "of", "anchor"])
+
+    path = f"{shared_folder(rows.sparkSession)}/anchors-{uuid.uuid4().hex}"
+    rows.mapInArrow(mark, "id long, of int, anchor long").withColumn("part", _part("id", "of")).write.parquet(path)
+    marks = rows.sparkSession.read.schema("id long, of int, anchor long, part int").parquet(path)
+    shared = marks.groupBy("anchor").agg(F.count("*").alias("n"), _parts("part")).where("n > 1").select("anchor", _each_part())
+    return marks.join(shared, ["anchor", "part"]).groupBy("id").agg(_parts("of"), F.collect_set("anchor").alias("anchors"))
+
+
 def duplicate_windows(docs: DataFrame, key: str, words: Column, scope: Column, size: int = 50, samples: int = 3, between: str = "\x01") -> DataFrame:
     """Windows of ``size`` tokens that stand in two documents or more.
 
-    One row each: fingerprint, occurrences, documents, scopes (sorted), samples
-    (the first keys).  Windows are hashed where they are made, and counted by
-    partial aggregation: first by window and document, then by window, so a
-    window that many documents share is one row of each task.
+    One row each: fingerprint, occurrences, documents (pairs of key and scope),
+    scopes (sorted), samples (the first keys).  Null words count for nothing.
+
+    Equal windows have equal anchors, of which a document has one for some
+    thirteen windows of 50 tokens.  So anchors move first, and only windows whose
+    anchor stands in two rows are fingerprinted and move, once; an anchor shared
+    by chance, or by rows of one document, costs time and changes nothing.  A
+    token that holds ``between`` counts there as its parts, as it does in the
+    joined text that the fingerprint is of; ``between`` is one character.
     """
-    rows = docs.select(F.col(key).alias("key"), scope.alias("scope"), words.alias("w")).where(F.size("w") >= size)
-    made = rows.select("key", "scope", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.sha2(F.array_join(F.slice(F.col("w"), i, size), between), 256))).alias("fingerprint"))
-    each = made.groupBy("fingerprint", "key", "scope").agg(F.count("*").alias("n"))
-    counts = each.groupBy("fingerprint").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents")).where("documents >= 2")
-    kept = each.join(counts.select("fingerprint"), "fingerprint", "left_semi")
-    scopes = kept.select("fingerprint", "scope").distinct().groupBy("fingerprint").agg(F.array_join(F.array_sort(F.collect_set("scope")), ",").alias("scopes"))
-    first = kept.select("fingerprint", "key", F.row_number().over(Window.partitionBy("fingerprint").orderBy("key")).alias("r")).where(F.col("r") <= samples)
-    firsts = first.groupBy("fingerprint").agg(F.array_join(F.transform(F.array_sort(F.collect_list("key")), lambda k: k.cast("string")), ",").alias("samples"))
-    return counts.join(scopes, "fingerprint").join(firsts, "fingerprint")
+    if len(between) != 1:
+        raise ValueError("between must be one character")
+    docs = docs.select(F.col(key).alias("key"), scope.alias("scope"), F.array_compact(words).alias("w")).where(F.size("w") >= size)
+    docs = docs.withColumns({"id": F.xxhash64("w"), "part": _part("key", "scope")})
+    atoms = F.split(F.array_join("w", between), re.escape(between))
+    hashes = F.transform(atoms, lambda t: F.xxhash64(t)).alias("hashes")
+    needed = _shared_anchors(docs.select("id", "part", hashes), size)
+    path = f"{shared_folder(docs.sparkSession)}/needed-{uuid.uuid4().hex}"
+    needed.write.parquet(path)
+    needed = docs.sparkSession.read.schema(needed.schema).parquet(path)
+    ids = needed.select("id")
+    few = ids.limit(_BROADCAST + 1).count() <= _BROADCAST
+    held = (docs.join(F.broadcast(ids), "id", "left_semi") if few else docs).join(needed.select("id", "anchors", _each_part()), ["id", "part"])
+    end = between.encode()
+
+    def print_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, hashes, bounds in _slices(batches, "hashes"):
+            found, row, prints, n = _anchors(hashes, size), [], [], []
+            for k, (first, past) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                tokens = [t.encode() for t in rows.column("w")[k].as_py()]
+                start = np.arange(len(tokens))
+                if past - first > len(tokens):
+                    start = np.concatenate([[0], np.cumsum([t.count(end) + 1 for t in tokens[:-1]])])
+                some = np.isin(found[first + start[: len(tokens) - size + 1]], rows.column("anchors")[k].values.to_numpy().view(_U))
+                text, at = end.join(tokens), np.concatenate([[0], np.cumsum([len(t) + len(end) for t in tokens])]).tolist()
+                made = Counter(hashlib.sha256(text[at[i] : at[i + size] - len(end)]).digest() for i in np.flatnonzero(some).tolist())
+                row += [k] * len(made)
+                prints += made.keys()
+                n += made.values()
+                if len(row) >= 1 << 16 or k == rows.num_rows - 1:
+                    of = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), rows.column("key").take(of), rows.column("scope").take(of), pa.array(n, pa.int64())], ["fingerprint", "key", "scope", "n"])
+                    row, prints, n = [], [], []
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("key", "scope"))
+    # one shuffle: what follows groups by the fingerprint and more
+    made = held.select("key", "scope", "w", "anchors", hashes).mapInArrow(print_windows, f"fingerprint binary, {kinds}, n long").repartition("fingerprint")
+    each = made.groupBy("fingerprint", "key", "scope").agg(F.sum("n").alias("n"))
+    each = each.withColumn("r", F.row_number().over(Window.partitionBy("fingerprint").orderBy(F.col("key").asc_nulls_last())))
+    firsts, scopes = F.collect_list(F.when(F.col("r") <= samples, F.col("key"))), F.collect_set("scope")
+    found = each.groupBy("fingerprint").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"), scopes.alias("scopes"), firsts.alias("samples")).where("documents >= 2")
+    scopes = F.when(F.size("scopes") > 0, F.array_join(F.array_sort("scopes"), ","))
+    firsts = F.array_join(F.transform(F.array_sort("samples"), lambda k: k.cast("string")), ",")
+    return found.select(F.lower(F.hex("fingerprint")).alias("fingerprint"), "occurrences", "documents", scopes.alias("scopes"), firsts.alias("samples"))
 
 
 #: Keywords that branch, that nest, and operators of conditions.

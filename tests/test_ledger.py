@@ -1,7 +1,9 @@
 """Scenarios of the ledger operators on small tables."""
 
 import datetime as dt
+import hashlib
 import os
+import random
 import threading
 
 import pytest
@@ -257,6 +259,28 @@ def test_code_metrics_and_windows(spark):
     assert (got.occurrences, got.scopes, got.samples) == (4, "a,b", "1,2,3")
 
 
+def test_only_shared_windows_move_and_move_once(spark, capsys):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("a b c a\x01b é".split(" ")) for _ in range(draw.randint(0, 60))) for _ in range(25)]
+    rows = [(draw.choice([None, 3, k]), draw.choice([None, "s", f"s{k % 3}"]), draw.choice([None, "", *texts])) for k in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:3], (77, "x", "lone " * 9), (78, None, "null " * 9), (79, None, "null " * 9)], "k long, s string, t string")
+    for size in (1, 2, 5):
+        found = {}
+        for r in docs.collect():
+            w = [t for t in (r.t or "").split(" ") if t]
+            for i in range(len(w) - size + 1):
+                found.setdefault(hashlib.sha256("\x01".join(w[i : i + size]).encode()).hexdigest(), []).append((r.k, r.s))
+        wanted = set()
+        for print_, at in found.items():
+            keys, scopes = sorted(k for k, _ in set(at) if k is not None), sorted({s for _, s in at if s is not None})
+            if len(set(at)) > 1:
+                wanted.add((print_, len(at), len(set(at)), ",".join(scopes) if scopes else None, ",".join(map(str, keys[:3]))))
+        got = tooling.duplicate_windows(docs, "k", tooling.tokens(F.col("t")), F.col("s"), size)
+        assert wanted and {tuple(r) for r in got.collect()} == wanted
+    got.explain()
+    assert capsys.readouterr().out.split("Initial Plan")[0].count("Exchange hashpartitioning(fingerprint") == 1
+
+
 def test_reads(spark):
     jobs = ledger.from_rows(spark, [job(k, status="failed" if k % 2 else "pending") for k in range(1, 8)])
     assert [r.id for r in reads.list_jobs(jobs, limit=2, offset=1).collect()] == [6, 5]
