@@ -5,6 +5,9 @@ quality      documents that fail the base rules or their source's and language's
 near copies  of each class of near copies one document stays
 secrets      what looks like a secret is masked in the text
 packing      the texts' tokens are packed into sequences of at most 1024
+
+The stages run in one session after another, on executors that keep what each of
+them has taken; so each asks the session for small batches of texts.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import forest, langid, packing, quality, secret_scan
-from ledgerline.llm.shared import stored
+from ledgerline.llm.shared import small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are read whole.  Without a labelled row nothing is known and all rows go.
     Extra columns of any name stay; an empty table gives an empty one.
     """
+    small_batches(spark)
     return langid.keep_known(docs, langid.fit(docs))
 
 
@@ -35,6 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stay together; long texts are counted whole.  Extra columns of any name
     stay; an empty table gives an empty one.
     """
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -46,6 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one stays; texts are compared whole.  Extra columns of any name stay; an
     empty table gives an empty one.
     """
+    small_batches(spark)
     return forest.keep_one(docs)
 
 
@@ -57,6 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows are masked alike; long texts are read whole.  Extra columns of
     any name stay; an empty table gives an empty one.
     """
+    small_batches(spark)
     return secret_scan.redact_documents(docs)
 
 
@@ -68,6 +75,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a long text fills sequences of its own.  Other columns are not looked at;
     an empty table gives no pieces.
     """
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

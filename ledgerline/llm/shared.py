@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
@@ -18,6 +18,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch where several operators share a session's executors.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python at most this much at a time, so that
+    neither an executor's buffers nor its workers keep room for 10,000 texts."""
+    for name, most in BATCH.items():
+        spark.conf.set(name, most)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -7,11 +7,13 @@ import textwrap
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from ledgerline.llm import forest, graph, langid, license_scan, quality, secret_scan
 from ledgerline.llm.queries import oracle_sql, queries
+from ledgerline.llm.shared import BATCH
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"en": "the ing tion and er on th wh re st ea".split(), "de": "der sch ung ein keit ich zu pf ü ß ö".split(), "fr": "le eau eux que é è ment oi ç ai".split()}
@@ -310,3 +312,19 @@ def test_queries_equal_their_sql(spark, labelled, tmp_path, name, rows):
 def test_every_operator_is_registered():
     names = list(queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+
+
+def test_stages_take_texts_in_small_batches(spark):
+    docs = spark.createDataFrame([(1, "some words " * 30, "en", "a", 330)], "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+    rows = spark.range(0, 5000, 1, 1).selectExpr("repeat('x', 1000) AS text")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for conf in BATCH:
+                spark.conf.unset(conf)
+            stage(spark, docs, "")
+            got = rows.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in got) == 5000 and max(r.n for r in got) <= 2000, name
+    finally:
+        for conf in BATCH:
+            spark.conf.unset(conf)
